@@ -34,6 +34,11 @@ def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+def _as_double(df: DataFrame, *names: str) -> DataFrame:
+    """Whole-number columns that may be null, as doubles: clients differ in how they show those."""
+    return df.withColumns({n: F.col(n).cast("double") for n in names})
+
+
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Floating-point columns rounded: sums differ in their last bits with the order of addition."""
     kinds = dict(df.dtypes)
@@ -579,9 +584,10 @@ def reconcile_counts(spark, sf_dir):
     log = inputs.event_log(spark, sf_dir)
     counted = matrix.rows_per_label(log.where(F.col("value") < inputs.LOST_FROM))
     joined = inputs.run_summaries(log).join(counted, KEY, "left")
-    return joined.select(
+    figures = joined.select(
         *KEY, "visible_events", "rows", (~F.col("visible_events").eqNullSafe(F.col("rows"))).alias("differs")
     )
+    return _as_double(figures, "visible_events", "rows")
 
 
 @_query
@@ -674,7 +680,7 @@ def quiescence_point(spark, sf_dir):
     """Polls of the visible total every second."""
     visible = timeline.visibility_timeline(inputs.samples(spark, sf_dir))
     polls = visible.select(*KEY, F.col("elapsed_s").alias("t"), F.col("cumulative_visible").alias("visible_events"))
-    return timeline.quiescence(polls, 3)
+    return _as_double(timeline.quiescence(polls, 3), "quiet_at")
 
 
 @_query
@@ -687,7 +693,8 @@ def drain_point(spark, sf_dir):
         F.col("visible_count_window").alias("num_input_rows"),
         (F.col("elapsed_s") * 1000).alias("ts"),
     )
-    return timeline.drain_point(progress.unionByName(progress.withColumn("ts", F.col("ts") + 500)), 2)
+    twice = progress.unionByName(progress.withColumn("ts", F.col("ts") + 500))
+    return _as_double(timeline.drain_point(twice, 2), "drained_batch", "drained_at")
 
 
 # --- telemetry --------------------------------------------------------------------------------
@@ -799,4 +806,4 @@ def clock_status(spark, sf_dir):
         F.col("c_name").alias("node"),
         F.when(F.col("c_custkey") % 9 == 0, "N/A").otherwise((F.col("c_acctbal") / 1000).cast("string")).alias("offset_ms"),
     )
-    return quality.clock_status(offsets)
+    return _as_double(quality.clock_status(offsets), "offset_rounded_ms")
