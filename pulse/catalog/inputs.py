@@ -15,7 +15,6 @@ from pulse.schemas import KEY, SCENARIO_TARGET_EPS, SCENARIOS, STRATEGIES
 
 ORIGIN_MS = 1704067200000  # first moment of the events table's month
 SPEEDUP = 8640  # a month of 30 days in 300 s, the length of an official run
-BASE_LATENCY_MS = {"batch": 120000, "microbatch": 5000, "streaming": 200}
 LOST_FROM = 150.0  # events of at least this value never become visible
 SLOT_MS = 16 * 3600 * 1000  # 45 slots fill the month
 TOPIC = "events"
@@ -31,9 +30,9 @@ def _pick(values: list[str], at: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), at.cast("int") + 1)
 
 
-def _base_latency() -> Column:
-    pairs = F.create_map(*[F.lit(x) for pair in BASE_LATENCY_MS.items() for x in pair])
-    return F.element_at(pairs, F.col("strategy"))
+def _base_latency(strategy: Column) -> Column:
+    base = F.when(strategy == "batch", 120000).when(strategy == "microbatch", 5000).otherwise(200)
+    return base.cast("bigint")
 
 
 def as_event_log(events: DataFrame, speedup: int = SPEEDUP) -> DataFrame:
@@ -42,24 +41,21 @@ def as_event_log(events: DataFrame, speedup: int = SPEEDUP) -> DataFrame:
     if speedup != 1:
         ms = F.lit(ORIGIN_MS) + F.floor((ms - ORIGIN_MS) / speedup)
     number = F.lpad(F.col("event_id").cast("string"), 12, "0")
-    return (
-        events.withColumn("strategy", _pick(STRATEGIES, F.col("event_id") % 3))
-        .withColumn("scenario", _pick(SCENARIOS, F.col("user_id") % 3))
-        .withColumn("run_id", F.concat(F.lit("run_"), (F.col("user_id") % 5 + 1).cast("string")))
-        .withColumn("produced_at", ms)
-        .withColumn("visible_at", F.col("produced_at") + _base_latency() + F.floor(F.col("value") * 100))
-        .select(
-            F.concat(F.lit("00000000-0000-0000-0000-"), number).alias("event_id"),
-            F.col("event_id").alias("event_no"),
-            "user_id",
-            "event_type",
-            "value",
-            F.col("props").alias("payload"),
-            *KEY,
-            "produced_at",
-            "visible_at",
-            (F.col("visible_at") - F.col("produced_at")).alias("latency_ms"),
-        )
+    strategy = _pick(STRATEGIES, F.col("event_id") % 3)
+    delay = _base_latency(strategy) + F.floor(F.col("value") * 100)
+    return events.select(
+        F.concat(F.lit("00000000-0000-0000-0000-"), number).alias("event_id"),
+        F.col("event_id").alias("event_no"),
+        "user_id",
+        "event_type",
+        "value",
+        F.col("props").alias("payload"),
+        strategy.alias("strategy"),
+        _pick(SCENARIOS, F.col("user_id") % 3).alias("scenario"),
+        F.concat(F.lit("run_"), (F.col("user_id") % 5 + 1).cast("string")).alias("run_id"),
+        ms.alias("produced_at"),
+        (ms + delay).alias("visible_at"),
+        delay.alias("latency_ms"),
     )
 
 
@@ -146,7 +142,7 @@ def kafka_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seen_at() -> Column:
     """A fixed visibility stamp for ingested records, from the record alone."""
     number = F.substring("event_id", 25, 12).cast("bigint")
-    return F.col("produced_at") + _base_latency() + number * 7919 % 40000
+    return F.col("produced_at") + _base_latency(F.col("strategy")) + number * 7919 % 40000
 
 
 def domain_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def from_json_once(df: DataFrame, schema: T.StructType, keep: list[str], text="v
 
 
 def parse_events(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Envelope columns plus ``reject_reasons``, empty for a record that is accepted.
+    """Envelope columns plus ``accepted`` and ``reject_reasons``, empty for an accepted record.
 
     ``df`` is Kafka-shaped. A record that is no JSON object of the envelope's types has the one
     reason ``malformed_json``; else every missing field is named. Fields outside the envelope are
@@ -43,12 +43,22 @@ def parse_events(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return (
         parsed.withColumn("event_id", F.lower("event_id"))
         .withColumn("payload", F.coalesce("payload", F.lit("")))
-        .withColumn("reject_reasons", reject_reasons())
+        .withColumn("accepted", _is_valid())
+        .withColumn("reject_reasons", _reject_reasons())
         .drop(_CORRUPT)
     )
 
 
-def reject_reasons() -> Column:
+def _is_valid() -> Column:
+    """The rules as one plain condition. Accepted records are taken by it, so that the list of
+    reasons is made up only where somebody reads it."""
+    valid = F.col("value").isNotNull() & F.col(_CORRUPT).isNull()
+    for name in _REQUIRED:
+        valid = valid & F.col(name).isNotNull()
+    return F.coalesce(valid & is_uuid("event_id"), F.lit(False))
+
+
+def _reject_reasons() -> Column:
     missing = [F.when(F.col(c).isNull(), F.lit(f"missing_{c}")) for c in _REQUIRED]
     bad_id = F.when(~is_uuid("event_id"), F.lit("invalid_event_id"))
     return (
@@ -58,22 +68,19 @@ def reject_reasons() -> Column:
     )
 
 
-def is_accepted() -> Column:
-    return F.size("reject_reasons") == 0
-
-
 def accepted(parsed: DataFrame) -> DataFrame:
-    return parsed.where(is_accepted()).drop("reject_reasons", "value")
+    return parsed.where("accepted").drop("accepted", "reject_reasons", "value")
 
 
 def rejected(parsed: DataFrame) -> DataFrame:
     """Quarantine: the raw text and why it was turned away."""
-    return parsed.where(~is_accepted())
+    return parsed.where("NOT accepted").drop("accepted")
 
 
 def reject_counts(parsed: DataFrame) -> DataFrame:
     """Records by reason, the accepted ones under ``accepted``."""
-    reasons = F.when(is_accepted(), F.array(F.lit("accepted"))).otherwise(F.col("reject_reasons"))
+    fine = F.array(F.lit("accepted"))
+    reasons = F.when(F.col("accepted"), fine).otherwise(F.col("reject_reasons"))
     return (
         parsed.select(F.explode(reasons).alias("reason"))
         .groupBy("reason")

@@ -74,9 +74,11 @@ def real_lag() -> Column:
 
 
 def lag_per_run(lag: DataFrame) -> DataFrame:
-    """Highest real lag of each run that has any."""
-    return lag.where(real_lag()).groupBy(*KEY).agg(
-        F.max("lag").alias("kafka_lag_max"), F.lit(True).alias("kafka_lag_real_available")
+    """Highest real lag of each run, and whether it has any."""
+    real = F.coalesce(real_lag(), F.lit(False))
+    return lag.groupBy(*KEY).agg(
+        F.max(F.when(real, F.col("lag"))).alias("kafka_lag_max"),
+        F.bool_or(real).alias("kafka_lag_real_available"),
     )
 
 

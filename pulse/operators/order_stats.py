@@ -32,7 +32,9 @@ def running_counts(
     Two levels: a running sum over bucket totals in each group, and one over values in each bucket.
     """
     keys = list(keys)
-    fine = counts.withColumn("_bucket", F.floor(F.col(value) / width))
+    # Never null, so the join below adds no null filter to one side only: the two sides then share
+    # the shuffle of the counts, and what lies under them is read once.
+    fine = counts.withColumn("_bucket", F.coalesce(F.floor(F.col(value) / width), F.lit(0)))
     within = Window.partitionBy(*keys, "_bucket").orderBy(value)
     across = Window.partitionBy(*keys).orderBy("_bucket")
     earlier = (Window.unboundedPreceding, -1)

@@ -8,7 +8,7 @@ from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from pulse.functions.parsing import accepted, is_accepted, parse_events, rejected
+from pulse.functions.parsing import accepted, parse_events, rejected
 from pulse.operators.keys import first_wins, insert_if_absent
 from pulse.sinks.event_store import EventStore
 
@@ -33,8 +33,8 @@ def ingest(
 ) -> IngestCounts:
     """Add a log's events to the store, once each, and its bad records to the quarantine.
 
-    ``run`` compares keys with that run's partition only: right where no id comes back in another
-    run. ``small`` says that the log is a micro-batch: it is kept while it is used, and the table's
+    ``run`` says that the log is one run's and its ids come back in no other: keys are compared
+    with that run's partition only, and rows need not be gathered by run before they are written. ``small`` says that the log is a micro-batch: it is kept while it is used, and the table's
     keys are cut down to the batch's instead of being shuffled whole. A large log is read once,
     and again only if it had bad records.
     """
@@ -46,7 +46,7 @@ def ingest(
         present = store.present(batch_id, run)
         if present is not None:
             fresh = insert_if_absent(fresh, present, small_batch=small)
-        store.write(fresh, batch_id)
+        store.write(fresh, batch_id, one_run=run is not None)
         counts = _counts(parsed, None if small else seen)
         if counts.rejected:
             store.write_quarantine(rejected(parsed), batch_id)
@@ -57,7 +57,7 @@ def ingest(
 
 
 def _count_columns() -> tuple[Column, Column]:
-    return F.count("*").alias("records"), F.count_if(~is_accepted()).alias("rejected")
+    return F.count("*").alias("records"), F.count_if(~F.col("accepted")).alias("rejected")
 
 
 def _counts(parsed: DataFrame, seen: Observation | None) -> IngestCounts:

@@ -21,6 +21,7 @@ from pulse.operators.keys import attach_per_run, in_display_order
 from pulse.operators.order_stats import (
     LATENCY_QUANTILES,
     box_stats,
+    exact_quantiles,
     quantiles_of_counts,
     value_counts,
 )
@@ -51,18 +52,28 @@ def _latency_stats(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     return quantiles_of_counts(counts, keys, "latency_ms", LATENCY_QUANTILES, extra=extra)
 
 
-def _visible_counts(samples: DataFrame) -> DataFrame:
-    kept = samples.where(F.col("latency_ms").isNotNull())
-    return value_counts(kept, KEY, "visible_at")
+def _visibility(samples: DataFrame, cutoffs: DataFrame | None = None) -> DataFrame:
+    """Visible events of each run and the last one's time; with ``cutoffs`` (run key,
+    generation_end_ms) also those visible by the cut-off, unknown where a run has none.
+
+    Samples are counted by millisecond before they meet the cut-offs.
+    """
+    counts = value_counts(samples.where(F.col("latency_ms").isNotNull()), KEY, "visible_at")
+    figures = [
+        F.sum("n").alias("visible_events_final_latency"),
+        F.max("visible_at").alias("last_visible_at_ms"),
+    ]
+    if cutoffs is not None:
+        counts = attach_per_run(counts, cutoffs.select(*KEY, "generation_end_ms"), how="left")
+        in_time = F.when(F.col("visible_at") <= F.col("generation_end_ms"), F.col("n"))
+        late = F.when(F.col("generation_end_ms").isNotNull(), F.lit(0))
+        figures.append(F.sum(F.coalesce(in_time, late)).alias("visible_events_cutoff"))
+    return counts.groupBy(*KEY).agg(*figures)
 
 
 def run_stats(samples: DataFrame) -> DataFrame:
     """Exact latency figures of every run, and how many events it made visible, and when last."""
-    visible = _visible_counts(samples).groupBy(*KEY).agg(
-        F.sum("n").alias("visible_events_final_latency"),
-        F.max("visible_at").alias("last_visible_at_ms"),
-    )
-    stats = _latency_stats(samples, KEY).join(visible, KEY, "left")
+    stats = _latency_stats(samples, KEY).join(_visibility(samples), KEY, "left")
     seen = F.coalesce("visible_events_final_latency", F.lit(0))
     return stats.withColumn("visible_events_final_latency", seen)
 
@@ -112,14 +123,20 @@ def statistical_tests(samples: DataFrame) -> DataFrame:
 
 
 def visible_at_cutoff(samples: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Events visible by each run's cut-off (``generation_end_ms``).
+    """Events visible by each run's cut-off (``generation_end_ms``), for runs that have one."""
+    figures = _visibility(samples, cutoffs).select(*KEY, "visible_events_cutoff")
+    return figures.where(F.col("visible_events_cutoff").isNotNull())
 
-    Samples are counted by millisecond before they meet the cut-offs.
+
+def merge_per_run(*tables: DataFrame) -> DataFrame:
+    """Tables of one row per run, side by side; a run is in the result if it is in any table.
+
+    The tables are put under each other and grouped once, which takes one shuffle, where joining
+    them one after the other takes one per table. Column names must differ between tables.
     """
-    known = cutoffs.select(*KEY, "generation_end_ms").where(F.col("generation_end_ms").isNotNull())
-    joined = _visible_counts(samples).join(known, KEY)
-    in_time = F.when(F.col("visible_at") <= F.col("generation_end_ms"), F.col("n")).otherwise(0)
-    return joined.groupBy(*KEY).agg(F.sum(in_time).alias("visible_events_cutoff"))
+    stacked = matrix.union_all(*tables)
+    values = [c for c in stacked.columns if c not in KEY]
+    return stacked.groupBy(*KEY).agg(*[F.max(c).alias(c) for c in values])
 
 
 def official_metrics(
@@ -147,17 +164,14 @@ def official_metrics(
     )
     if warmup_s:
         samples = _after_warmup(samples, generators, warmup_s)
-    stats = run_stats(samples)
+    c = F.col
     meta = metadata.select(
-        *KEY, "target_eps", F.col("official_duration_seconds").alias("official_duration_s"), "generation_end_ts"
+        *KEY, "target_eps", c("official_duration_seconds").alias("official_duration_s"), "generation_end_ts"
     )
-    ended = F.col("generation_end_ts") * 1000
-    if not whole_seconds:
-        ended = F.coalesce(F.col("generation_end_epoch_ms"), ended)
     summary = summaries.select(
         *KEY,
-        F.col("generated_events").alias("_generated_summary"),
-        F.col("visible_events").alias("_visible_summary"),
+        c("generated_events").alias("_generated_summary"),
+        c("visible_events").alias("_visible_summary"),
         F.coalesce("cpu_cores_avg", "cpu_avg_cores").alias("_cpu_summary"),
         F.coalesce("mem_rss_mb_avg", "memory_rss_avg_mb").alias("_memory_summary"),
     )
@@ -166,39 +180,46 @@ def official_metrics(
         F.coalesce("total_events_generated", "generated_events").alias("_generated_generator"),
         "generation_end_epoch_ms",
     )
-    runs = (
-        matrix.all_run_keys(metadata, summaries, generators, stats, lag, resources)
-        .join(meta, KEY, "left")
-        .join(summary, KEY, "left")
-        .join(generator, KEY, "left")
-        .withColumn("generation_end_ms", ended)
-    )
+    ended = c("generation_end_ts") * 1000
+    if not whole_seconds:
+        ended = F.coalesce(c("generation_end_epoch_ms"), ended)
+    ends = merge_per_run(
+        meta.select(*KEY, "generation_end_ts"), generator.select(*KEY, "generation_end_epoch_ms")
+    ).select(*KEY, ended.alias("generation_end_ms"))
     used = matrix.resources_per_run(resources).select(
-        *KEY, F.col("cpu_avg_cores").alias("_cpu_series"), F.col("memory_rss_avg_mb").alias("_memory_series")
+        *KEY, c("cpu_avg_cores").alias("_cpu_series"), c("memory_rss_avg_mb").alias("_memory_series")
     )
-    joined = (
-        runs.join(visible_at_cutoff(samples, runs), KEY, "left")
-        .join(stats, KEY, "left")
-        .join(used, KEY, "left")
-        .join(matrix.lag_per_run(lag), KEY, "left")
+    joined = merge_per_run(
+        meta,
+        summary,
+        generator,
+        exact_quantiles(samples, KEY, "latency_ms", LATENCY_QUANTILES),
+        _visibility(samples, ends),
+        used,
+        matrix.lag_per_run(lag),
     )
-    c = F.col
     at_cutoff = F.coalesce(c("visible_events_cutoff"), F.lit(0)) if fill_zero else c("visible_events_cutoff")
-    return (
-        joined.withColumn("visible_events_cutoff", at_cutoff)
-        .withColumn("generated_events", F.coalesce("_generated_summary", "_generated_generator"))
-        .withColumn("visible_events_final", F.coalesce("_visible_summary", "visible_events_final_latency"))
-        .withColumn("generated_eps_real", ratio_or_null("generated_events", "official_duration_s"))
-        .withColumn("visible_eps_cutoff", ratio_or_null("visible_events_cutoff", "official_duration_s"))
-        .withColumn("delivery_ratio_cutoff_pct", _percent("visible_events_cutoff", "generated_events"))
-        .withColumn("delivery_ratio_final_pct", _percent("visible_events_final", "generated_events"))
-        .withColumn("pending_visibility_events", at_least(c("generated_events") - c("visible_events_cutoff"), 0))
-        .withColumn("time_to_drain_s", at_least((c("last_visible_at_ms") - c("generation_end_ms")) / 1000, 0))
-        .withColumn("cpu_avg_cores", F.coalesce("_cpu_summary", "_cpu_series"))
-        .withColumn("memory_rss_avg_mb", F.coalesce("_memory_summary", "_memory_series"))
-        .withColumn("kafka_lag_real_available", F.coalesce("kafka_lag_real_available", F.lit(False)))
-        .select(*OFFICIAL_COLUMNS)
+    # Two steps, not a chain of added columns: each step is analysed anew, over the whole plan.
+    merged = joined.withColumns(
+        {
+            "generation_end_ms": ended,
+            "visible_events_cutoff": at_cutoff,
+            "generated_events": F.coalesce("_generated_summary", "_generated_generator"),
+            "visible_events_final": F.coalesce("_visible_summary", "visible_events_final_latency"),
+        }
     )
+    derived = {
+        "generated_eps_real": ratio_or_null("generated_events", "official_duration_s"),
+        "visible_eps_cutoff": ratio_or_null("visible_events_cutoff", "official_duration_s"),
+        "delivery_ratio_cutoff_pct": _percent("visible_events_cutoff", "generated_events"),
+        "delivery_ratio_final_pct": _percent("visible_events_final", "generated_events"),
+        "pending_visibility_events": at_least(c("generated_events") - c("visible_events_cutoff"), 0),
+        "time_to_drain_s": at_least((c("last_visible_at_ms") - c("generation_end_ms")) / 1000, 0),
+        "cpu_avg_cores": F.coalesce("_cpu_summary", "_cpu_series"),
+        "memory_rss_avg_mb": F.coalesce("_memory_summary", "_memory_series"),
+        "kafka_lag_real_available": F.coalesce("kafka_lag_real_available", F.lit(False)),
+    }
+    return merged.select(*[derived[n].alias(n) if n in derived else c(n) for n in OFFICIAL_COLUMNS])
 
 
 def _percent(n: str, d: str) -> Column:

@@ -62,7 +62,7 @@ class EventStore:
         others = self.events().where(F.col("batch_id") != batch_id)
         return others.where(of_run(*run)).select("event_id") if run else others.select("event_id")
 
-    def write(self, events: DataFrame, batch_id: str) -> None:
+    def write(self, events: DataFrame, batch_id: str, one_run: bool = False) -> None:
         labels = {c: label_or(c, default) for c, default in SINK_DEFAULTS.items()}
         stamped = (
             events.withColumns(labels)
@@ -74,7 +74,7 @@ class EventStore:
         # repartition by run, splits a run that is too large for one task.
         parts = [*KEY, "batch_id"]
         (
-            stamped.hint("rebalance", *KEY)
+            (stamped if one_run else stamped.hint("rebalance", *KEY))
             .sortWithinPartitions(*parts, "visible_at", "event_id")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
