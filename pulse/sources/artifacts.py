@@ -30,10 +30,15 @@ _CORRUPT = "_corrupt_record"
 _PATH = "_path"
 
 
+def _file_path() -> Column:
+    """Path of the file a row came from, with its %-escapes undone."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def _relative_parts(root: str) -> Column:
     """Path parts below the root, from the file path of each row."""
-    tail = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    below = F.substring_index(F.col(_PATH), F.lit(tail + "/"), -1)
+    tail = root.rstrip("/").split("://")[-1].removeprefix("file:") + "/"
+    below = F.substring(F.col(_PATH), F.locate(tail, F.col(_PATH)) + len(tail), F.length(_PATH))
     return F.split(below, "/")
 
 
@@ -42,18 +47,20 @@ def _csv(spark: SparkSession, root: str, name: str, schema: T.StructType) -> Dat
 
     A record with too many fields is dropped; one with too few keeps the fields it has and nulls.
     Both carry the raw record, so the field count tells them apart (the files hold no quoted
-    commas).
+    commas). Whole records are parsed even if few columns are asked for: the parser counts the
+    fields of what it parses, so with pruning a long record would pass for a good one.
     """
     strings = [T.StructField(f.name, T.StringType()) for f in schema.fields]
     raw = (
         spark.read.schema(T.StructType([*strings, T.StructField(_CORRUPT, T.StringType())]))
         .option("header", "true")
         .option("mode", "PERMISSIVE")
+        .option("columnPruning", "false")
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", name)
         .csv(root)
-        .withColumn(_PATH, F.col("_metadata.file_path"))
+        .withColumn(_PATH, _file_path())
     )
     too_long = F.size(F.split(F.col(_CORRUPT), ",")) > len(schema.fields)
     kept = raw.where(F.col(_CORRUPT).isNull() | ~too_long)
@@ -112,7 +119,7 @@ def _json(spark: SparkSession, root: str, name: str, schema: T.StructType) -> Da
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", name)
         .json(root)
-        .withColumn(_PATH, F.col("_metadata.file_path"))
+        .withColumn(_PATH, _file_path())
         .withColumn("_parts", _relative_parts(root))
     )
     return _labelled(df.where(F.size("_parts") >= 4), path_first=False).drop("_parts", _PATH)
