@@ -44,8 +44,8 @@ def insert_if_absent(
 
 
 def keep_runs(df: DataFrame, runs: DataFrame, on: Sequence[str] = KEY) -> DataFrame:
-    """Rows of the selected runs."""
-    return df.join(runs.select(*on), list(on), "left_semi")
+    """Rows of the selected runs. A plain semi join would bring all rows of a run into one task."""
+    return attach_per_run(df, runs.select(*on).distinct(), on)
 
 
 def attach_per_run(
@@ -54,13 +54,16 @@ def attach_per_run(
     """Join many rows with a table of one row per run.
 
     A run may hold a large share of the rows. Each run's one row is repeated ``salts`` times and
-    the rows are dealt over the copies by their content, so that no run is joined in one task, nor
-    grouped in one by whatever follows: rows spread on the salted key satisfy no grouping by run.
+    the rows are dealt over the copies, so that no run is joined in one task, nor grouped in one by
+    whatever follows: rows spread on the salted key satisfy no grouping by run. Rows are dealt by
+    their content and the task they come from, both the same if a task runs again; so even rows
+    that are all alike are spread as far as they came from different tasks.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
     others = [c for c, kind in rows.dtypes if c not in on and "map<" not in kind]
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
+    place = F.pmod(F.xxhash64(*others), F.lit(salts)) + F.spark_partition_id()
+    dealt = rows.withColumn("_salt", F.pmod(place, F.lit(salts)).cast("int"))
     copies = per_run.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
 

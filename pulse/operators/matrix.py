@@ -7,7 +7,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.schemas import KEY, REAL_LAG_SOURCE, REQUIRED_ARTIFACTS, SCENARIOS, STRATEGIES
+from pulse.schemas import (
+    EVENT_BYTES_RANGE,
+    KEY,
+    OFFICIAL_DURATION_S,
+    REAL_LAG_SOURCE,
+    REQUIRED_ARTIFACTS,
+    SCENARIO_TARGET_EPS,
+    SCENARIOS,
+    STRATEGIES,
+)
 
 
 def _column(spark: SparkSession, name: str, values: Sequence[str]) -> DataFrame:
@@ -142,6 +151,14 @@ def coefficient_of_variation(value: str) -> Column:
     return F.when(mean > 0, F.stddev_samp(value) / mean * 100).otherwise(0.0)
 
 
+def volume_budget(spark: SparkSession, runs: int = 1, duration_s: int = OFFICIAL_DURATION_S) -> DataFrame:
+    """Events and bytes each official scenario may use: target rate times duration, and the largest
+    size an event is reckoned with."""
+    events = [(scenario, runs * eps * duration_s) for scenario, eps in SCENARIO_TARGET_EPS.items()]
+    rows = [(scenario, n, n * EVENT_BYTES_RANGE[1]) for scenario, n in events]
+    return spark.createDataFrame(rows, "scenario STRING, budget_events BIGINT, budget_bytes BIGINT")
+
+
 def payload_volume(df: DataFrame, budget: DataFrame, payload: str = "payload", by=("scenario",)) -> DataFrame:
     """Events and payload bytes by group beside the group's budget (budget_events, budget_bytes)."""
     used = df.groupBy(*by).agg(

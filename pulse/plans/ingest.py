@@ -13,6 +13,9 @@ from pulse.operators.keys import first_wins, insert_if_absent
 from pulse.sinks.event_store import EventStore
 
 
+Run = tuple[str, str, str]
+
+
 @dataclass(frozen=True)
 class IngestCounts:
     records: int
@@ -28,44 +31,55 @@ def ingest(
     log: DataFrame,
     store: EventStore,
     batch_id: str,
-    run: tuple[str, str, str] | None = None,
+    run: Run | None = None,
     small: bool = False,
 ) -> IngestCounts:
     """Add a log's events to the store, once each, and its bad records to the quarantine.
 
     ``run`` says that the log is one run's and its ids come back in no other: keys are compared
-    with that run's partition only, and rows need not be gathered by run before they are written. ``small`` says that the log is a micro-batch: it is kept while it is used, and the table's
-    keys are cut down to the batch's instead of being shuffled whole. A large log is read once,
-    and again only if it had bad records.
+    with that run's partition only, and rows need not be gathered by run before they are written.
+    ``small`` says that the log is a micro-batch: it is parsed and counted once and kept while it is
+    used, nothing is written if it is empty, and the table's keys are cut down to the batch's
+    instead of being shuffled whole. A large log is read once, and again only if it had bad records.
     """
-    seen = Observation()
-    parsed = parse_events(log)
-    parsed = parsed.persist() if small else parsed.observe(seen, *_count_columns())
+    return (_ingest_small if small else _ingest_large)(parse_events(log), store, batch_id, run)
+
+
+def _ingest_small(parsed: DataFrame, store: EventStore, batch_id: str, run: Run | None) -> IngestCounts:
+    parsed = parsed.persist()
     try:
-        fresh = first_wins(accepted(parsed))
-        present = store.present(batch_id, run)
-        if present is not None:
-            fresh = insert_if_absent(fresh, present, small_batch=small)
-        store.write(fresh, batch_id, one_run=run is not None)
-        counts = _counts(parsed, None if small else seen)
+        counts = IngestCounts(**parsed.agg(*_count_columns()).first().asDict())
+        if counts.records > counts.rejected:
+            _store_accepted(parsed, store, batch_id, run, small=True)
         if counts.rejected:
             store.write_quarantine(rejected(parsed), batch_id)
         return counts
     finally:
-        if small:
-            parsed.unpersist()
+        parsed.unpersist()
 
 
-def _count_columns() -> tuple[Column, Column]:
-    return F.count("*").alias("records"), F.count_if(~F.col("accepted")).alias("rejected")
+def _ingest_large(parsed: DataFrame, store: EventStore, batch_id: str, run: Run | None) -> IngestCounts:
+    seen = Observation()
+    _store_accepted(parsed.observe(seen, *_count_columns()), store, batch_id, run, small=False)
+    try:
+        counts = IngestCounts(**seen.get)
+    except Py4JError:
+        # A plan whose result turns out empty is cut short, and what it observed is lost with it.
+        counts = IngestCounts(**parsed.agg(*_count_columns()).first().asDict())
+    if counts.rejected:
+        store.write_quarantine(rejected(parsed), batch_id)
+    return counts
+
 
+def _store_accepted(
+    parsed: DataFrame, store: EventStore, batch_id: str, run: Run | None, small: bool
+) -> None:
+    fresh = first_wins(accepted(parsed))
+    present = store.present(batch_id, run)
+    if present is not None:
+        fresh = insert_if_absent(fresh, present, small_batch=small)
+    store.write(fresh, batch_id, one_run=run is not None)
 
-def _counts(parsed: DataFrame, seen: Observation | None) -> IngestCounts:
-    """Counts observed while the log was written. They are missing where the plan was found to have
-    an empty result and was cut short; then, and for a kept micro-batch, they are counted."""
-    if seen is not None:
-        try:
-            return IngestCounts(**seen.get)
-        except Py4JError:
-            pass
-    return IngestCounts(**parsed.agg(*_count_columns()).first().asDict())
+
+def _count_columns() -> tuple[Column, Column]:
+    return F.count("*").alias("records"), F.count_if(~F.col("accepted")).alias("rejected")

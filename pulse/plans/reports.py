@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.functions.columns import (
@@ -270,13 +270,15 @@ def resource_summary(metrics: DataFrame) -> DataFrame:
 
 def lag_summary(metrics: DataFrame, strategies=STRATEGIES, scenarios=SCENARIOS) -> DataFrame:
     """Mean of the runs' highest real lag; empty unless every expected pair has one."""
+    pair = ["strategy", "scenario"]
     real = metrics.where(F.col("kafka_lag_max").isNotNull())
-    measured = real.where("kafka_lag_real_available")
-    expected = matrix.expected_pairs(metrics.sparkSession, strategies, scenarios)
-    gaps = matrix.missing(expected, measured, ["strategy", "scenario"]).agg(F.count("*").alias("_gaps"))
-    means = matrix.reduce_by(real, {"kafka_lag_max": "mean"})
-    # One row, the number of gaps, beside at most one row per pair.
-    return means.join(F.broadcast(gaps), F.col("_gaps") == 0).drop("_gaps")
+    measured = real.groupBy(*pair).agg(
+        F.avg("kafka_lag_max").alias("kafka_lag_max"), F.bool_or("kafka_lag_real_available").alias("_real")
+    )
+    expected = matrix.expected_pairs(metrics.sparkSession, strategies, scenarios).join(measured, pair, "left")
+    # One window over the pairs, a short list given by the caller.
+    complete = F.bool_and(F.coalesce("_real", F.lit(False))).over(Window.partitionBy(F.lit(1)))
+    return expected.withColumn("_complete", complete).where("_complete").select(*pair, "kafka_lag_max")
 
 
 # --- per-run documents ----------------------------------------------------------------

@@ -6,7 +6,7 @@ parallel and one statement moves them over. The table's own default stamps ``vis
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from pulse.schemas import ENVELOPE, FLUSH_ROWS
 
@@ -35,3 +35,25 @@ def merge_statement(staging: str, target: str) -> str:
 
 def empty_statement(target: str) -> str:
     return f"TRUNCATE TABLE {target} RESTART IDENTITY"
+
+
+def execute(spark: SparkSession, options: dict[str, str], statement: str) -> None:
+    """Run one statement on the database, from the driver."""
+    jvm = spark._jvm
+    login = jvm.java.util.Properties()
+    for name in ("user", "password"):
+        if name in options:
+            login.setProperty(name, options[name])
+    connection = jvm.java.sql.DriverManager.getConnection(options["url"], login)
+    try:
+        connection.createStatement().execute(statement)
+    finally:
+        connection.close()
+
+
+def insert_absent(
+    events: DataFrame, options: dict[str, str], target: str, staging: str, mode: str = "batch"
+) -> None:
+    """Add events to the target table, once each: safe to repeat, as both steps are."""
+    stage(events, options, staging, mode)
+    execute(events.sparkSession, options, merge_statement(staging, target))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from pulse.functions.parsing import accepted, parse_events
 from pulse.plans.ingest import ingest
 from pulse.sinks.event_store import EventStore
 
@@ -43,14 +45,23 @@ def ingest_stream(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
         source = batch.repartition(spread) if spread else batch
         ingest(source, store, f"{name}-{number:012d}", run, small=True)
 
     return writer(log, checkpoint, trigger(mode, interval)).foreachBatch(write).start()
 
 
+def first_within(log: DataFrame, horizon: str) -> DataFrame:
+    """Accepted events of a stream without the copies that come within ``horizon`` of the first.
+
+    For streams whose copies are known to come soon: the state holds the ids of the horizon only,
+    and no table is asked. Copies that come later are let through; the store has no such limit.
+    """
+    events = accepted(parse_events(log))
+    timed = events.withColumn("produced_ts", F.timestamp_millis("produced_at"))
+    return timed.withWatermark("produced_ts", horizon).dropDuplicatesWithinWatermark(["event_id"]).drop("produced_ts")
+
+
 def writer(df: DataFrame, checkpoint: str, when: dict, output: str = "append") -> DataStreamWriter:
     return df.writeStream.outputMode(output).option("checkpointLocation", checkpoint).trigger(**when)
 

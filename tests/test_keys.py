@@ -108,3 +108,13 @@ def test_reductions_and_volume(frame, rows):
     got = {r["scenario"]: r for r in matrix.payload_volume(sent, budget).collect()}
     assert (got["low-load"]["bytes"], got["low-load"]["within_budget"]) == (4, False)
     assert got["other"]["within_budget"] is None
+
+
+def test_budget(spark, rows):
+    assert rows(matrix.volume_budget(spark))[0] == ("high-load", 9_000_000, 9_000_000 * 1900)
+
+
+def test_runs_are_kept_whole(frame, rows):
+    df = frame([("s", "c", "a", 1)] * 5 + [("s", "c", "b", 1)], RUN + ", v INT")
+    runs = frame([("s", "c", "a"), ("s", "c", "a"), ("s", "c", "z")], RUN)
+    assert keys.keep_runs(df, runs).count() == 5

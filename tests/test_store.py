@@ -101,12 +101,14 @@ def test_stamp_is_one_time_per_batch(spark, frame, tmp_path):
     assert store.events().select("visible_at").distinct().count() == 1
 
 
-def test_run_filter_prunes_partitions(frame, store):
+def test_run_scope_lists_only_the_runs_files(frame, store):
     ingest(frame([record(1, 0, run="run_1"), record(2, 1, run="run_2")], LOG), store, "b1")
-    plan = store.present("other", ("batch", "low-load", "run_1"))._jdf.queryExecution().executedPlan().toString()
-    # All conditions are on partition columns: none is left to test row by row.
-    assert "PartitionFilters: [isnotnull(batch_id" in plan and "Filter (" not in plan
-    assert "ReadSchema: struct<event_id:string>" in plan
+    keys = store.present("other", ("batch", "low-load", "run_1"))
+    assert all("run_id=run_1/" in path for path in keys.inputFiles()) and keys.count() == 1
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<event_id:string>" in plan and "Filter (" not in plan
+    assert store.present("b1", ("batch", "low-load", "run_1")).count() == 0
+    assert store.present("b1", ("batch", "low-load", "run_7")) is None
 
 
 def test_input_order_does_not_matter(frame):

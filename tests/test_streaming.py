@@ -7,7 +7,7 @@ from pulse.plans.ingest import ingest
 from pulse.schemas import KAFKA_RECORD
 from pulse.sinks.event_store import EventStore
 from pulse.sources.kafka import stream_log_table
-from pulse.streaming.ingest import ingest_stream, run_to_end, trigger
+from pulse.streaming.ingest import first_within, ingest_stream, run_to_end, trigger
 from pulse.streaming.monitor import append_samples, live_latency, live_visibility, publish
 
 
@@ -117,3 +117,11 @@ def test_windows_close_after_the_watermark(spark, sink, tmp_path):
     run_to_end(query.start(out))
     got = {r["window_start_ms"]: (r["rows_seen"], r["p50_ms"]) for r in spark.read.parquet(out).collect()}
     assert got[0] == (10, 4) and got[40000] == (10, 44)
+
+
+def test_copies_within_the_horizon(spark, parts, tmp_path):
+    out = str(tmp_path / "out")
+    events = first_within(stream_log_table(spark, parts), "1 hour")
+    query = events.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "o")).trigger(availableNow=True)
+    run_to_end(query.start(out))
+    assert sorted(int(r["event_id"][-2:]) for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
