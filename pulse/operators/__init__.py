@@ -1 +1 @@
-"""Relational operators: DataFrame in, DataFrame out, no job started."""
+"""Relational operators: DataFrame in, DataFrame out. Only ``bounded_sample`` starts a job."""

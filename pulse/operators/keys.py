@@ -11,6 +11,7 @@ from pulse.functions.columns import preferred_rank
 from pulse.schemas import KEY, SAMPLE_ROWS_PER_RUN, SCENARIOS, STRATEGIES
 
 SALTS = 64
+LOCAL_ROWS = 10_000  # a megabyte or two: the most rows that are fetched and broadcast
 
 
 def first_wins(df: DataFrame, key: str = "event_id", order: Sequence[str] = ("partition", "offset")):
@@ -77,37 +78,48 @@ def in_display_order(df: DataFrame, *, scenario="scenario", strategy="strategy",
     return df.orderBy(*order, *then)
 
 
+def local_copy(df: DataFrame, most: int = LOCAL_ROWS) -> DataFrame | None:
+    """The rows of a small table as a local one, which may then be broadcast; None if it has more
+    than ``most`` rows. Runs the table's plan, and fetches one row more than that at the most."""
+    found = df.limit(most + 1).collect()
+    return df.sparkSession.createDataFrame(found, df.schema) if len(found) <= most else None
+
+
 def bounded_sample(
     df: DataFrame,
     rows: int = SAMPLE_ROWS_PER_RUN,
     keys: Sequence[str] = KEY,
     id_col: str = "event_id",
     seed: int = 42,
+    local_rows: int = LOCAL_ROWS,
 ) -> DataFrame:
     """At most ``rows`` rows of each run: those whose hashed id comes first.
 
     The same input gives the same rows in any order and on any cluster. A count of rows by the
-    hash's first 16 bits shows, per run, up to which prefix the sample can reach; only rows up to
-    there are ranked, close to ``rows`` of them. They are ranked per input partition first, so that
-    even a run made of copies of one id, which share one hash, is never ranked in one task whole.
+    hash's first 12 bits, taken at once, shows per run up to which prefix the sample can reach; only
+    rows up to there are shuffled and ranked, close to ``rows`` of each run. They are ranked per
+    input partition first, so that even a run made of copies of one id, which share one hash, is
+    never ranked in one task whole. With more than ``local_rows`` runs the limits are not broadcast
+    but joined, which shuffles all rows.
     """
     keys = list(keys)
     mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col)))
     tagged = df.withColumn("_mark", mark).withColumn(
-        "_prefix", F.conv(F.substring("_mark", 1, 4), 16, 10).cast("int")
+        "_prefix", F.conv(F.substring("_mark", 1, 3), 16, 10).cast("int")
     )
     by_prefix = tagged.groupBy(*keys, "_prefix").agg(F.count("*").alias("_n"))
     reach = Window.partitionBy(*keys).orderBy("_prefix")
     before = F.coalesce(F.sum("_n").over(reach.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = (
+    limits = (
         by_prefix.withColumn("_before", before)
         .where(F.col("_before") < rows)
         .groupBy(*keys)
         .agg(F.max("_prefix").alias("_last"))
     )
-    near = attach_per_run(tagged, last, keys).where(F.col("_prefix") <= F.col("_last"))
+    known = local_copy(limits, local_rows)
+    joined = tagged.join(F.broadcast(known), keys) if known is not None else attach_per_run(tagged, limits, keys)
     ties = sorted(c for c in df.columns if c not in keys)
-    ranked = near.withColumn("_task", F.spark_partition_id())
+    ranked = joined.where(F.col("_prefix") <= F.col("_last")).withColumn("_task", F.spark_partition_id())
     for spread in (["_task"], []):
         order = Window.partitionBy(*keys, *spread).orderBy("_mark", *ties)
         ranked = ranked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows)

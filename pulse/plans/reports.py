@@ -58,24 +58,25 @@ def _visibility(samples: DataFrame, cutoffs: DataFrame | None = None) -> DataFra
 
     Samples are counted by millisecond before they meet the cut-offs.
     """
-    counts = value_counts(samples.where(F.col("latency_ms").isNotNull()), KEY, "visible_at")
-    figures = [
+    measured = samples.where(F.col("latency_ms").isNotNull())
+    last = F.max("visible_at").alias("last_visible_at_ms")
+    if cutoffs is None:
+        seen = F.count("visible_at").alias("visible_events_final_latency")
+        return measured.groupBy(*KEY).agg(seen, last)
+    counts = value_counts(measured, KEY, "visible_at")
+    counts = attach_per_run(counts, cutoffs.select(*KEY, "generation_end_ms"), how="left")
+    in_time = F.when(F.col("visible_at") <= F.col("generation_end_ms"), F.col("n"))
+    late = F.when(F.col("generation_end_ms").isNotNull(), F.lit(0))
+    return counts.groupBy(*KEY).agg(
         F.sum("n").alias("visible_events_final_latency"),
-        F.max("visible_at").alias("last_visible_at_ms"),
-    ]
-    if cutoffs is not None:
-        counts = attach_per_run(counts, cutoffs.select(*KEY, "generation_end_ms"), how="left")
-        in_time = F.when(F.col("visible_at") <= F.col("generation_end_ms"), F.col("n"))
-        late = F.when(F.col("generation_end_ms").isNotNull(), F.lit(0))
-        figures.append(F.sum(F.coalesce(in_time, late)).alias("visible_events_cutoff"))
-    return counts.groupBy(*KEY).agg(*figures)
+        last,
+        F.sum(F.coalesce(in_time, late)).alias("visible_events_cutoff"),
+    )
 
 
 def run_stats(samples: DataFrame) -> DataFrame:
     """Exact latency figures of every run, and how many events it made visible, and when last."""
-    stats = _latency_stats(samples, KEY).join(_visibility(samples), KEY, "left")
-    seen = F.coalesce("visible_events_final_latency", F.lit(0))
-    return stats.withColumn("visible_events_final_latency", seen)
+    return _latency_stats(samples, KEY).join(_visibility(samples), KEY)
 
 
 def scenario_stats(samples: DataFrame) -> DataFrame:
