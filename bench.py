@@ -57,9 +57,9 @@ def main() -> None:
         run = lambda: queries[name](spark, folder).write.format("noop").mode("overwrite").save()  # noqa: E731, B023
         cold[name], warm[name] = _timed(run), _timed(run)
 
-    log = inputs.kafka_log(spark, folder)
+    # As on a topic of 12 partitions.
     source = shared_dir(spark, "bench-log")
-    log.write.parquet(source)
+    inputs.kafka_log(spark, folder).repartition(12, "partition").write.parquet(source)
     records = spark.read.parquet(source)
     count = records.count()
     stores = iter([EventStore(spark, shared_dir(spark, "bench"), inputs.seen_at()) for _ in range(2)])

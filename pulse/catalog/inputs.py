@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulse.operators.timeline import profile_runs
 from pulse.plans.reports import production_totals
 from pulse.schemas import KEY, SCENARIO_TARGET_EPS, SCENARIOS, STRATEGIES
 
@@ -305,12 +306,6 @@ def slot_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline_runs(log: DataFrame) -> DataFrame:
-    """Duration, generated events and load profile of each run."""
-    generators = generator_summaries(log)
-    return generators.select(
-        *KEY,
-        F.greatest(F.round("generation_duration_seconds").cast("int"), F.lit(1)).alias("duration_s"),
-        "generated_events",
-        "load_profile",
-        F.lit(10000).alias("fallback_rate"),
-    )
+    """Duration, generated events and load profile of each run, with one fallback rate."""
+    runs = profile_runs(generator_summaries(log), run_metadata(log))
+    return runs.withColumn("fallback_rate", F.lit(10000))

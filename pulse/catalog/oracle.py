@@ -531,7 +531,7 @@ _sql("lag_coverage", "log lag", """
 # --- timelines ---------------------------------------------------------------------------------------------
 
 _PARTS["runs"] = f"""runs AS (
-  SELECT {K}, greatest(round(seconds)::INTEGER, 1) AS duration_s, generated_events, profile FROM gen)"""
+  SELECT {K}, CASE WHEN round(seconds) > 0 THEN round(seconds)::INTEGER ELSE 300 END AS duration_s, generated_events, profile FROM gen)"""
 _PARTS["origin"] = f"origin AS (SELECT {K}, min(produced_at) AS start_at FROM samples GROUP BY {K})"
 _PARTS["seconds"] = f"""seconds AS (
   SELECT {K}, (visible_at - start_at) // 1000 AS elapsed_s, count(*) AS events

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulse.functions.columns import at_least, bucket, elapsed_s
-from pulse.operators.keys import attach_per_run
+from pulse.functions.columns import at_least, bucket, elapsed_s, is_advanced
+from pulse.operators.keys import attach_per_run, keep_runs
 from pulse.operators.order_stats import quantiles_of_counts
 from pulse.schemas import KEY, LOAD_PROFILES, PROFILE_PERIOD_S
 
@@ -86,6 +86,40 @@ def peak_rates(runs: DataFrame, profile="load_profile", fallback="fallback_rate"
 # --- the four series ----------------------------------------------------------------
 
 
+def profile_runs(generators: DataFrame, metadata: DataFrame, advanced_only: bool = False) -> DataFrame:
+    """What the timelines need of each run: whole duration, generated events, profile, fallback rate.
+
+    A run without a duration of its own has the official one. ``advanced_only`` keeps runs of
+    scenarios whose rate changes.
+    """
+    joined = generators.select(
+        *KEY, "generation_duration_seconds", "generated_events", "load_profile"
+    ).join(metadata.select(*KEY, "official_duration_seconds", "target_eps"), KEY, "left")
+    if advanced_only:
+        joined = joined.where(is_advanced("scenario"))
+    own = F.round("generation_duration_seconds").cast("int")
+    official = F.round("official_duration_seconds").cast("int")
+    return joined.select(
+        *KEY,
+        F.when(own > 0, own).otherwise(official).alias("duration_s"),
+        "generated_events",
+        "load_profile",
+        F.coalesce("target_eps", F.lit(0)).alias("fallback_rate"),
+    )
+
+
+def run_timelines(samples: DataFrame, runs: DataFrame) -> dict[str, DataFrame]:
+    """The four series of runs given as by ``profile_runs``; samples of other runs are left out."""
+    own = keep_runs(samples, runs)
+    produced, visible = produced_timeline(runs), visibility_timeline(own, runs)
+    return {
+        "produced": produced,
+        "visible": visible,
+        "latency": latency_timeseries(own),
+        "backlog": backlog_timeline(visible, produced, runs),
+    }
+
+
 def produced_timeline(runs: DataFrame) -> DataFrame:
     """The target curve scaled so that it adds up to the events really generated.
 

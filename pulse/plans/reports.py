@@ -56,20 +56,24 @@ def _visibility(samples: DataFrame, cutoffs: DataFrame | None = None) -> DataFra
     """Visible events of each run and the last one's time; with ``cutoffs`` (run key,
     generation_end_ms) also those visible by the cut-off, unknown where a run has none.
 
-    Samples are counted by millisecond before they meet the cut-offs.
+    Samples are counted by millisecond before they meet the cut-offs. A sample without a readable
+    latency counts for the cut-off only.
     """
-    measured = samples.where(F.col("latency_ms").isNotNull())
-    last = F.max("visible_at").alias("last_visible_at_ms")
+    measured = F.when(F.col("latency_ms").isNotNull(), F.col("visible_at"))
     if cutoffs is None:
-        seen = F.count("visible_at").alias("visible_events_final_latency")
-        return measured.groupBy(*KEY).agg(seen, last)
-    counts = value_counts(measured, KEY, "visible_at")
+        return samples.groupBy(*KEY).agg(
+            F.count(measured).alias("visible_events_final_latency"),
+            F.max(measured).alias("last_visible_at_ms"),
+        )
+    counts = samples.where(F.col("visible_at").isNotNull()).groupBy(*KEY, "visible_at").agg(
+        F.count("*").alias("n"), F.count("latency_ms").alias("_measured")
+    )
     counts = attach_per_run(counts, cutoffs.select(*KEY, "generation_end_ms"), how="left")
     in_time = F.when(F.col("visible_at") <= F.col("generation_end_ms"), F.col("n"))
     late = F.when(F.col("generation_end_ms").isNotNull(), F.lit(0))
     return counts.groupBy(*KEY).agg(
-        F.sum("n").alias("visible_events_final_latency"),
-        last,
+        F.sum("_measured").alias("visible_events_final_latency"),
+        F.max(F.when(F.col("_measured") > 0, F.col("visible_at"))).alias("last_visible_at_ms"),
         F.sum(F.coalesce(in_time, late)).alias("visible_events_cutoff"),
     )
 

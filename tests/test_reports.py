@@ -155,3 +155,9 @@ def test_merge_per_run(frame, rows):
     b = frame([(*R, "t"), ("batch", "low-load", "run_2", "u")], RUN + ", y STRING")
     merged = reports.merge_per_run(a, b).orderBy("run_id").collect()
     assert [(r["run_id"], r["x"], r["y"]) for r in merged] == [("run_1", 1, "t"), ("run_2", None, "u")]
+
+
+def test_unreadable_latency_counts_at_the_cutoff_only(metrics):
+    samples = [(*R, 0, 50, 50), (*R, 0, 60, None), (*R, 0, 70, 70)]
+    row = metrics(samples=samples, generator=[(*R, None, 9, 0, 65)]).first()
+    assert (row["visible_events_cutoff"], row["visible_events_final"]) == (2, 2)

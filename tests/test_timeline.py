@@ -107,3 +107,20 @@ def test_drain_counts_a_repeated_batch_once(frame):
     assert timeline.drain_point(df, 3).first()["drained_batch"] == 6
     assert timeline.drain_point(df, 2).first()["drained_batch"] == 2
     assert timeline.drain_point(df, 4).first()["drained_batch"] is None
+
+
+def test_profile_runs_and_their_series(frame):
+    generators = frame(
+        [("s", "cyclic-load", "r", 2.4, 30, "cyclic"), ("s", "cyclic-load", "q", 0.0, 8, None), ("s", "low-load", "r", 5.0, 1, None)],
+        RUN + ", generation_duration_seconds DOUBLE, generated_events LONG, load_profile STRING",
+    )
+    metadata = frame([("s", "cyclic-load", "q", 4.0, 7)], RUN + ", official_duration_seconds DOUBLE, target_eps LONG")
+    runs = timeline.profile_runs(generators, metadata, advanced_only=True)
+    got = {r["run_id"]: (r["duration_s"], r["fallback_rate"]) for r in runs.collect()}
+    assert got == {"r": (2, 0), "q": (4, 7)}
+    seen = frame([("s", "cyclic-load", "r", 0, 1500, 1500), ("s", "low-load", "r", 0, 10, 10)], SAMPLES)
+    series = timeline.run_timelines(seen, runs)
+    assert by_second(series["produced"].where("run_id = 'r'"), "produced_eps") == {0: 15.0, 1: 15.0}
+    assert by_second(series["visible"], "cumulative_visible") == {0: 0, 1: 1, 2: 1}
+    assert by_second(series["backlog"], "observable_backlog") == {0: 15.0, 1: 29.0, 2: 29.0}
+    assert series["latency"].first()["p50_ms"] == 1500.0
