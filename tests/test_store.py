@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pulse.plans.ingest import IngestCounts, clean_events, ingest
 from pulse.sinks import jdbc
 from pulse.sinks.event_store import EventStore
-from pulse.sources.kafka import between_offsets, topic_options
+from pulse.sources.kafka import between_offsets, spread, topic_options
 
 LOG = "value BINARY, partition INT, offset LONG"
 
@@ -139,3 +139,10 @@ def test_jdbc_statements():
     assert jdbc.write_options({"url": "u"}, "t", "streaming")["batchsize"] == "2000"
     merge = jdbc.merge_statement("stage", "events")
     assert merge.startswith("INSERT INTO events (event_id,") and "ON CONFLICT (event_id) DO NOTHING" in merge
+
+
+def test_few_pieces_are_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
+    many = spark.range(100).repartition(cores + 3)
+    assert spread(many) is many
