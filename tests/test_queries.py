@@ -1,7 +1,9 @@
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import difference, tables
+from pulse.catalog.oracle import all_sql as oracle_sql
+from pulse.catalog.queries import all_queries as queries
 
 FOLDER = "/root/testdata/sf0.001"
 
