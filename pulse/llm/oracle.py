@@ -26,4 +26,20 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.component_id, s.doc_id = r.co
 FROM sets s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) r ON s.doc_id = r.node
 """
 
-SQL: dict[str, str] = {"op10_minhash": OP10}
+OP5 = f"""
+WITH words AS (
+    SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+), starts AS (
+    SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM words WHERE len(w) >= 13
+), windows AS (SELECT doc_id, p, array_to_string(w[p:p+12], ' ') AS g FROM starts),
+firsts AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g),
+hit AS (SELECT doc_id, p FROM windows JOIN firsts USING (g) WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, p + k AS p FROM hit, range(0, 13) t(k)),
+lists AS (SELECT doc_id, list(p) AS gone FROM gone GROUP BY doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+    sha256(coalesce(array_to_string(list_transform(
+        list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: w[i]), ' '), '')) AS kept_sha256
+FROM words LEFT JOIN lists USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op5_substring_dedup": OP5, "op10_minhash": OP10}

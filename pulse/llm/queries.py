@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulse.llm import bpe, decontaminate, minhash, pii, quality
+from pulse.llm import bpe, decontaminate, minhash, pii, quality, substrings
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, folder, "documents"), with_text=False).drop("kept_text")
+
+
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.found(table(spark, folder, "documents"))
 
@@ -39,5 +43,5 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_pii, op7_byte_bpe, op8_decontamination, op9_quality_rules, op10_minhash)
+    f.__name__: f for f in (op5_substring_dedup, op6_pii, op7_byte_bpe, op8_decontamination, op9_quality_rules, op10_minhash)
 }
