@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulse.llm import bpe, decontaminate, minhash, pii, quality, substrings
+from pulse.llm import bpe, decontaminate, minhash, pii, quality, substrings, token_store
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+LARGEST_WORD_ID = 49_407
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -16,6 +18,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    with open(WORD_TOKENIZER, encoding="utf-8") as file:
+        definition = file.read()
+    files, place = token_store.stored(spark, table(spark, folder, "documents"), definition, LARGEST_WORD_ID)
+    return token_store.read(files, place, with_ids=False).drop("ids")
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.deduplicated(table(spark, folder, "documents"), with_text=False).drop("kept_text")
 
@@ -43,5 +52,5 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_substring_dedup, op6_pii, op7_byte_bpe, op8_decontamination, op9_quality_rules, op10_minhash)
+    f.__name__: f for f in (op1_token_store, op5_substring_dedup, op6_pii, op7_byte_bpe, op8_decontamination, op9_quality_rules, op10_minhash)
 }
