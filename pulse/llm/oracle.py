@@ -26,6 +26,16 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.component_id, s.doc_id = r.co
 FROM sets s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) r ON s.doc_id = r.node
 """
 
+OP3 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+r AS (SELECT h, max(page_id) AS response FROM d WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+    CASE WHEN n >= 1000 AND response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 1000 AND response <> page_id THEN response END AS refers_to
+FROM d LEFT JOIN r USING (h)
+"""
+
 OP5 = f"""
 WITH words AS (
     SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
@@ -42,4 +52,4 @@ SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT A
 FROM words LEFT JOIN lists USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op5_substring_dedup": OP5, "op10_minhash": OP10}
+SQL: dict[str, str] = {"op3_warc": OP3, "op5_substring_dedup": OP5, "op10_minhash": OP10}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulse.llm import bpe, decontaminate, minhash, pii, quality, substrings, token_store
+from pulse.llm import bpe, decontaminate, minhash, pii, quality, substrings, token_store, warc
+from pulse.session import shared_dir
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LARGEST_WORD_ID = 49_407
@@ -25,6 +26,10 @@ def op1_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.read(files, place, with_ids=False).drop("ids")
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages"), shared_dir(spark, "archive")).drop("url")
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.deduplicated(table(spark, folder, "documents"), with_text=False).drop("kept_text")
 
@@ -52,5 +57,5 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op5_substring_dedup, op6_pii, op7_byte_bpe, op8_decontamination, op9_quality_rules, op10_minhash)
+    f.__name__: f for f in (op1_token_store, op3_warc, op5_substring_dedup, op6_pii, op7_byte_bpe, op8_decontamination, op9_quality_rules, op10_minhash)
 }
