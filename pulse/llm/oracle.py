@@ -26,6 +26,24 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.component_id, s.doc_id = r.co
 FROM sets s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) r ON s.doc_id = r.node
 """
 
+#: 16 shards and the least prime from 1601 on. A turn's claim is its shard's first slot that nobody has.
+OP2 = """
+WITH RECURSIVE shards AS (
+    SELECT i::BIGINT AS i, 'shard-' || lpad(i::VARCHAR, 3, '0') AS shard,
+        ('0x' || substr(md5('shard-' || lpad(i::VARCHAR, 3, '0') || '/offset'), 1, 15))::BIGINT % 1601 AS o,
+        ('0x' || substr(md5('shard-' || lpad(i::VARCHAR, 3, '0') || '/step'), 1, 15))::BIGINT % 1600 + 1 AS s
+    FROM range(16) t(i)
+), prefs AS MATERIALIZED (SELECT i, (o + j * s) % 1601 AS slot, j FROM shards, range(1601) t(j)),
+claims AS (
+    SELECT 0::BIGINT AS turn, slot::BIGINT AS slot, NULL::BIGINT AS owner FROM range(1601) t(slot)
+    UNION ALL
+    SELECT turn + 1, slot, CASE WHEN owner IS NULL AND j = min(CASE WHEN owner IS NULL THEN j END) OVER () THEN i ELSE owner END
+    FROM claims JOIN prefs USING (slot) WHERE i = turn % 16 AND turn < 1601
+), slots AS (SELECT slot, owner AS i FROM claims WHERE turn = 1601),
+keys AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0))), 1, 15))::BIGINT % 1601 AS slot FROM documents)
+SELECT doc_id, slot, shard FROM keys JOIN slots USING (slot) JOIN shards USING (i)
+"""
+
 OP3 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
@@ -52,4 +70,4 @@ SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT A
 FROM words LEFT JOIN lists USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op3_warc": OP3, "op5_substring_dedup": OP5, "op10_minhash": OP10}
+SQL: dict[str, str] = {"op2_sharding": OP2, "op3_warc": OP3, "op5_substring_dedup": OP5, "op10_minhash": OP10}

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulse.llm import bpe, decontaminate, minhash, pii, quality, substrings, token_store, warc
+from pulse.llm import bpe, decontaminate, language, minhash, pii, quality, sharding, substrings, token_store, warc
 from pulse.session import shared_dir
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LARGEST_WORD_ID = 49_407
+SHARDS = 16
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -26,10 +28,20 @@ def op1_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return token_store.read(files, place, with_ids=False).drop("ids")
 
 
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    names = spark.range(SHARDS).select(F.format_string("shard-%03d", "id").alias("shard"))
+    ids = table(spark, folder, "documents").select("doc_id")
+    return sharding.placed(ids, ["doc_id"], sharding.slot_table(spark, names))
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages"), shared_dir(spark, "archive")).drop("url")
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identified(table(spark, folder, "documents")).drop("spans")
+
+
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.deduplicated(table(spark, folder, "documents"), with_text=False).drop("kept_text")
 
@@ -57,5 +69,5 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op3_warc, op5_substring_dedup, op6_pii, op7_byte_bpe, op8_decontamination, op9_quality_rules, op10_minhash)
+    f.__name__: f for f in (op1_token_store, op2_sharding, op3_warc, op4_language_id, op5_substring_dedup, op6_pii, op7_byte_bpe, op8_decontamination, op9_quality_rules, op10_minhash)
 }
