@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pulse.operators.timeline import profile_runs
 from pulse.plans.reports import production_totals
 from pulse.schemas import KEY, SCENARIO_TARGET_EPS, SCENARIOS, STRATEGIES
-from pulse.sources.kafka import spread
 
 ORIGIN_MS = 1704067200000  # first moment of the events table's month
 SPEEDUP = 8640  # a month of 30 days in 300 s, the length of an official run
@@ -138,7 +137,7 @@ def as_kafka_log(log: DataFrame) -> DataFrame:
 
 
 def kafka_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_kafka_log(as_event_log(spread(table(spark, sf_dir, "events"))))
+    return as_kafka_log(as_event_log(table(spark, sf_dir, "events")))
 
 
 def seen_at() -> Column:
@@ -150,7 +149,7 @@ def seen_at() -> Column:
 def domain_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON records of the three domain kinds, some outside their rules; ``error`` events have a
     kind that is not known."""
-    log = as_event_log(spread(table(spark, sf_dir, "events")))
+    log = as_event_log(table(spark, sf_dir, "events"))
     c = F.col
     kind = (
         F.when(c("event_type") == "purchase", "financial_tick")

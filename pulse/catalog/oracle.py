@@ -353,7 +353,11 @@ def _kruskal(source: str, digits: int) -> str:
 
 _SQL["kruskal_wallis"] = _with("log", "samples") + "," + _kruskal("samples", 6)
 _SQL["shipping_rank_tests"] = _with("ships") + "," + _kruskal("ships", 5)
-_SQL["mann_whitney_u"] = _with("log", "samples") + f""",
+#: 2·(1 − Φ(z)) by the series of the error function, each term from its logarithm.
+_TAILS = """CASE WHEN z >= 8 THEN 0.0::DOUBLE WHEN z <= 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - 2 / sqrt(pi()) * exp(-z * z / 2)
+    * list_sum(list_transform(range(0, 151), lambda k: exp(2 * k * ln(2.0::DOUBLE) + (2 * k + 1) * ln(z / sqrt(2.0::DOUBLE))
+        + lgamma(k + 1.0::DOUBLE) - lgamma(2 * k + 2.0::DOUBLE))))) END"""
+_PAIRS_TESTED = f"""
   pairs(a, b) AS (VALUES ('batch', 'microbatch'), ('batch', 'streaming'), ('microbatch', 'streaming')),
   both_sides AS (SELECT scenario, a || '_vs_' || b AS pair, strategy = a AS is_left, latency_ms
                  FROM samples JOIN pairs ON strategy IN (a, b)),
@@ -363,11 +367,21 @@ _SQL["mann_whitney_u"] = _with("log", "samples") + f""",
                   sum(r) FILTER (is_left) AS r1, sum(t * t - 1) AS ties
            FROM ranked GROUP BY scenario, pair),
   us AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u1, n1 + n2 AS n FROM sums),
-  big AS (SELECT *, greatest(u1, n1 * n2 - u1) AS u FROM us)
+  big AS (SELECT *, greatest(u1, n1 * n2 - u1) AS u FROM us),
+  zs AS (SELECT *, (u - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))) AS z FROM big),
+  tested_pairs AS (SELECT *, {_TAILS} AS p FROM zs)"""
+_SQL["mann_whitney_u"] = _with("log", "samples") + f""",{_PAIRS_TESTED}
   SELECT scenario, pair, n1, n2, u1, u,
-         round((u - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))), 5) AS z,
-         CASE WHEN least(n1, n2) <= 8 AND ties = 0 THEN 'exact_needed' ELSE 'normal' END AS method
-  FROM big"""
+         round(z, 5) AS z, round(p, 5) AS p, round(least(1.0::DOUBLE, 3 * p), 5) AS p_adj
+  FROM tested_pairs"""
+
+_WIDE = ", ".join(f"round(max(least(1.0::DOUBLE, 3 * p)) FILTER (pair = '{n}'), 6) AS {n}_p_adj" for n in (
+    "batch_vs_microbatch", "batch_vs_streaming", "microbatch_vs_streaming"))
+_SQL["statistical_tests"] = _with("log", "samples") + f""",
+  whole_tests AS (WITH base AS (SELECT 1), {_kruskal('samples', 6).lstrip()}),{_PAIRS_TESTED},
+  wide AS (SELECT scenario, {_WIDE} FROM tested_pairs GROUP BY scenario)
+  SELECT scenario, kruskal_h, kruskal_p, CASE WHEN kruskal_p < 0.05 THEN 'si' ELSE 'no' END AS significant, wide.* EXCLUDE (scenario)
+  FROM whole_tests LEFT JOIN wide USING (scenario) WHERE groups >= 2"""
 
 # --- runs ---------------------------------------------------------------------------------------------
 
@@ -545,6 +559,11 @@ _sql("elapsed_counts", "log samples origin seconds", f"SELECT {K}, elapsed_s, ev
 _TIMELINE = "log samples gen runs origin seconds visible"
 _sql("visibility_timeline", _TIMELINE, f"""
   SELECT {K}, elapsed_s, n AS visible_count_window, n AS visible_eps, cumulative_visible FROM visible""")
+_sql("live_latency_stream", "log", """
+  SELECT produced_at // 10000 * 10000 AS window_start_ms, strategy, scenario, count(*) AS rows_seen,
+         round(quantile_cont(latency_ms, 0.5), 3) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 3) AS p95_ms,
+         round(quantile_cont(latency_ms, 0.99), 3) AS p99_ms
+  FROM log WHERE latency_ms IS NOT NULL GROUP BY ALL""")
 _sql("latency_timeseries", "log samples origin", f"""
   SELECT {K}, (produced_at - start_at) // 10000 * 10 AS bucket_start_s,
          round(quantile_cont(latency_ms, 0.5), 3) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 3) AS p95_ms,
@@ -716,7 +735,7 @@ _UNCOVERED = """(SELECT count(*) FROM (VALUES ('batch'), ('microbatch'), ('strea
   WHERE x NOT IN (SELECT strategy FROM lag WHERE is_real))"""
 _BARE = f"""(SELECT count(*) FROM (SELECT {K}, bool_or(metric LIKE '%cpu%') AND bool_or(metric LIKE '%mem%') AS good
   FROM readings GROUP BY {K}) WHERE NOT good)"""
-_CLOCKS = """(SELECT count(*) FROM (SELECT user_id, count(*) AS n FROM log WHERE user_id < 10 GROUP BY user_id)
+_CLOCKS = """(SELECT count(*) FROM (SELECT user_id, count(*) AS n FROM log GROUP BY user_id)
   WHERE floor(abs(n % 12 - 6.5) + 0.5) > 5)"""
 _PER_STRATEGY = f"""per_strategy AS (
   SELECT strategy, count(*) AS n, quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95,

@@ -19,7 +19,7 @@ from pulse.sinks.event_store import EventStore
 from pulse.sources.kafka import between_offsets, stream_log_table
 from pulse.sources.sink_scan import latency_samples, next_page, run_samples
 from pulse.streaming.ingest import ingest_stream, run_to_end
-from pulse.streaming.monitor import append_samples, live_latency, live_visibility, publish
+from pulse.streaming.monitor import append_samples, count_latencies, live_latency, live_visibility, publish
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -156,12 +156,10 @@ def live_monitor_stream(spark, sf_dir):
 
 @_query
 def live_latency_stream(spark, sf_dir):
-    """Windows closed by the watermark; approximate, so it has no SQL beside it."""
+    """Every window's exact figures, from the counts that the stream has written."""
     out = shared_dir(spark, "windows")
-    figures = live_latency(_sample_stream(spark, sf_dir), late="0 seconds")
-    writer = figures.writeStream.outputMode("append").format("parquet").trigger(availableNow=True)
-    run_to_end(writer.option("checkpointLocation", shared_dir(spark, "offsets")).start(out))
-    return spark.read.schema(figures.schema).parquet(out)
+    run_to_end(count_latencies(_sample_stream(spark, sf_dir), out, shared_dir(spark, "offsets"), "bounded"))
+    return _rounded(live_latency(spark, out), 3)
 
 
 @_query
@@ -362,7 +360,7 @@ def kruskal_wallis(spark, sf_dir):
 @_query
 def mann_whitney_u(spark, sf_dir):
     tests = ranks.mann_whitney(inputs.samples(spark, sf_dir))
-    return _rounded(tests.select("scenario", "pair", "n1", "n2", "u1", "u", "z", "method"), 5)
+    return _rounded(tests, 5)
 
 
 @_query
@@ -374,7 +372,6 @@ def shipping_rank_tests(spark, sf_dir):
 
 @_query
 def statistical_tests(spark, sf_dir):
-    """With p-values; SQL here has no normal distribution, so it has no SQL beside it."""
     return _rounded(reports.statistical_tests(inputs.samples(spark, sf_dir)))
 
 
@@ -762,7 +759,7 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     metadata, summaries = inputs.run_metadata(log), inputs.run_summaries(log)
     generators, lag = inputs.generator_summaries(log), inputs.lag_series(log)
     nodes = log.groupBy("user_id").agg(F.count("*").alias("_n"))
-    offsets = nodes.where("user_id < 10").select(
+    offsets = nodes.select(
         F.col("user_id").cast("string").alias("node"), (F.col("_n") % 12 - 6.5).cast("string").alias("offset_ms")
     )
     return quality.quality_report(

@@ -272,19 +272,16 @@ def scope_checks(runs: DataFrame, scope: str = "official") -> DataFrame:
 # --- telemetry and clocks ------------------------------------------------------------------
 
 
-def snapshot_checks(snapshot: DataFrame, first_runs: int | None = None) -> DataFrame:
-    """Snapshots exist, and each has a processor and a memory metric. ``first_runs`` looks at that
-    many runs only, in key order; by default at all."""
+def snapshot_checks(snapshot: DataFrame) -> DataFrame:
+    """Snapshots exist, and each has a processor and a memory metric."""
     metric = F.lower("metric")
     per_run = snapshot.groupBy(*KEY).agg(
         F.bool_or(metric.contains("cpu")).alias("cpu"), F.bool_or(metric.contains("mem")).alias("mem")
     )
-    some = per_run.agg(F.count("*").alias("runs"))
-    looked_at = per_run.orderBy(*KEY).limit(first_runs) if first_runs else per_run
-    bare = looked_at.agg(F.count("*").alias("runs"), F.count_if(~(F.col("cpu") & F.col("mem"))).alias("bare"))
+    row = per_run.agg(F.count("*").alias("runs"), F.count_if(~(F.col("cpu") & F.col("mem"))).alias("bare"))
     exists = Rule("V27", INFO, F.col("runs") > 0, F.col("runs"), "snapshots exist")
     complete = _is_zero("V28", WARNING, "bare", "snapshots have cpu and mem", F.col("runs") > 0)
-    return _rows(some, [exists]).unionByName(_rows(bare, [complete]))
+    return _rows(row, [exists, complete])
 
 
 def clock_status(offsets: DataFrame, threshold_ms: int = 5) -> DataFrame:

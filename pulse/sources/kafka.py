@@ -67,12 +67,3 @@ def between_offsets(log: DataFrame, starts: dict[int, int] | None = None, ends:
     for number, end in (ends or {}).items():
         keep = keep & ((partition != number) | (offset < end))
     return log.where(keep)
-
-
-def spread(log: DataFrame) -> DataFrame:
-    """Deal the records of a source that is in fewer pieces than there are cores over all of them.
-
-    Parsing is the dear part of reading a log. A source with enough pieces is left as it is.
-    """
-    cores = log.sparkSession.sparkContext.defaultParallelism
-    return log.repartition(cores) if log.rdd.getNumPartitions() < cores else log

@@ -66,9 +66,11 @@ def writer(df: DataFrame, checkpoint: str, when: dict, output: str = "append") -
     return df.writeStream.outputMode(output).option("checkpointLocation", checkpoint).trigger(**when)
 
 
-def run_to_end(query: StreamingQuery, timeout_s: int = 600) -> bool:
-    """Wait for a bounded query; stop it at the deadline. Whether it ended by itself."""
-    ended = query.awaitTermination(timeout_s)
-    if not ended:
+def run_to_end(query: StreamingQuery, timeout_s: int | None = None) -> None:
+    """Wait for a bounded query, however long it takes. With a deadline, a query that has not ended by then is
+    stopped, which is an error: what it has written is not all there is."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
         query.stop()
-    return bool(ended)
+        raise TimeoutError(f"the stream had not ended after {timeout_s} s and was stopped; its output is not complete")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pulse.operators.order_stats import quantiles_of_counts, value_counts
 from pulse.schemas import LATENCY_BOUNDS, LATENCY_SAMPLE
 from pulse.sources.sink_scan import latency_samples
 from pulse.streaming.ingest import trigger, writer
@@ -30,24 +31,33 @@ def live_visibility(samples: DataFrame, bounds: Sequence[float] = LATENCY_BOUNDS
     )
 
 
-def live_latency(samples: DataFrame, width: str = "10 seconds", late: str = "1 minute") -> DataFrame:
-    """Approximate p50, p95 and p99 by window of production time, for a stream.
+COUNTS = "window_start_ms LONG, strategy STRING, scenario STRING, latency_ms LONG, n LONG, batch LONG"
 
-    A window is given out once no event later than ``late`` can come. The batch series has the
-    exact figures.
+
+def count_latencies(
+    samples: DataFrame, path: str, checkpoint: str, mode: str = "microbatch", width_ms: int = 10_000
+) -> StreamingQuery:
+    """Keep, under ``path``, the stream's rows counted by window of production time, labels and latency.
+
+    A micro-batch adds its own counts, in a folder of its number that a repeat replaces. No window is
+    ever closed: a late row adds to its window's counts like any other, and none is dropped.
     """
-    timed = samples.withColumn("produced_ts", F.timestamp_millis(F.col("produced_at")))
-    windowed = timed.withWatermark("produced_ts", late).groupBy(F.window("produced_ts", width), *LABELS)
-    figures = windowed.agg(
-        F.count("*").alias("rows_seen"),
-        F.percentile_approx("latency_ms", [0.5, 0.95, 0.99], 10000).alias("_q"),
-    )
-    return figures.select(
-        F.unix_millis("window.start").alias("window_start_ms"),
-        *LABELS,
-        "rows_seen",
-        *[F.col("_q")[i].alias(n) for i, n in enumerate(("p50_ms", "p95_ms", "p99_ms"))],
-    )
+    start = F.col("produced_at") - F.pmod("produced_at", F.lit(width_ms))
+
+    def add(batch: DataFrame, number: int) -> None:
+        own = value_counts(batch.withColumn("window_start_ms", start), ["window_start_ms", *LABELS], "latency_ms")
+        own.withColumn("latency_ms", F.col("latency_ms").cast("long")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return writer(samples, checkpoint, trigger(mode)).foreachBatch(add).start()
+
+
+def live_latency(spark: SparkSession, path: str) -> DataFrame:
+    """Exact rows, p50, p95 and p99 of every window so far, from the counts under ``path``."""
+    counts = spark.read.schema(COUNTS).parquet(path)
+    window = ["window_start_ms", *LABELS]
+    merged = counts.groupBy(*window, "latency_ms").agg(F.sum("n").alias("n"))
+    probs = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
+    return quantiles_of_counts(merged, window, "latency_ms", probs, extra=[F.sum("n").alias("rows_seen")])
 
 
 def append_samples(events: DataFrame, path: str, checkpoint: str, mode: str = "microbatch") -> StreamingQuery:

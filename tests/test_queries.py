@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_every_sql_has_its_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"live_latency_stream", "statistical_tests"}
+    assert set(queries()) == set(oracle_sql())
 
 
 def test_entry_gives_rows(spark):

@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pulse.operators import ranks
 from pulse.plans import reports
@@ -47,7 +48,6 @@ def test_two_groups_or_one_value_have_no_h(frame):
 def test_mann_whitney_counts(frame):
     got = ranks.mann_whitney(sample(frame, batch=[1, 2, 2], microbatch=[2, 3, 4])).first()
     assert (got["pair"], got["u1"], got["u"]) == ("batch_vs_microbatch", 1.0, 8.0)
-    assert got["method"] == "normal"
     # n = 6, one tie of three: variance 9/12 * (7 - 24/30); z = (8 - 4.5 - 0.5) / its root
     z = 3.0 / math.sqrt(9 / 12 * (7 - 24 / 30))
     assert got["z"] == pytest.approx(z)
@@ -55,9 +55,19 @@ def test_mann_whitney_counts(frame):
     assert got["p_adj"] == pytest.approx(min(1.0, 3 * got["p"]))
 
 
-def test_small_groups_without_ties_have_no_p(frame):
+def test_small_groups_have_a_p_too(frame):
     got = ranks.mann_whitney(sample(frame, batch=[1, 2], streaming=[3, 4])).first()
-    assert got["method"] == "exact_needed" and got["p"] is None and got["p_adj"] is None
+    z = (4 - 2 - 0.5) / math.sqrt(4 / 12 * 5)
+    assert got["z"] == pytest.approx(z) and got["p"] == pytest.approx(math.erfc(z / math.sqrt(2)))
+    few = ranks.mann_whitney(sample(frame, batch=list(range(8)), streaming=list(range(100, 150)))).first()
+    assert few["z"] > 4 and 0 < few["p"] < 1e-4
+
+
+def test_tails_of_the_normal_distribution(frame):
+    zs = [-0.4, 0.0, 0.01, 0.5, 1.0, 1.96, 3.0, 5.0, 7.5, 7.999, 8.0, 40.0, None]
+    got = frame([(z,) for z in zs], "z DOUBLE").select("z", ranks.two_sided_p(F.col("z")).alias("p")).collect()
+    for z, p in got:
+        assert p is None if z is None else p == pytest.approx(min(1.0, math.erfc(z / math.sqrt(2))), abs=4e-15)
 
 
 def test_pairs_use_their_own_ranks(frame):

@@ -8,7 +8,7 @@ from pulse.schemas import KAFKA_RECORD
 from pulse.sinks.event_store import EventStore
 from pulse.sources.kafka import stream_log_table
 from pulse.streaming.ingest import first_within, ingest_stream, run_to_end, trigger
-from pulse.streaming.monitor import append_samples, live_latency, live_visibility, publish
+from pulse.streaming.monitor import append_samples, count_latencies, live_latency, live_visibility, publish
 
 
 def log(spark, records):
@@ -39,7 +39,7 @@ def test_stream_equals_batch(spark, parts, tmp_path):
     ingest(spark.read.schema(KAFKA_RECORD).parquet(parts), batch, "one")
     stream = EventStore(spark, str(tmp_path / "stream"), stamp)
     source = stream_log_table(spark, parts, files_per_batch=1)
-    assert run_to_end(ingest_stream(source, stream, "run", str(tmp_path / "offsets"), "bounded"))
+    run_to_end(ingest_stream(source, stream, "run", str(tmp_path / "offsets"), "bounded"))
     assert content(stream) == content(batch)
     assert stream.events().select("batch_id").distinct().count() == 3
 
@@ -77,7 +77,8 @@ def test_triggers():
 def test_deadline_stops_the_query(spark, parts, tmp_path):
     store = EventStore(spark, str(tmp_path / "events"), F.col("produced_at"))
     query = ingest_stream(stream_log_table(spark, parts), store, "run", str(tmp_path / "offsets"), "microbatch", "1 second")
-    assert run_to_end(query, 12) is False
+    with pytest.raises(TimeoutError):
+        run_to_end(query, 12)
     assert not query.isActive and store.events().count() == 4
 
 
@@ -96,7 +97,7 @@ def sink(spark, tmp_path):
 def test_live_figures_equal_the_batch_ones(spark, sink, tmp_path, rows):
     table, stream = sink
     out = str(tmp_path / "figures")
-    assert run_to_end(publish(live_visibility(stream), out, str(tmp_path / "offsets"), "bounded"))
+    run_to_end(publish(live_visibility(stream), out, str(tmp_path / "offsets"), "bounded"))
     got = spark.read.parquet(out)
     assert rows(got, *sorted(got.columns)) == rows(live_visibility(table), *sorted(got.columns))
     assert got.first()["le_50"] == 51 and got.first()["last_visible_at_ms"] == 59059
@@ -109,14 +110,16 @@ def test_samples_are_appended(spark, sink, tmp_path):
     assert spark.read.parquet(out).count() == table.count()
 
 
-def test_windows_close_after_the_watermark(spark, sink, tmp_path):
-    _, stream = sink
+def test_windows_are_exact_and_late_rows_count(spark, sink, tmp_path):
+    table, stream = sink
     out = str(tmp_path / "windows")
-    figures = live_latency(stream, "10 seconds", "0 seconds")
-    query = figures.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "o")).trigger(availableNow=True)
-    run_to_end(query.start(out))
-    got = {r["window_start_ms"]: (r["rows_seen"], r["p50_ms"]) for r in spark.read.parquet(out).collect()}
-    assert got[0] == (10, 4) and got[40000] == (10, 44)
+    run_to_end(count_latencies(stream, out, str(tmp_path / "o"), "bounded"))
+    read = lambda: {r["window_start_ms"]: (r["rows_seen"], r["p50_ms"]) for r in live_latency(spark, out).collect()}
+    assert read()[0] == (10, 4.5) and read()[50000] == (10, 54.5) and len(read()) == 6
+    # Rows of the first window that come after all others.
+    table.limit(2).withColumn("latency_ms", F.lit(100).cast("long")).write.mode("append").parquet(str(tmp_path / "sink"))
+    run_to_end(count_latencies(stream, out, str(tmp_path / "o"), "bounded"))
+    assert read()[0] == (12, 5.5) and sum(n for n, _ in read().values()) == 62
 
 
 def test_copies_within_the_horizon(spark, parts, tmp_path):
