@@ -98,9 +98,9 @@ def sample_checks(samples: DataFrame) -> DataFrame:
         _is_zero("V14", ERROR, "negative", "no negative latency", some),
         Rule("V15", WARNING, share("extreme") < 1.0, F.col("extreme"), "under 1 % above 5 minutes", some),
         Rule("V16", WARNING, share("zero") < 5.0, F.col("zero"), "under 5 % zero latencies", some),
-        Rule("V17", ERROR, F.lit(not absent), F.lit(len(absent)), "required columns exist", some),
+        Rule("V17", ERROR, F.lit(not absent), F.lit(len(absent)), "required columns exist", F.lit(True) if absent else some),
         _is_zero("V18", ERROR, "unparsable", "no unreadable latency", some),
-        Rule("V24", WARNING, F.lit(has_times), F.lit(int(has_times)), "time columns exist", some),
+        Rule("V24", WARNING, F.lit(has_times), F.lit(int(has_times)), "time columns exist", some if has_times else F.lit(True)),
     ]
     if has_times:
         rules += [

@@ -26,7 +26,6 @@ from pulse.schemas import (
     GENERATOR_SUMMARY,
 )
 
-_CORRUPT = "_corrupt_record"
 _PATH = "_path"
 
 
@@ -42,29 +41,42 @@ def _relative_parts(root: str) -> Column:
     return F.split(below, "/")
 
 
-def _csv(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
-    """Every CSV of one name below the root, as text columns plus the path parts.
+def _lines(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Lines of every file of one name below the root, with their path and their place in the file."""
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root)
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return text.select("value", _file_path().alias(_PATH), place.alias("line"))
 
-    A record with too many fields is dropped; one with too few keeps the fields it has and nulls.
-    Both carry the raw record, so the field count tells them apart (the files hold no quoted
-    commas). Whole records are parsed even if few columns are asked for: the parser counts the
-    fields of what it parses, so with pruning a long record would pass for a good one.
+
+def _headers(lines: DataFrame) -> DataFrame:
+    """The first line of each file: its column names and its place."""
+    first = lines.where("line.start = 0").groupBy(_PATH).agg(F.min_by("value", "line").alias("_first"), F.min("line").alias("_at"))
+    names = F.transform(F.split(F.replace("_first", F.lit("\ufeff")), ","), lambda n: F.trim(n))
+    return first.select(_PATH, names.alias("_names"), "_at")
+
+
+def _csv(spark: SparkSession, root: str, name: str, schema: T.StructType, only_present: bool = False) -> DataFrame:
+    """Every CSV of one name below the root, as text columns plus the path parts and ``line``, its place in the file.
+
+    Fields go by the names in their file's first line, in any order; columns that a file lacks are null there, and
+    others are passed over. A record with more fields than its header is dropped, one with fewer keeps the fields it
+    has and nulls. The files hold no quoted commas. ``only_present`` leaves out the columns that no file has.
     """
-    strings = [T.StructField(f.name, T.StringType()) for f in schema.fields]
-    raw = (
-        spark.read.schema(T.StructType([*strings, T.StructField(_CORRUPT, T.StringType())]))
-        .option("header", "true")
-        .option("mode", "PERMISSIVE")
-        .option("columnPruning", "false")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", name)
-        .csv(root)
-        .withColumn(_PATH, _file_path())
-    )
-    too_long = F.size(F.split(F.col(_CORRUPT), ",")) > len(schema.fields)
-    kept = raw.where(F.col(_CORRUPT).isNull() | ~too_long)
-    return kept.withColumn("_parts", _relative_parts(root)).drop(_CORRUPT, _PATH)
+    lines = _lines(spark, root, name)
+    headers = _headers(lines)
+    fields = F.split("value", ",", -1)
+    rows = lines.where("value <> ''").join(headers, _PATH).where((F.col("line") != F.col("_at")) & (F.size(fields) <= F.size("_names")))
+    wanted = schema.names
+    if only_present:
+        # Distinct column names: as many as the files' layout has, however many files.
+        there = {r[0] for r in headers.select(F.explode("_names")).distinct().collect()}
+        wanted = [n for n in wanted if n in there]
+
+    def field(column: str) -> Column:
+        place = F.array_position("_names", column).cast("int")
+        return F.nullif(F.get(fields, F.nullif(place, F.lit(0)) - 1), F.lit("")).alias(column)
+
+    return rows.select(*map(field, wanted), "line", _relative_parts(root).alias("_parts"))
 
 
 def _label(place: int) -> Column:
@@ -74,7 +86,7 @@ def _label(place: int) -> Column:
 def _labelled(df: DataFrame, path_first: bool) -> DataFrame:
     """Run labels from the path, over or under the file's own."""
     for place, name in enumerate(KEY):
-        own = F.col(name)
+        own = F.col(name) if name in df.columns else F.lit(None).cast("string")
         value = F.coalesce(_label(place), own) if path_first else F.coalesce(own, _label(place))
         df = df.withColumn(name, value)
     return df
@@ -97,13 +109,14 @@ def read_latency_samples(
     """Latency samples of every run; the path decides the labels.
 
     ``flat_root`` also takes a file lying in the root itself, with the labels it holds, and files
-    three levels deep. ``raw`` leaves the number columns as text, for the quality rules.
+    three levels deep. ``raw`` leaves the number columns as text, and out those that no file has, for the
+    quality rules.
     """
-    df = _csv(spark, root, LATENCY_FILE, LATENCY_SAMPLE)
+    df = _csv(spark, root, LATENCY_FILE, LATENCY_SAMPLE, only_present=raw).drop("line")
     depth = F.size("_parts")
     if flat_root:
         nested = _labelled(df.where(depth >= 3), path_first=True)
-        df = nested.unionByName(df.where(depth == 1))
+        df = nested.unionByName(df.where(depth == 1), allowMissingColumns=True)
     else:
         df = _labelled(df.where(depth >= 4), path_first=True)
     df = df.where(in_scope("scenario", scope)).drop("_parts")
@@ -140,13 +153,12 @@ def read_generator_summaries(spark: SparkSession, root: str) -> DataFrame:
 def _series(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
     df = _csv(spark, root, name, schema)
     df = _labelled(df.where(F.size("_parts") >= 4), path_first=False)
-    return _typed(df.drop("_parts"), schema)
+    return _typed(df.drop("_parts", "line"), schema)
 
 
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """Metric snapshots in long form, with ``line`` to tell a later value from an earlier one."""
+    """Metric snapshots in long form, with ``line`` to tell a later value from an earlier one of the same file."""
     df = _csv(spark, root, SNAPSHOT_FILE, SNAPSHOT)
-    df = df.withColumn("line", F.monotonically_increasing_id())
     df = _labelled(df.where(F.size("_parts") >= 4), path_first=False)
     typed = [lenient_double("value").alias("value") if c == "value" else F.col(c) for c in SNAPSHOT.names]
     return df.select(*typed, "line")

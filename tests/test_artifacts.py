@@ -87,6 +87,56 @@ def test_series(spark, tree):
     assert artifacts.read_resource_series(spark, tree).first()["cpu_cores"] == 0.25
 
 
+@pytest.fixture
+def put(tmp_path):
+    def write(path, text):
+        target = tmp_path / "other" / "batch/low-load/run_1" / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(text)
+        return str(tmp_path / "other")
+
+    return write
+
+
+def test_columns_go_by_the_header(spark, put):
+    root = put("latency_samples.csv", "\ufefflatency_ms,note,event_id,visible_at,produced_at\n250,n,a,1500,1250\n\n9,n,b\n1,2,3,4,5,6\n")
+    put("kafka_lag_timeseries.csv", "timestamp,consumer_group,topic,lag\n5,g,t,7\n")
+    put("resources_timeseries.csv", "cpu_cores,timestamp\r\n1.5,5\r\n")
+    got = {r["event_id"]: r for r in artifacts.read_latency_samples(spark, root).collect()}
+    assert set(got) == {"a", "b"} and got["a"]["latency_ms"] == 250.0 and got["a"]["run_id"] == "run_1"
+    assert got["a"]["produced_at"] == 1250 and got["b"]["visible_at"] is None
+    lag = artifacts.read_lag_series(spark, root).first()
+    assert (lag["strategy"], lag["run_id"], lag["lag"], lag["topic"], lag["lag_source"]) == ("batch", "run_1", 7.0, "t", "unknown")
+    resources = artifacts.read_resource_series(spark, root).first()
+    assert (resources["cpu_cores"], resources["timestamp"], resources["mem_rss_bytes"], resources["scenario"]) == (1.5, 5, None, "low-load")
+
+
+def test_columns_that_no_file_has_fail_the_rules(spark, put):
+    from pulse.plans.quality import sample_checks
+
+    passed = lambda df: {r["check"]: r["passed"] for r in sample_checks(df).collect()}
+    root = put("latency_samples.csv", "event_id,produced_at\na,1250\n")
+    got = passed(artifacts.read_latency_samples(spark, root, raw=True))
+    assert got["V17"] is False and got["V24"] is False
+    root = put("latency_samples.csv", "event_id,latency_ms,visible_at,produced_at\na,1,1251,1250\n")
+    got = passed(artifacts.read_latency_samples(spark, root, raw=True))
+    assert got["V17"] is True and got["V24"] is True
+
+
+def test_last_value_of_a_file_in_several_splits(spark, put):
+    root = put("prometheus_snapshot.csv", "metric,value\n" + "".join(f"cpu_total_cores,{k}\n" for k in range(3000)))
+    from pulse.operators.telemetry import pivot_snapshot
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert pivot_snapshot(artifacts.read_snapshots(spark, root)).first()["cpu_total_cores"] == 2999
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
 def test_inventory_lists_files_without_reading_them(spark, tree, rows):
     found = artifacts.artifact_inventory(spark, tree)
     assert rows(found, "run_id", "artifact") == [
