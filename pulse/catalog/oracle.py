@@ -169,6 +169,8 @@ _sql("ingest_bounded_offsets", "log records", """
 _sql("ingest_replay", "log records clean stored",
      f"""SELECT {_ENVELOPE}, visible_at, CASE WHEN event_no % 12 < 6 THEN 'a' ELSE 'b' END AS batch_id
          FROM stored""")
+_sql("ingest_repeat_changed", "log records clean",
+     f"SELECT {_ENVELOPE}, 0::BIGINT AS bad_records FROM clean WHERE strategy = 'batch'")
 _sql("stream_equals_batch", "log records clean stored", f"SELECT {_ENVELOPE}, visible_at FROM stored")
 _SAMPLE = f"event_id, {K}, produced_at, visible_at, latency_ms::DOUBLE AS latency_ms"
 _sql("stream_samples", "log", f"SELECT {_SAMPLE} FROM log")

@@ -116,6 +116,18 @@ def ingest_replay(spark, sf_dir):
     return store.events().select(*_ENVELOPE, "visible_at", "batch_id")
 
 
+@_query
+def ingest_repeat_changed(spark, sf_dir):
+    """A batch, and then the same batch with fewer runs and no bad records: nothing of the first is left."""
+    log = inputs.kafka_log(spark, sf_dir)
+    store = _store(spark, "repeat")
+    ingest(log, store, "a")
+    good = parsing.parse_events(log).withColumn("key", F.lit(None).cast("binary")).where("accepted AND strategy = 'batch'")
+    ingest(good.select("key", F.col("value").cast("binary"), "topic", "partition", "offset", "timestamp"), store, "a")
+    left = store.events().select(*_ENVELOPE).withColumn("bad_records", F.lit(store.quarantine().count()).cast("long"))
+    return left
+
+
 @_query
 def stream_equals_batch(spark, sf_dir):
     """The log as a stream of files, ingested in several micro-batches until it is used up."""

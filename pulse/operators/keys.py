@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from pulse.functions.columns import preferred_rank
 from pulse.schemas import KEY, SAMPLE_ROWS_PER_RUN, SCENARIOS, STRATEGIES
 
-SALTS = 64
-LOCAL_ROWS = 10_000  # a megabyte or two: the most rows that are fetched and broadcast
-
 
 def first_wins(df: DataFrame, key: str = "event_id", order: Sequence[str] = ("partition", "offset")):
     """The first row of each key. ``order`` must be total among rows that differ.
@@ -50,19 +47,21 @@ def keep_runs(df: DataFrame, runs: DataFrame, on: Sequence[str] = KEY) -> DataFr
 
 
 def attach_per_run(
-    rows: DataFrame, per_run: DataFrame, on: Sequence[str] = KEY, how: str = "inner", salts: int = SALTS
+    rows: DataFrame, per_run: DataFrame, on: Sequence[str] = KEY, how: str = "inner", salts: int | None = None
 ) -> DataFrame:
     """Join many rows with a table of one row per run.
 
-    A run may hold a large share of the rows. Each run's one row is repeated ``salts`` times and
-    the rows are dealt over the copies, so that no run is joined in one task, nor grouped in one by
-    whatever follows: rows spread on the salted key satisfy no grouping by run. Rows are dealt by
-    their content and the task they come from, both the same if a task runs again; so even rows
-    that are all alike are spread as far as they came from different tasks.
+    A run may hold a large share of the rows. Each run's one row is repeated ``salts`` times, by default once for
+    each shuffle partition, and the rows are dealt over the copies, so that no run is joined in one task, nor
+    grouped in one by whatever follows: rows spread on the salted key satisfy no grouping by run. Rows are dealt by
+    their event id, or by their content if they have none, and the task they come from, all the same if a task runs
+    again; so even rows that are all alike are spread as far as they came from different tasks.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
-    others = [c for c, kind in rows.dtypes if c not in on and "map<" not in kind]
+    salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # One column is enough to deal by; hashing all would make every one of them part of the scan.
+    others = ["event_id"] if "event_id" in rows.columns else [c for c, kind in rows.dtypes if c not in on and "map<" not in kind]
     place = F.pmod(F.xxhash64(*others), F.lit(salts)) + F.spark_partition_id()
     dealt = rows.withColumn("_salt", F.pmod(place, F.lit(salts)).cast("int"))
     copies = per_run.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -78,48 +77,42 @@ def in_display_order(df: DataFrame, *, scenario="scenario", strategy="strategy",
     return df.orderBy(*order, *then)
 
 
-def local_copy(df: DataFrame, most: int = LOCAL_ROWS) -> DataFrame | None:
-    """The rows of a small table as a local one, which may then be broadcast; None if it has more
-    than ``most`` rows. Runs the table's plan, and fetches one row more than that at the most."""
-    found = df.limit(most + 1).collect()
-    return df.sparkSession.createDataFrame(found, df.schema) if len(found) <= most else None
-
-
 def bounded_sample(
     df: DataFrame,
     rows: int = SAMPLE_ROWS_PER_RUN,
     keys: Sequence[str] = KEY,
     id_col: str = "event_id",
     seed: int = 42,
-    local_rows: int = LOCAL_ROWS,
 ) -> DataFrame:
     """At most ``rows`` rows of each run: those whose hashed id comes first.
 
-    The same input gives the same rows in any order and on any cluster. A count of rows by the
-    hash's first 12 bits, taken at once, shows per run up to which prefix the sample can reach; only
-    rows up to there are shuffled and ranked, close to ``rows`` of each run. They are ranked per
-    input partition first, so that even a run made of copies of one id, which share one hash, is
-    never ranked in one task whole. With more than ``local_rows`` runs the limits are not broadcast
-    but joined, which shuffles all rows.
+    The same input gives the same rows in any order and on any cluster. Counts of rows by the hash's first 12 bits
+    show per run in which prefix the sample ends; counts by the next 12 bits, of that prefix alone, show where in
+    it. So a run of 10¹² rows has some ten thousand more candidates than its sample. Only candidates are shuffled; they are
+    ranked per input partition first, so that even a run made of copies of one id, which share one hash, is never
+    ranked in one task whole.
     """
     keys = list(keys)
     mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col)))
-    tagged = df.withColumn("_mark", mark).withColumn(
-        "_prefix", F.conv(F.substring("_mark", 1, 3), 16, 10).cast("int")
-    )
-    by_prefix = tagged.groupBy(*keys, "_prefix").agg(F.count("*").alias("_n"))
-    reach = Window.partitionBy(*keys).orderBy("_prefix")
-    before = F.coalesce(F.sum("_n").over(reach.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    limits = (
-        by_prefix.withColumn("_before", before)
-        .where(F.col("_before") < rows)
-        .groupBy(*keys)
-        .agg(F.max("_prefix").alias("_last"))
-    )
-    known = local_copy(limits, local_rows)
-    joined = tagged.join(F.broadcast(known), keys) if known is not None else attach_per_run(tagged, limits, keys)
+    digits = lambda first: F.conv(F.substring("_mark", first, 3), 16, 10).cast("int")
+    tagged = df.withColumn("_mark", mark).withColumns({"_high": digits(1), "_low": digits(4)})
+
+    def last(counted: DataFrame, digit: str, wanted: Column, *more: str) -> DataFrame:
+        """Per run the digit in which the sample ends, and how many rows it still takes of it."""
+        by_digit = counted.groupBy(*keys, digit, *more).agg(F.count("*").alias("_n"))
+        up_to = Window.partitionBy(*keys).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+        reached = by_digit.withColumn("_before", F.coalesce(F.sum("_n").over(up_to), F.lit(0))).where(F.col("_before") < wanted)
+        end = F.max(F.struct(F.col(digit), (wanted - F.col("_before")).alias("left")))
+        return reached.groupBy(*keys, *more).agg(end.alias("_end"))
+
+    high = last(tagged, "_high", F.lit(rows)).select(*keys, F.col("_end._high").alias("_last_high"), F.col("_end.left").alias("_left"))
+    inside = tagged.select(*keys, "_high", "_low").join(high, keys).where(F.col("_high") == F.col("_last_high"))
+    low = last(inside, "_low", F.col("_left"), "_left", "_last_high")
+    limits = low.select(*keys, "_last_high", F.col("_end._low").alias("_last_low"))
+    high_digit, low_digit = F.col("_high"), F.col("_low")
+    within = (high_digit < F.col("_last_high")) | ((high_digit == F.col("_last_high")) & (low_digit <= F.col("_last_low")))
     ties = sorted(c for c in df.columns if c not in keys)
-    ranked = joined.where(F.col("_prefix") <= F.col("_last")).withColumn("_task", F.spark_partition_id())
+    ranked = tagged.join(limits, keys).where(within).withColumn("_task", F.spark_partition_id())
     for spread in (["_task"], []):
         order = Window.partitionBy(*keys, *spread).orderBy("_mark", *ties)
         ranked = ranked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows)

@@ -35,10 +35,12 @@ def label_match(
 
 
 def with_series(samples: DataFrame) -> DataFrame:
-    """``series``: one text per metric and label set, whatever the labels' order in the map."""
+    """``series``: one text per metric and label set, whatever the labels' order in the map. What separates the
+    parts is escaped inside them, so different label sets make different texts."""
+    plain = lambda x: F.regexp_replace(x, r"([\\\\=,|])", r"\\$1")
     entries = F.array_sort(F.map_entries("labels"))
-    text = F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return samples.withColumn("series", F.concat_ws("|", F.col("metric"), F.array_join(text, ",")))
+    text = F.transform(entries, lambda e: F.concat_ws("=", plain(e["key"]), plain(e["value"])))
+    return samples.withColumn("series", F.concat_ws("|", plain(F.col("metric")), F.array_join(text, ",")))
 
 
 def _step(now: Column, previous: Column) -> Column:

@@ -42,6 +42,7 @@ def ingest(
     used, nothing is written if it is empty, and the table's keys are cut down to the batch's
     instead of being shuffled whole. A large log is read once, and again only if it had bad records.
     """
+    store.clear(batch_id)
     return (_ingest_small if small else _ingest_large)(parse_events(log), store, batch_id, run)
 
 

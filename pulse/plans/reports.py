@@ -23,7 +23,6 @@ from pulse.operators.order_stats import (
     box_stats,
     exact_quantiles,
     quantiles_of_counts,
-    value_counts,
 )
 from pulse.operators.ranks import kruskal_wallis, mann_whitney
 from pulse.schemas import (
@@ -39,8 +38,11 @@ from pulse.schemas import (
 # --- latency -----------------------------------------------------------------------
 
 
-def _latency_stats(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    counts = value_counts(samples, keys, "latency_ms")
+def _latency_stats(samples: DataFrame, keys: Sequence[str], visible: bool = False) -> DataFrame:
+    """Latency figures; with ``visible`` also the visible events and the last one's time, out of the same counts."""
+    seen = [F.count("visible_at").alias("_visible"), F.max("visible_at").alias("_last")] if visible else []
+    measured = samples.where(F.col("latency_ms").isNotNull())
+    counts = measured.groupBy(*keys, "latency_ms").agg(F.count("*").alias("n"), *seen)
     x, n = F.col("latency_ms"), F.col("n")
     extra = [
         F.sum(n).alias("latency_rows"),
@@ -49,6 +51,8 @@ def _latency_stats(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min(x).cast("double").alias("latency_min_ms"),
         F.max(x).cast("double").alias("latency_max_ms"),
     ]
+    if visible:
+        extra += [F.sum("_visible").alias("visible_events_final_latency"), F.max("_last").alias("last_visible_at_ms")]
     return quantiles_of_counts(counts, keys, "latency_ms", LATENCY_QUANTILES, extra=extra)
 
 
@@ -80,7 +84,7 @@ def _visibility(samples: DataFrame, cutoffs: DataFrame | None = None) -> DataFra
 
 def run_stats(samples: DataFrame) -> DataFrame:
     """Exact latency figures of every run, and how many events it made visible, and when last."""
-    return _latency_stats(samples, KEY).join(_visibility(samples), KEY)
+    return _latency_stats(samples, KEY, visible=True)
 
 
 def scenario_stats(samples: DataFrame) -> DataFrame:

@@ -55,13 +55,14 @@ def metric_snapshot(
     latency: DataFrame,
     containers: str = ".+",
     projects: str = ".+",
+    topic: str | None = None,
 ) -> DataFrame:
     """Nine metrics of each run in long form.
 
     ``runs``: run key, start_ms, end_ms, duration_s. ``latency``: run key, latency_rows and the
     three quantiles. ``containers`` and ``projects`` are the label patterns of the containers
     measured. The processor and memory figures take the first source that has a non-zero value:
-    containers by name, by project, by id, then the host.
+    containers by name, by project, by id, then the host. ``topic`` keeps the lag of that topic only.
     """
     found = with_series(within_runs(samples, runs))
 
@@ -113,6 +114,8 @@ def metric_snapshot(
            == F.concat_ws("-", F.lit("flink-streaming"), "scenario", "run_id"))
         & (F.col("strategy") == "streaming")
     )
+    if topic is not None:
+        lag_of_run = lag_of_run & (F.try_element_at("labels", F.lit("topic")) == topic)
     lag = max_over_time(found.where(lag_of_run), KEY).withColumnRenamed("maximum", "_lag")
 
     c = F.col

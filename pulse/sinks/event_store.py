@@ -29,7 +29,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 class EventStore:
     """Events under ``path``, partitioned by run and then by the batch that wrote them.
 
-    Writing a batch again replaces what that batch wrote before and nothing else. ``stamp`` gives
+    Ingesting a batch again replaces what that batch wrote before, all of it, and nothing else. ``stamp`` gives
     ``visible_at``: the time of the write, one value for a whole batch as ``current_timestamp`` is
     fixed within a query; it does not show when single rows became visible.
     """
@@ -99,6 +99,17 @@ class EventStore:
             .parquet(self.quarantine_path)
         )
 
+    def clear(self, batch_id: str) -> None:
+        """Remove what a batch wrote before, in every run and in the quarantine, before it is written again: the
+        repeat may have fewer runs, or no bad records."""
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        own = f"batch_id={escape(batch_id)}"
+        every = "/".join(["*"] * len(KEY))
+        for pattern in (f"{self.path.rstrip('/')}/{every}/{own}", f"{self.quarantine_path}/{own}"):
+            files, where = _hadoop_path(self.spark, pattern)
+            for found in files.globStatus(where) or []:
+                files.delete(found.getPath(), True)
+
     def empty_run(self, strategy: str, scenario: str, run_id: str) -> None:
         """Remove one run's rows, and no other's, before the run starts."""
         files, where = _hadoop_path(self.spark, self._run_path((strategy, scenario, run_id)))

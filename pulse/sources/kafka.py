@@ -54,16 +54,26 @@ def stream_log_table(spark: SparkSession, path: str, files_per_batch: int | None
     return reader.parquet(path)
 
 
-def between_offsets(log: DataFrame, starts: dict[int, int] | None = None, ends: dict[int, int] | None = None):
-    """Records from a start offset up to, but without, an end offset, by partition.
+Place = int | tuple[str, int]
+
+
+def between_offsets(log: DataFrame, starts: dict[Place, int] | None = None, ends: dict[Place, int] | None = None):
+    """Records from a start offset up to, but without, an end offset, by (topic, partition), or by partition alone
+    if the log is of one topic.
 
     A partition that is not listed is read from its first, or to its last, record. The bounds are
     one entry per topic partition, so they go into the filter as literals and reach the scan.
     """
-    partition, offset = F.col("partition"), F.col("offset")
+    offset = F.col("offset")
+
+    def elsewhere(place: Place):
+        topic, number = place if isinstance(place, tuple) else (None, place)
+        other = F.col("partition") != number
+        return other if topic is None else other | (F.col("topic") != topic)
+
     keep = F.lit(True)
-    for number, first in (starts or {}).items():
-        keep = keep & ((partition != number) | (offset >= first))
-    for number, end in (ends or {}).items():
-        keep = keep & ((partition != number) | (offset < end))
+    for place, first in (starts or {}).items():
+        keep = keep & (elsewhere(place) | (offset >= first))
+    for place, end in (ends or {}).items():
+        keep = keep & (elsewhere(place) | (offset < end))
     return log.where(keep)

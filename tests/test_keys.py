@@ -44,13 +44,12 @@ def test_salted_join_equals_plain_join(frame, rows):
         assert rows(keys.attach_per_run(many, runs, how=how, salts=8).fillna(-1), *KEY, "v", "w") == plain
 
 
-@pytest.mark.parametrize("local_rows", [10_000, 1])
-def test_bounded_sample_is_the_lowest_hashes(frame, rows, local_rows):
+def test_bounded_sample_is_the_lowest_hashes(frame, rows):
     import hashlib
 
     ids = [(("s", "c", "big"), f"e{i}") for i in range(500)] + [(("s", "c", "tiny"), f"t{i}") for i in range(3)]
     df = frame([(*run, i) for run, i in ids], RUN + ", event_id STRING")
-    sample = keys.bounded_sample(df, rows=20, local_rows=local_rows)
+    sample = keys.bounded_sample(df, rows=20)
     mark = lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest()
     expected = sorted(sorted((i for run, i in ids if run[2] == "big"), key=mark)[:20]) + ["t0", "t1", "t2"]
     assert sorted(r["event_id"] for r in sample.collect()) == sorted(expected)
