@@ -35,6 +35,8 @@ HEADLINE = [
     "mann_whitney_u",
     "shipping_rank_tests",
     "quality_rollup",
+    "quality_rows",
+    "metric_snapshot",
     "bounded_sample_counts",
 ]
 
