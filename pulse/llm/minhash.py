@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulse.llm.components import components
-from pulse.llm.shared import kept, partitions
+from pulse.llm.shared import Bitmap, kept, partitions
 from pulse.llm.words import mixed, odd_numbers, pieces, raw, runs, split, window_hashes, word_hashes
+from pulse.session import shared_dir
 
 
 @dataclass(frozen=True)
@@ -144,61 +145,75 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id and full shingle set, as bytes, of the documents in ``nodes``."""
+    """doc_id and full shingle set, as bytes, of the documents in ``nodes``, and of a few others.
+
+    The texts are not shuffled: every task asks a bitmap of the wanted ids' hashes, which lets a few others through; what
+    uses the sets joins them by doc_id. The bitmap lies in the shared folder and takes two bytes for each wanted id.
+    """
+    spark = docs.sparkSession
+    ids = nodes.select("doc_id").distinct()
+    cells = max(1 << 16, 16 * ids.count())
+    bits = Bitmap.written(ids.select("doc_id"), shared_dir(spark, "wanted"), cells)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None
         for piece in pieces(batches):
+            wanted = bits.read() if wanted is None else wanted
+            known = wanted.has(piece.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))
+            piece = piece.filter(pa.array(known & piece.column("doc_id").is_valid().to_numpy(zero_copy_only=False)))
             sets = [shingles(text, settings.shingle).tobytes() for text in raw(piece)]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "members"])
 
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(nodes, "doc_id", "left_semi")
-    return wanted.mapInArrow(build, "doc_id long, members binary")
+    return kept(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "doc_id long, members binary"), "sets")
+
+
+def _linked(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two sets are as similar as asked for."""
+    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (u, v) whose full sets are as similar as asked for, with sizes of intersection and union.
+def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (u, v) whose full sets are as similar as asked for.
 
     pairs has a column ``block``: pairs of one block share many documents, and a block has a bounded number
     of them. A document's set is sent once to each block, not once for each pair.
     """
-    spread = partitions(docs.sparkSession)
+    spread = partitions(pairs.sparkSession)
     places = pairs.select("block", F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = _sets(docs, places.select("doc_id").distinct(), settings)
     sent = places.join(sets, "doc_id").select("block", F.col("doc_id").alias("u"), F.lit(None).cast("long").alias("v"), "members")
     asked = pairs.select("block", "u", "v", F.lit(None).cast("binary").alias("members"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in runs(batches, "block"):
-            known = defaultdict(list)
+            known = defaultdict(list)  # more than one set only if rows repeat a doc_id
             found = []
             for u, v, members in zip(*(block.column(c).to_pylist() for c in ("u", "v", "members"))):
                 if members is not None:
-                    known[u].append(np.frombuffer(members, np.uint64))
-                    continue
-                for a in known[u]:  # more than one only if rows repeat a doc_id
-                    for b in known[v]:
-                        if 100 * min(len(a), len(b)) < settings.percent * max(len(a), len(b)):
-                            continue
-                        both = len(np.intersect1d(a, b, assume_unique=True))
-                        if 100 * both >= settings.percent * (len(a) + len(b) - both):
-                            found.append((u, v, both, len(a) + len(b) - both))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["u", "v", "in_both", "in_any"])
+                    known[u].append(members)
+                elif any(_linked(a, b, settings.percent) for a in known[u] for b in known[v]):
+                    found.append((u, v))
+            u, v = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     rows = sent.unionAll(asked).repartition(spread, "block").sortWithinPartitions("block", F.col("members").isNull())
-    return rows.mapInArrow(check, "u long, v long, in_both long, in_any long")
+    return rows.mapInArrow(check, "u long, v long")
 
 
 #: Members of a group that meet in one block, on either side.
 OUTER, INNER = 128, 512
 
 
-def _across(rows: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (u, v, block) of members of one band's group in different components, whose estimate allows a link.
+def _across(rows: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Links (u, v) between members of one band's group that are in different components.
 
     rows: band, doc_id, part (component), main (the group's largest component), n_all and n_out (members, and
-    members outside main), bits, bands. Groups are cut in blocks; a pair is given only in the first
-    of the bands that it shares.
+    members outside main), bits, bands. Groups are cut in blocks. First each block finds, by the estimate, which of
+    its members have a partner in it; only these come again, with their sets, and are compared exactly. So no pair
+    leaves a block but a link. A pair is compared only in the first of the bands that it shares.
     """
     spread, longs, most = partitions(rows.sparkSession), settings.places * BITS // 64, settings.most_unequal
     part = lambda n, size: F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(n) / size))
@@ -208,29 +223,41 @@ def _across(rows: DataFrame, settings: Settings) -> DataFrame:
     inner = rows.select(*fields, F.lit(1).alias("side"), all_parts("n_out", OUTER).alias("i"), part("n_all", INNER).alias("j"))
     blocks = outer.unionByName(inner).withColumn("block", F.xxhash64("band", "i", "j")).drop("i", "j")
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a block that may be linked, as two arrays of places."""
+        side = table.column("side").to_numpy()
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(a) or not len(b):
+            return a[:0], b[:0]
+        ids, parts, main = (table.column(c).to_numpy() for c in ("doc_id", "part", "main"))
+        bits, bands = _matrix(table.column("bits"), longs), _matrix(table.column("bands"), settings.bands)
+        x, y = np.nonzero(unequal(bits[a][:, None, :], bits[b][None, :, :]) <= most)
+        x, y = a[x], b[y]
+        # Two members outside the main component meet once, not twice.
+        ok = (parts[x] != parts[y]) & ((parts[y] == main[y]) | (ids[x] < ids[y]))
+        x, y = x[ok], y[ok]
+        first = (bands[x] == bands[y]).argmax(axis=1)
+        ok = bands[x, first] == table.column("band").to_numpy().view(np.uint64)[x]
+        return x[ok], y[ok]
+
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "block"):
-            side = table.column("side").to_numpy()
-            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if not len(a) or not len(b):
-                continue
-            ids, parts, main = (table.column(c).to_numpy() for c in ("doc_id", "part", "main"))
-            bits, bands = _matrix(table.column("bits"), longs), _matrix(table.column("bands"), settings.bands)
-            x, y = np.nonzero(unequal(bits[a][:, None, :], bits[b][None, :, :]) <= most)
-            x, y = a[x], b[y]
-            ok = (parts[x] != parts[y]) & ((parts[y] == main[y]) | (ids[x] < ids[y]))
-            x, y = x[ok], y[ok]
-            shared = bands[x] == bands[y]
-            band = table.column("band").to_numpy().view(np.uint64)
-            ok = bands[x, shared.argmax(axis=1)] == band[x]
-            x, y = ids[x[ok]], ids[y[ok]]
-            block = np.full(len(x), table.column("block")[0].as_py(), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(block)], names=["u", "v", "block"]
-            )
+            rows = np.unique(np.concatenate(pairs(table)))
+            if len(rows):
+                yield from table.take(pa.array(rows)).combine_chunks().to_batches()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, "block"):
+            members, ids = table.column("members").to_pylist(), table.column("doc_id").to_pylist()
+            found = [(ids[x], ids[y]) for x, y in zip(*pairs(table)) if _linked(members[x], members[y], settings.percent)]
+            u, v = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
+    shape = blocks.schema
     ordered = blocks.repartition(spread, "block").sortWithinPartitions("block", "side")
-    return ordered.mapInArrow(find, "u long, v long, block long")
+    some = kept(ordered.mapInArrow(partnered, shape), "partnered")
+    again = some.join(sets, "doc_id").repartition(spread, "block").sortWithinPartitions("block", "side")
+    return again.mapInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -251,7 +278,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     tried = kept(_alike(stars, nodes, settings), "tried")
     crowd = tried.groupBy("u").agg(F.ceil(F.count("*") / INNER).alias("parts"))
     block = F.xxhash64("u", F.pmod(F.xxhash64("v"), "parts"))
-    first = components(confirmed(tried.join(crowd, "u").withColumn("block", block), docs, settings))
+    sets = _sets(docs, members, settings)
+    first = components(confirmed(tried.join(crowd, "u").withColumn("block", block), sets, settings))
 
     # Groups of three and more whose members are not all in one component yet.
     placed = members.where("n > 2").join(first, F.col("doc_id") == F.col("node"), "left")
@@ -259,9 +287,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     sizes = placed.groupBy("band", "part").agg(F.count("*").alias("n"))
     most = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n_all"), F.max(F.struct("n", "part")).alias("most"))
     divided = most.where("parts > 1").select("band", "n_all", (F.col("n_all") - F.col("most.n")).alias("n_out"), F.col("most.part").alias("main"))
-    across = _across(placed.join(divided, "band").join(nodes, "doc_id"), settings)
-    more = kept(across.join(tried, ["u", "v"], "left_anti"), "across")
-    late = confirmed(more, docs, settings).select("u", "v")
+    late = _across(placed.join(divided, "band").join(nodes, "doc_id"), sets, settings)
     linked = components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(late))
 
     owner = same.join(linked, F.col("rep") == F.col("node"), "left").select(
@@ -294,4 +320,4 @@ def representatives(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     """The documents of which no smaller one of their group exists, with all their columns; of rows that
     repeat a doc_id, all stay or go."""
     gone = near_duplicates(docs, settings).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone_id"], "left_anti")

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +55,70 @@ def bounded_sample(df: DataFrame, key: str, rows: int, label: str) -> DataFrame:
     order = F.xxhash64(F.col(key).cast("string"))
     last = df.select(order.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     return kept(df.where(order <= (last if last is not None else 0)), label)
+
+
+@dataclass(frozen=True)
+class Bitmap:
+    """A set of whole numbers by a bit for each hash cell, kept in files of the shared folder, one for each stripe.
+
+    It lets through every number that is in it, and others at the rate at which its cells are taken.
+    """
+
+    folder: str
+    cells: int
+    stripe: int = 1 << 23
+
+    @staticmethod
+    def written(numbers: DataFrame, folder: str, cells: int) -> Bitmap:
+        """From a table of one column; each stripe is put together by one task, from the cells alone."""
+        made = Bitmap(folder, cells)
+        column = numbers.columns[0]
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cell = made.cell(batch.column(column).drop_null().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array(cell // made.stripe), pa.array(cell % made.stripe)], names=["stripe", "cell"])
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, bits = None, None
+            for batch in batches:
+                stripes, cells = (batch.column(c).to_numpy() for c in ("stripe", "cell"))
+                for number in np.unique(stripes).tolist():
+                    if number != now:
+                        if now is not None:
+                            write_whole(f"{folder}/{now}", [np.packbits(bits).tobytes()])
+                        now, bits = number, np.zeros(made.stripe, bool)
+                    bits[cells[stripes == number]] = True
+            if now is not None:
+                write_whole(f"{folder}/{now}", [np.packbits(bits).tobytes()])
+            yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["stripe"])
+
+        marked = numbers.mapInArrow(mark, "stripe long, cell long").distinct()
+        ordered = marked.repartition(partitions(numbers.sparkSession), "stripe").sortWithinPartitions("stripe")
+        ordered.mapInArrow(write, "stripe long").write.format("noop").mode("overwrite").save()
+        return made
+
+    def cell(self, numbers: np.ndarray) -> np.ndarray:
+        z = numbers.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((z ^ (z >> np.uint64(29))) % np.uint64(self.cells)).astype(np.int64)
+
+    def read(self) -> Members:
+        system, place = file_system(self.folder)
+        bits = np.zeros(-(-self.cells // self.stripe) * self.stripe // 8, np.uint8)
+        for number in range(-(-self.cells // self.stripe)):
+            if system.get_file_info(f"{place}/{number}").is_file:
+                with system.open_input_file(f"{place}/{number}") as file:
+                    bits[number * self.stripe // 8 : (number + 1) * self.stripe // 8] = np.frombuffer(file.read(), np.uint8)
+        return Members(self, bits)
+
+
+@dataclass(frozen=True)
+class Members:
+    """A bitmap in memory."""
+
+    of: Bitmap
+    bits: np.ndarray
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        cell = self.of.cell(numbers)
+        return (self.bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
