@@ -258,4 +258,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents that hold no copy of an item, with all their columns."""
     copies = matches(docs, benchmark, settings).select(F.col("doc_id").alias("_copy_id")).distinct()
-    return docs.join(copies, F.col("doc_id").cast("long") == F.col("_copy_id"), "left_anti")
+    return docs.join(copies, docs["doc_id"].cast("long") == copies["_copy_id"], "left_anti")
