@@ -56,7 +56,7 @@ def _cells(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of equal length in one compressed block, a byte place at a time, which compresses better."""
-    planes = [np.frombuffer(a.tobytes(), np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays]
+    planes = [np.frombuffer(a.tobytes(), np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
