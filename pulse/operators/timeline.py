@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulse.functions.columns import at_least, bucket, elapsed_s, is_advanced
 from pulse.operators.keys import attach_per_run, keep_runs
-from pulse.operators.order_stats import quantiles_of_counts
+from pulse.operators.order_stats import quantiles_of_counts, running_counts
 from pulse.schemas import KEY, LOAD_PROFILES, PROFILE_PERIOD_S
 
 _UP_TO_NOW = (Window.unboundedPreceding, Window.currentRow)
@@ -171,8 +171,9 @@ def visibility_timeline(samples: DataFrame, runs: DataFrame | None = None) -> Da
     filled = axis.join(counts, [*KEY, "elapsed_s"], "left").withColumn(
         "visible_count_window", F.coalesce("events", F.lit(0))
     )
-    running = F.sum("visible_count_window").over(_by_second().rowsBetween(*_UP_TO_NOW))
-    return filled.withColumn("cumulative_visible", running).select(
+    # By hours and within them: a run that a wrong clock stretches is not summed up in one task.
+    running = running_counts(filled.drop("events"), KEY, "elapsed_s", "visible_count_window", _BLOCK_S)
+    return running.withColumn("cumulative_visible", F.col("before") + F.col("visible_count_window")).select(
         *KEY,
         "elapsed_s",
         "visible_count_window",
