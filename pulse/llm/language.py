@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulse.llm.shared import kept
@@ -40,7 +39,7 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    #: Training texts for each language, at most.
+    #: Training texts for each language, at most about so many.
     sample: int = 1500
     #: Cells of the table of letter runs.
     cells: int = 1 << 18
@@ -153,15 +152,18 @@ def viterbi(scores: np.ndarray, firsts: np.ndarray, counts: np.ndarray, penalty:
 def trained(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     """The model from rows of text and lang; both are needed, other rows are passed over.
 
-    The texts of a language with the smallest hashes are the sample, the same ones in every run.
+    The texts of a language with the smallest hashes are the sample, about as many as asked for and the same ones
+    in every run; no text is shuffled for it.
     """
     spark, classes, cells = labelled.sparkSession, script_table(), settings.cells
-    rows = labelled.select("lang", "text").where("lang is not null and text is not null")
-    order = F.xxhash64("text")
-    # Rows of a language first meet in some parts each, so that no language is one task.
-    part = rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(64))).withColumn("h", order)
-    ranked = part.withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy("h")))
-    sample = kept(ranked.where(F.col("rank") <= -(-settings.sample // 64)).select("lang", "text"), "language-sample")
+    # Copies of a text are told apart by their doc_id, or one text might fill the sample.
+    own = ["doc_id"] if "doc_id" in labelled.columns else []
+    rows = labelled.select("lang", "text", *own).where("lang is not null and text is not null")
+    # One row a language; the model has a column for each, so there are never many.
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    taken = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, settings.sample / n))) if sizes else F.lit(None)
+    place = F.pmod(F.xxhash64("text", *own), F.lit(1_000_000_007)) / 1_000_000_007
+    sample = kept(rows.where(place < F.element_at(taken, F.col("lang"))) if sizes else rows.limit(0), "language-sample").select("lang", "text")
     sent = spark.sparkContext.broadcast(classes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
