@@ -21,15 +21,17 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -54,15 +56,36 @@ class Settings:
 MAGIC, END = b"TOK1", b"TOKX"
 NO_ID = -(1 << 63)
 _ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("before", "<i8")])
-#: White space by any rule: no token of a tokenizer that drops white space goes across it.
-_GAPS = regex.compile(r"[ \n]+")
+#: Latin letters with ASCII punctuation after them, but for the apostrophe, which begins contractions.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*)([!-&(-/:-@\[-`{-~]*)")
+_PROBES = ("Word", "ÀÉ", "ends,", "x.", "***", "mixed&&&", "Thing!?", "ÿ)", "antidisestablishment")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level models write each byte: itself if it prints, else one from U+0100 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class _Parts(dict):
+    """Ids of parts of words, by the tokenizer's model alone."""
+
+    def __init__(self, model, kind: str):
+        self._model, self._kind, self._letters = model, kind, byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        text = part if part.isascii() else "".join(map(self._letters.__getitem__, part.encode()))
+        ids = self[part] = array(self._kind, [t.id for t in self._model.tokenize(text)]).tobytes() if part else b""
+        return ids
 
 
 class Encoder:
     """Ids of whole texts through the tokenizers library, for a tokenizer that drops white space.
 
     Such a tokenizer treats what stands between two spaces alone, so the ids of a text are those of its words. Words seen
-    before are not encoded again.
+    before are not encoded again. A word of letters and punctuation after them is two parts to a tokenizer that
+    lowers case and parts the two; where some probes show that, the parts go to the library's model at once.
     """
 
     def __init__(self, definition: str, width: str, settings: Settings):
@@ -71,19 +94,33 @@ class Encoder:
 
         self._tokenizer, self._width, self._limit = Tokenizer.from_str(definition), width, settings.cached_words
         self._known: dict[str, bytes] = {}
+        self._parts = _Parts(self._tokenizer.model, {"<u2": "H", "<u4": "I"}[width])
+        self._by_parts = sys.byteorder == "little" and all(self._plain(w) == self._alone(w) for w in _PROBES)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """The texts' ids, serialised."""
-        words = [_GAPS.split(text) for text in batch]
+        # A space and a line break are white space by any rule: no token goes across them.
+        words = [text.replace("\n", " ").split(" ") for text in batch]
+        seen = set().union(*words)
+        if len(self._known) + len(seen) > self._limit:
+            self._known = {w: self._known[w] for w in seen if w in self._known}
+        if len(self._parts) > self._limit:
+            self._parts.clear()
         known = self._known
-        new = list({w for some in words for w in some if w not in known})
-        found = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        if len(known) + len(new) > self._limit:
-            known = {w: known[w] for some in words for w in some if w in known}
-        for word, encoding in zip(new, found):
-            known[word] = np.array(encoding.ids, self._width).tobytes()
-        self._known = known if len(known) <= self._limit else {}
-        return [b"".join([known[w] for w in some]) for some in words]
+        for word in seen:
+            if word not in known:
+                known[word] = self._plain(word) if self._by_parts else self._alone(word)
+        found = [b"".join(map(known.__getitem__, some)) for some in words]
+        if len(known) > self._limit:
+            self._known = {}
+        return found
+
+    def _plain(self, word: str) -> bytes:
+        parts = _PLAIN.fullmatch(word.lower())
+        return self._parts[parts[1]] + self._parts[parts[2]] if parts else self._alone(word)
+
+    def _alone(self, word: str) -> bytes:
+        return np.array(self._tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids, self._width).tobytes()
 
 
 def id_width(largest: int) -> str:
@@ -91,23 +128,25 @@ def id_width(largest: int) -> str:
     return "<u2" if largest < 1 << 16 else "<u4"
 
 
-def _encoded(docs: DataFrame, definition: str, width: str, settings: Settings) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(definition)
+def _encoding(spark: SparkSession, definition: str, width: str, settings: Settings):
+    """A function from batches of doc_id and text to batches of doc_id and serialised ids."""
+    shared = spark.sparkContext.broadcast(definition)
     end = b"" if settings.end_id is None else np.array([settings.end_id], width).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for piece in pieces(batches, limit=2 << 20):
+        for piece in pieces(batches, limit=4 << 20):
             encoder = encoder or Encoder(shared.value, width, settings)
             ids = [x + end for x in encoder.encode(texts(piece))]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
+    return encode
 
 
 def trained_dictionary(docs: DataFrame, definition: str, width: str, settings: Settings) -> bytes:
     """A dictionary for the serialised ids, from a bounded sample; empty if the sample is too small for one."""
-    ids = _encoded(bounded_sample(docs.select("doc_id", "text"), "doc_id", settings.sample, "token-sample"), definition, width, settings)
+    sample = bounded_sample(docs.select("doc_id", "text"), "doc_id", settings.sample, "token-sample")
+    ids = sample.mapInArrow(_encoding(docs.sparkSession, definition, width, settings), "doc_id long, ids binary")
     samples = [bytes(r["ids"]) for r in ids.select("ids").toLocalIterator()]
     try:
         return zstandard.train_dictionary(settings.dictionary_bytes, samples).as_bytes()
@@ -141,10 +180,12 @@ def write(docs: DataFrame, folder: str, definition: str, largest_id: int, settin
     bounds = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 10_000)).first()[0] if spread > 1 else []
     bounds = sorted(set(bounds or []))
 
+    encode = _encoding(spark, definition, width, settings)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, edges = _packer(dictionary, settings.level), np.array(bounds, np.int64)
         size = np.dtype(width).itemsize
-        for batch in batches:
+        for batch in encode(batches):
             ids = batch.column("ids").to_pylist()
             doc = batch.column("doc_id").fill_null(NO_ID)
             yield pa.RecordBatch.from_arrays(
@@ -175,7 +216,7 @@ def write(docs: DataFrame, folder: str, definition: str, largest_id: int, settin
             values = (shard, path, len(entries), state[0], entries[0][0], entries[-1][0], written)
             yield pa.RecordBatch.from_pylist([dict(zip([x.split()[0] for x in FILES.split(", ")], values))], schema=_FILES)
 
-    packed = _encoded(docs, definition, width, settings).mapInArrow(pack, "shard int, doc_id long, tie long, n long, frame binary")
+    packed = docs.mapInArrow(pack, "shard int, doc_id long, tie long, n long, frame binary")
     ordered = packed.repartitionById(spread, F.col("shard")).sortWithinPartitions("shard", "doc_id", "tie")
     # Each task's files have names of their own; the table lists those of the tasks that counted.
     return kept(ordered.mapInArrow(store, FILES), "token-files")
