@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,12 @@ class Codec:
         return self._encoding.decode_bytes(ids)
 
 
+@lru_cache(maxsize=2)
+def codec(ranks: bytes, pattern: str) -> Codec:
+    """The encoder, made once in a worker and kept for its later tasks."""
+    return Codec(ranks, pattern)
+
+
 def shared_bytes(spark: SparkSession, path: str) -> bytes:
     """A small local file's bytes, read once in the driver; they travel with the tasks."""
     with open(path, "rb") as file:
@@ -91,15 +98,14 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Tru
     ranks = spark.sparkContext.broadcast(shared_bytes(spark, ranks_path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
+        own = codec(ranks.value, pattern)
         for piece in pieces(batches):
-            codec = codec or Codec(ranks.value, pattern)
             counts, of_ids, of_text, packed = [], [], [], []
             for text in texts(piece):
-                ids = codec.encode(text)
+                ids = own.encode(text)
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                of_text.append(hashlib.sha256(own.decode(ids)).hexdigest())
                 packed.append(np.array(ids, "<u4").tobytes() if with_ids else None)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -121,11 +127,10 @@ def decoded(encoded_docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame
     ranks = spark.sparkContext.broadcast(shared_bytes(spark, ranks_path))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = None
+        own = codec(ranks.value, pattern)
         for batch in batches:
-            codec = codec or Codec(ranks.value, pattern)
             text = [
-                codec.decode(np.frombuffer(x or b"", "<u4").tolist()).decode("utf-8", "replace")
+                own.decode(np.frombuffer(x or b"", "<u4").tolist()).decode("utf-8", "replace")
                 for x in batch.column("ids").to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "text"])

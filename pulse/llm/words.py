@@ -26,6 +26,8 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    # Idle workers of a long session give back what Arrow holds for reuse.
+    pa.default_memory_pool().release_unused()
 
 
 def raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
