@@ -6,6 +6,8 @@ the words of the benchmark, how often the corpus has them. A seed is rare if wor
 counts would make it less often than a limit, so a passage that was copied into very many documents keeps its seeds,
 while a run of everyday words makes none. The rarest quarter of an item's seeds always counts. Passages
 with a rare seed are aligned with the item, word by word; the score is the alignment's share of the best one possible.
+A copy has half of that score, or, however long the item is, a part of ``part`` words (nearly) in a row. For the latter
+the passage is aligned again with penalties under which only dense parts score, so sparse surroundings hide none.
 
 The items are the query set: they are read in blocks of a bounded number of words, and each block is
 held against all texts.
@@ -38,11 +40,15 @@ class Settings:
     rarity: float = 1e7
     #: Least score of a copy, as a share of the score of the whole item.
     score: float = 0.5
+    #: Least words of a verbatim part that is a copy by itself; each word changed in it costs four further ones.
+    part: int = 20
     #: Words of benchmark items that one pass looks for.
     block_words: int = 2_000_000
 
 
 MATCH, MISS, GAP = 2, -1, -1
+#: For parts: a word is worth 1, a change 3, so a part with a share of under 3/4 equal words has no score.
+DENSE = (1, -3, -3)
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _CLEAN = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 
@@ -118,26 +124,27 @@ def passages(words: np.ndarray, items: Items, settings: Settings) -> list[tuple[
     return found
 
 
-def align(items: list[np.ndarray], passage: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def align(items: list[np.ndarray], passage: list[np.ndarray], values: tuple[int, int, int] = (MATCH, MISS, GAP)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(score, first word, word after the last) of the best local alignment of each pair, by Smith-Waterman.
 
     A cell holds its score above 2^20 and, below, where its alignment began; so the larger of two cells is that with
     the better score. All pairs go through the table's rows together.
     """
+    match, miss, gap = values
     n, width, height = len(items), max(map(len, passage)), max(map(len, items))
     text, rows = np.zeros((n, width), np.uint64), np.ones((n, height), np.uint64)
     for k in range(n):
         text[k, : len(passage[k])], rows[k, : len(items[k])] = passage[k], items[k]
     one = np.int64(1 << 20)
     begin = np.arange(width + 1, dtype=np.int64)
-    ramp = begin * -GAP * one
+    ramp = begin * -gap * one
     before = np.tile(begin, (n, 1))
     best, end = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i in range(height):
         now = np.empty_like(before)
         now[:, 0] = 0
         equal = text == rows[:, i, None]
-        now[:, 1:] = np.maximum(before[:, :-1] + np.where(equal, MATCH, MISS) * one, before[:, 1:] + GAP * one)
+        now[:, 1:] = np.maximum(before[:, :-1] + np.where(equal, match, miss) * one, before[:, 1:] + gap * one)
         np.maximum(now, begin, out=now)
         now = np.maximum.accumulate(now + ramp, axis=1) - ramp
         place = (now >> 20).argmax(axis=1)
@@ -201,7 +208,14 @@ def _aligned(found: DataFrame, items: Items, rare: np.ndarray, settings: Setting
                 best, first, last = align([words[r[1]] for r in some], [r[3] for r in some])
                 share = best / np.array([MATCH * len(words[r[1]]) for r in some])
                 start = np.array([r[2] for r in some], np.int64)
-                ok = np.flatnonzero(share >= settings.score)
+                # A dense part of so many words has at least this score: each three words pay for one change.
+                maybe = np.flatnonzero((share < settings.score) & (3 * best >= 5 * settings.part))
+                whole = share >= settings.score
+                if len(maybe):
+                    dense, low, high = align([words[some[k][1]] for k in maybe], [some[k][3] for k in maybe], DENSE)
+                    enough = maybe[dense >= settings.part]
+                    first[enough], last[enough], whole[enough] = low[dense >= settings.part], high[dense >= settings.part], True
+                ok = np.flatnonzero(whole)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([some[k][0] for k in ok], pa.int64()),

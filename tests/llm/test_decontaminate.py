@@ -85,3 +85,18 @@ def test_seeds_of_common_words_are_not_rare():
     rare = block.rare(seen, 10**8, settings)
     common = np.searchsorted(block.seeds, decontaminate.window_hashes(word_hashes(words[:4]), 4))
     assert not rare[common].any() and rare.sum() >= 6
+
+
+def test_parts_of_long_items(spark, documents):
+    rnd = random.Random(9)
+    long, other = item(rnd, 400), item(rnd, 59)
+    few = lambda w: [x if k % 12 != 6 else f"zz{k}" for k, x in enumerate(w)]
+    sparse = [x if k % 3 == 0 else f"yy{rnd.randrange(9999)}" for k, x in enumerate(long)]
+    copies = [long[100:290], other[10:38], few(long[30:100]), long[200:225], sparse[:150] + long[150:190] + sparse[190:]]
+    others = [long[50:62], sparse, other[3:12]]
+    docs = documents([(k, " ".join(item(rnd, 40) + w + item(rnd, 40))) for k, w in enumerate(copies + others)])
+    benchmark = spark.createDataFrame([(0, " ".join(long)), (1, " ".join(other))], "item_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.matches(docs, benchmark).collect()}
+    assert {k: r.item_id for k, r in found.items()} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0}
+    assert (found[0].start, found[0].stop) == (40, 230) and found[0].score == 190 / 400
+    assert {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()} == {5, 6, 7}
