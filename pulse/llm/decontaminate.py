@@ -1,6 +1,7 @@
 """Benchmark decontamination (8): rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared in lower case and without ASCII punctuation. Every four words of a benchmark item are
+Words are compared in lower case and without ASCII punctuation; in scripts without spaces between words (Chinese,
+Japanese, Thai, Lao, Khmer, Burmese) each character is a word. Every four words of a benchmark item are
 a seed. One pass over the corpus finds the seeds in every text, cuts out the passage around them and counts, for
 the words of the benchmark, how often the corpus has them. A seed is rare if words drawn by these
 counts would make it less often than a limit, so a passage that was copied into very many documents keeps its seeds,
@@ -12,14 +13,17 @@ the passage is aligned again with penalties under which only dense parts score,
 The items are the query set: they are read in blocks of a bounded number of words, and each block is
 held against all texts.
 
-Defined cases: a missing text has no words and no matches. Items without text or of fewer than ``least_words`` words
-are not searched. Texts of any length are read whole. Repeated rows give their matches once per doc_id. Equal
+Items of fewer than ``least_words`` words are looked up in the same pass as whole word sequences, by a hash of their
+length; such a copy has score 1.
+
+Defined cases: a missing text has no words and no matches. Items without a word are not searched. Texts of any length are read whole. Repeated rows give their matches once per doc_id. Equal
 items are reported each. Empty tables give no rows. A row without doc_id is reported with a null doc_id. Ties of two
 alignments go to the earlier passage. Columns other than doc_id, text and item_id, text are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +39,7 @@ from pulse.llm.words import pieces, texts, window_hashes, word_hashes
 @dataclass(frozen=True)
 class Settings:
     seed: int = 4
+    #: Items of fewer words are found as exact copies only.
     least_words: int = 8
     #: A seed is rare if its words meet by chance less often than once in so many words.
     rarity: float = 1e7
@@ -53,7 +58,16 @@ _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _CLEAN = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 
 
+_THAI_LAO_BURMESE_KHMER = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+_EAST = "\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_UNSPACED = re.compile(f"[{_THAI_LAO_BURMESE_KHMER}{_EAST}]")
+#: Their punctuation, and full-width ASCII punctuation.
+_EAST_PUNCTUATION = re.compile("[\u3000-\u3004\u3008-\u3020\u3030\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+
+
 def normal_words(text: str) -> list[bytes]:
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", _EAST_PUNCTUATION.sub(" ", text))
     return text.lower().encode().translate(_CLEAN).split()
 
 
@@ -61,8 +75,16 @@ class Items:
     """A block of benchmark items, with the places of all their seeds ordered by seed."""
 
     def __init__(self, rows: list[tuple[object, str]], settings: Settings):
-        kept_rows = [(i, w) for i, t in rows if len(w := normal_words(t or "")) >= settings.least_words]
-        self.ids = [i for i, _ in kept_rows]
+        cut = [(i, w) for i, t in rows if (w := normal_words(t or ""))]
+        least = max(settings.least_words, settings.seed)
+        kept_rows, short = [r for r in cut if len(r[1]) >= least], [r for r in cut if len(r[1]) < least]
+        self.ids = [i for i, _ in kept_rows + short]
+        #: By length, the hash of each short item and the places of the items that have it.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for place, (_, w) in enumerate(short, len(kept_rows)):
+            whole = int(window_hashes(word_hashes(w), len(w))[0])
+            self.short.setdefault(len(w), {}).setdefault(whole, []).append(place)
+        self.short_hashes = {n: np.array(sorted(of), np.uint64) for n, of in self.short.items()}
         self.words = [word_hashes(w) for _, w in kept_rows]
         grams = [window_hashes(w, settings.seed) for w in self.words]
         sizes = [len(g) for g in grams]
@@ -94,6 +116,18 @@ class Items:
         return rare
 
 
+def short_copies(words: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
+    """(item, first word, words) of the first copy of each short item in a text."""
+    found = []
+    for n, hashes in items.short_hashes.items():
+        grams = window_hashes(words, n)
+        place = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+        at = np.flatnonzero(hashes[place] == grams)
+        for k, first in zip(*np.unique(grams[at], return_index=True)):
+            found += [(item, int(at[first]), n) for item in items.short[n][int(k)]]
+    return found
+
+
 def passages(words: np.ndarray, items: Items, settings: Settings) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(item, first word, words, seeds) of each passage of a text that holds seeds of an item."""
     grams = window_hashes(words, settings.seed)
@@ -161,7 +195,8 @@ _PASSAGE_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), p
 
 
 def _searched(docs: DataFrame, items: Items, settings: Settings) -> DataFrame:
-    """Passages with seeds (kind 0), and counts of the benchmark's words and of all words (kinds 1, 2)."""
+    """Passages with seeds (kind 0), counts of the benchmark's words and of all words (kinds 1, 2), and copies of short
+    items (kind 3, with their length as n)."""
     block = docs.sparkSession.sparkContext.broadcast(items)
     names = [part.split()[0] for part in PASSAGES.split(", ")]
 
@@ -176,11 +211,13 @@ def _searched(docs: DataFrame, items: Items, settings: Settings) -> DataFrame:
             for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts(piece)):
                 words = word_hashes(normal_words(text))
                 total += len(words)
-                place = np.searchsorted(items.vocabulary, words)
-                known = items.vocabulary[np.minimum(place, len(items.vocabulary) - 1)] == words
-                seen += np.bincount(place[known], minlength=len(seen))
+                if len(items.vocabulary):
+                    place = np.searchsorted(items.vocabulary, words)
+                    known = items.vocabulary[np.minimum(place, len(items.vocabulary) - 1)] == words
+                    seen += np.bincount(place[known], minlength=len(seen))
                 for item, start, part, seeds in passages(words, items, settings):
                     found.append((0, doc_id, item, start, part.tobytes(), seeds, None, None))
+                found += [(3, doc_id, item, start, None, None, None, n) for item, start, n in short_copies(words, items)]
             if found:
                 yield rows(found)
         counts = [(1, None, None, None, None, None, w, n) for w, n in zip(items.vocabulary.view(np.int64).tolist(), seen.tolist()) if n]
@@ -252,11 +289,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
         if not items.ids:
             continue
         found = kept(_searched(docs, items, settings), "passages")
-        counts = found.where("kind > 0").groupBy("kind", "word").agg(F.sum("n").alias("n")).collect()  # the block's words
+        counts = found.where("kind in (1, 2)").groupBy("kind", "word").agg(F.sum("n").alias("n")).collect()  # the block's words
         seen = {r["word"]: r["n"] for r in counts if r["kind"] == 1}
         total = sum(r["n"] for r in counts if r["kind"] == 2)
         rare = items.rare(seen, total, settings)
-        best = _aligned(found.where("kind = 0"), items, rare, settings).groupBy("doc_id", "item").agg(
+        exact = found.where("kind = 3").selectExpr("doc_id", "item", "1.0D AS score", "start", "start + n AS stop")
+        best = _aligned(found.where("kind = 0"), items, rare, settings).unionAll(exact).groupBy("doc_id", "item").agg(
             F.max_by(F.struct("score", "start", "stop"), F.struct("score", -F.col("start"))).alias("best")
         )
         names = spark.createDataFrame(list(enumerate(items.ids)), f"item int, item_id {kind}")

@@ -100,3 +100,26 @@ def test_parts_of_long_items(spark, documents):
     assert {k: r.item_id for k, r in found.items()} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0}
     assert (found[0].start, found[0].stop) == (40, 230) and found[0].score == 190 / 400
     assert {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()} == {5, 6, 7}
+
+
+def test_short_items_and_scripts_without_spaces(spark, documents):
+    rnd = random.Random(10)
+    benchmark = spark.createDataFrame(
+        [(0, "What is zyx?"), (1, "Qua!"), (2, "who was the first of them"), (3, "水の化学式は何ですか、答えなさい。"), (4, "ประเทศไทยมีกี่จังหวัด"), (5, "what is ZYX")],
+        "item_id long, text string",
+    )
+    fill = lambda: " ".join(item(rnd, 30))
+    texts = {
+        1: f"{fill()} what is zyx {fill()} What is: ZYX",
+        2: f"{fill()} qua",
+        3: f"{fill()} (Who was the first, of them) {fill()}",
+        4: "今日は晴れです。水の化学式は何ですか答えなさい。明日は雨です。",
+        5: "และประเทศไทยมีกี่จังหวัดนะ",
+        6: f"what is zyz, who was the first of {fill()}",
+        7: "今日は晴れです。明日は雨です。",
+    }
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.matches(documents(list(texts.items())), benchmark).collect()}
+    assert set(found) == {(1, 0), (1, 5), (2, 1), (3, 2), (4, 3), (5, 4)}
+    assert (found[1, 0].start, found[1, 0].stop, found[1, 0].score) == (30, 33, 1.0)
+    only = benchmark.where("item_id = 1")  # a block without any seed
+    assert [(r.doc_id, r.item_id) for r in decontaminate.matches(documents(list(texts.items())), only).collect()] == [(2, 1)]
