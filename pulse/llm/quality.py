@@ -1,6 +1,7 @@
 """Quality rules (9): counts over words and lines, and bands of compression ratios.
 
-A text is compressed with zstandard as a whole and in chunks of a fixed size. A ratio (compressed bytes
+A text is compressed with zstandard as a whole and in chunks of a fixed size; the last chunk of a longer text ends where
+the text ends, and counts by the bytes that no other chunk has. A ratio (compressed bytes
 by bytes) below its band says that the text repeats itself, one above it that it is no language but noise
 or encoded data. Short texts compress worse, so the limits depend on the length.
 
@@ -38,7 +39,7 @@ class Bands:
     )
     chunk_bytes: int = 4096
     chunk: tuple[float, float] = (0.20, 0.70)
-    #: Share of a text's whole chunks that may lie outside their band.
+    #: Share of a longer text's bytes whose chunks may lie outside their band.
     chunks_outside: float = 0.25
     level: int = 3
 
@@ -74,11 +75,16 @@ def compression(text: bytes, bands: Bands, packer: zstandard.ZstdCompressor) ->
         return "empty", 0.0, 0, 0, 0
     whole, (low, high) = len(packer.compress(text)) / len(text), bands.limits(len(text))
     size = bands.chunk_bytes
-    ratios = [len(packer.compress(text[k : k + size])) / size for k in range(0, len(text) - size + 1, size)]
-    below, above = sum(r < bands.chunk[0] for r in ratios), sum(r > bands.chunk[1] for r in ratios)
-    if whole < low or below > bands.chunks_outside * len(ratios):
+    starts, rest = [*range(0, len(text) - size + 1, size)], len(text) % size
+    own = [size] * len(starts)
+    if starts and rest:
+        starts, own = [*starts, len(text) - size], [*own, rest]
+    ratios = [len(packer.compress(text[k : k + size])) / size for k in starts]
+    low_at, high_at = [r < bands.chunk[0] for r in ratios], [r > bands.chunk[1] for r in ratios]
+    below, above, allowed = sum(low_at), sum(high_at), bands.chunks_outside * sum(own)
+    if whole < low or sum(n for n, out in zip(own, low_at) if out) > allowed:
         verdict = "repetitive"
-    elif whole > high or above > bands.chunks_outside * len(ratios):
+    elif whole > high or sum(n for n, out in zip(own, high_at) if out) > allowed:
         verdict = "incompressible"
     else:
         verdict = "good"

@@ -64,6 +64,21 @@ def test_chunks_tell_what_the_whole_hides():
     assert quality.compression(prose + b"again and " * 2000, bands, packer)[0] == "repetitive"
 
 
+def test_junk_at_the_tail_counts_as_elsewhere():
+    rnd = random.Random(7)
+    vocabulary = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 8))) for _ in range(500)]
+    prose = " ".join(rnd.choice(vocabulary) for _ in range(9000)).encode()
+    junk = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(8000)).encode()
+    packer = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    judge = lambda text: quality.compression(text, quality.Bands(), packer)
+    assert judge(prose[:4100] + junk[:4042])[0] == judge(junk[:4096] + prose[:4046])[0] == "incompressible"
+    again = b"again and " * 400
+    assert judge(prose[:4096] + again)[0] == judge(again[:3996] + prose[:4196])[0] == "repetitive"
+    # A short rest does not make the chunk that it overlaps count twice.
+    assert judge(prose[: 4 * 4096] + junk[:4096] + prose[-20:])[0] == judge(prose[: 4 * 4096] + junk[:4096])[0] == "good"
+    assert judge(prose[: 2 * 4096 + 10])[4] == 3 and judge(prose[:4096])[4] == 1 and judge(prose[:4000])[4] == 0
+
+
 def test_limits_by_length():
     bands = quality.Bands()
     assert bands.limits(10) == (0.35, 2.0) and bands.limits(512) == (0.30, 0.85) and bands.limits(10**9) == (0.25, 0.70)
