@@ -301,19 +301,24 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (u, v) whose estimated similarity allows a link."""
+    """The pairs (u, v) whose estimated similarity allows a link.
+
+    A doc_id whose rows have different sets has no one signature: its pairs all go on to the exact check, which tries all sets.
+    """
     longs, most = settings.places * BITS // 64, settings.most_unequal
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             close = unequal(_matrix(table.column("x"), longs), _matrix(table.column("y"), longs)) <= most
-            yield batch.select(["u", "v"]).filter(pa.array(close))
-
-    bits = nodes.select("doc_id", "bits").dropDuplicates(["doc_id"])
-    with_u = pairs.join(bits.select(F.col("doc_id").alias("u"), F.col("bits").alias("x")), "u")
-    with_both = with_u.join(bits.select(F.col("doc_id").alias("v"), F.col("bits").alias("y")), "v")
-    return with_both.select("u", "v", "x", "y").mapInArrow(alike, "u long, v long")
+            several = batch.column("several").to_numpy(zero_copy_only=False)
+            yield batch.select(["u", "v"]).filter(pa.array(close | several))
+
+    bits = nodes.groupBy("doc_id").agg(F.first("bits").alias("bits"), (F.count("*") > 1).alias("several"))
+    with_u = pairs.join(bits.select(F.col("doc_id").alias("u"), F.col("bits").alias("x"), F.col("several").alias("several_u")), "u")
+    with_both = with_u.join(bits.select(F.col("doc_id").alias("v"), F.col("bits").alias("y"), F.col("several").alias("several_v")), "v")
+    several = (F.col("several_u") | F.col("several_v")).alias("several")
+    return with_both.select("u", "v", "x", "y", several).mapInArrow(alike, "u long, v long")
 
 
 def representatives(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

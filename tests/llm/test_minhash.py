@@ -104,3 +104,15 @@ def test_components(frame, rows):
     star = frame([(1000, k) for k in range(300)], "u long, v long")
     assert {c for _, c in rows(components(star))} == {0}
     assert rows(components(frame([], "u long, v long"))) == []
+
+
+def test_repeated_doc_ids_of_different_texts_keep_their_links(documents):
+    rnd = random.Random(12)
+    text = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for k in range(0, 48, 2):
+        one, two = text(), text()
+        near = [*one[:-3], "x", "y", "z"]
+        rows += [(k, " ".join(one)), (k, " ".join(two)), (k + 1, " ".join(near))]
+    found = minhash.near_duplicates(documents(rows)).collect()
+    assert {r.doc_id: r.component_id for r in found if r.doc_id % 2} == {k + 1: k for k in range(0, 48, 2)}
