@@ -308,6 +308,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The documents that hold no copy of an item, with all their columns."""
-    copies = matches(docs, benchmark, settings).select(F.col("doc_id").alias("_copy_id")).distinct()
-    return docs.join(copies, docs["doc_id"].cast("long") == copies["_copy_id"], "left_anti")
+    """The documents that hold no copy of an item, with all their columns.
+
+    Rows are told apart by a hash of doc_id and text, which no row lacks: a row without doc_id is judged as any other, and of
+    rows that repeat a doc_id only those with a copy go.
+    """
+    key = F.xxhash64("doc_id", "text")
+    copies = matches(docs.select(key.alias("doc_id"), "text"), benchmark, settings).select(F.col("doc_id").alias("_copy_key")).distinct()
+    return docs.withColumn("_row_key", key).join(copies, F.col("_row_key") == F.col("_copy_key"), "left_anti").drop("_row_key")

@@ -123,3 +123,14 @@ def test_short_items_and_scripts_without_spaces(spark, documents):
     assert (found[1, 0].start, found[1, 0].stop, found[1, 0].score) == (30, 33, 1.0)
     only = benchmark.where("item_id = 1")  # a block without any seed
     assert [(r.doc_id, r.item_id) for r in decontaminate.matches(documents(list(texts.items())), only).collect()] == [(2, 1)]
+
+
+def test_clean_drops_rows_without_doc_id(spark, documents):
+    rnd = random.Random(11)
+    words = item(rnd, 20)
+    benchmark = spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")
+    leak, fine = " ".join(item(rnd, 30) + words), " ".join(item(rnd, 30))
+    docs = documents([(None, leak), (None, fine), (None, None), (1, leak), (1, fine), (2, fine)])
+    left = decontaminate.clean(docs, benchmark)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(None, fine), (None, None), (1, fine), (2, fine)], key=str)
