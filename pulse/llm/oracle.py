@@ -70,4 +70,24 @@ SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT A
 FROM words LEFT JOIN lists USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op2_sharding": OP2, "op3_warc": OP3, "op5_substring_dedup": OP5, "op10_minhash": OP10}
+_TERMS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
+
+OP11 = f"""
+WITH items AS (SELECT row_number() OVER () AS no, item_id, text FROM benchmark),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+lengths AS (SELECT r, doc_id, len(t)::BIGINT AS n FROM d WHERE len(t) > 0),
+total AS (SELECT count(*)::HUGEINT AS docs, sum(n)::HUGEINT AS words FROM lengths),
+tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS t FROM d) GROUP BY ALL),
+q AS (SELECT no, t, count(*)::BIGINT AS c FROM (SELECT no, unnest({_TERMS}) AS t FROM items) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total WHERE t IN (SELECT t FROM q) GROUP BY t, docs),
+scores AS (
+    SELECT no, r, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+    FROM q JOIN w USING (t) JOIN tf USING (t) JOIN lengths USING (r), total GROUP BY no, r
+), ranks AS (
+    SELECT no, r, score, row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores JOIN lengths USING (r) WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranks JOIN items USING (no) JOIN lengths USING (r) WHERE rank <= 20
+"""
+
+SQL: dict[str, str] = {"op2_sharding": OP2, "op3_warc": OP3, "op5_substring_dedup": OP5, "op10_minhash": OP10, "op11_ranked_search": OP11}

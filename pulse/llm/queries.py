@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import bpe, decontaminate, language, minhash, pii, quality, sharding, substrings, token_store, warc
+from pulse.llm import bpe, decontaminate, language, minhash, pii, quality, ranked, sharding, substrings, token_store, warc
 from pulse.session import shared_dir
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +68,23 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), minhash.Settings(shingle=4))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(ranked.indexed(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op2_sharding, op3_warc, op4_language_id, op5_substring_dedup, op6_pii, op7_byte_bpe, op8_decontamination, op9_quality_rules, op10_minhash)
+    f.__name__: f
+    for f in (
+        op1_token_store,
+        op2_sharding,
+        op3_warc,
+        op4_language_id,
+        op5_substring_dedup,
+        op6_pii,
+        op7_byte_bpe,
+        op8_decontamination,
+        op9_quality_rules,
+        op10_minhash,
+        op11_ranked_search,
+    )
 }
