@@ -90,4 +90,55 @@ scores AS (
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranks JOIN items USING (no) JOIN lengths USING (r) WHERE rank <= 20
 """
 
-SQL: dict[str, str] = {"op2_sharding": OP2, "op3_warc": OP3, "op5_substring_dedup": OP5, "op10_minhash": OP10, "op11_ranked_search": OP11}
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _part(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+#: The trees level by level, then each row's way up to its subroot and on to the root. crc32 is worked out bit by bit.
+OP12 = f"""
+WITH RECURSIVE given AS (
+    SELECT row_number() OVER () AS r, doc_id, source,
+        sha256({_part("doc_id")} || {_part("source")} || {_part("lang")} || {_part("n_chars")} || {_part("text")}) AS leaf,
+        sha256({_part("doc_id")} || {_part("source")} || {_part("lang")} || {_part("n_chars")} || {_part(_LOW)}) AS low,
+        coalesce(xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+            lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 5 = 0, false) AS changed
+    FROM documents
+), placed AS (
+    SELECT *, coalesce('s' || source, '-') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p,
+        count(*) OVER (PARTITION BY source) AS n FROM given
+), tree AS (
+    SELECT g, source, 0 AS level, p, n, leaf AS h FROM placed
+    UNION ALL
+    SELECT g, source, level + 1, p // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY p)) FROM tree WHERE n > 1 GROUP BY g, source, level, p // 16, n
+), subroots AS (
+    SELECT g, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM tree WHERE n = 1
+), top AS (
+    SELECT 0 AS level, p, n, subroot AS h FROM subroots
+    UNION ALL
+    SELECT level + 1, p // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY p)) FROM top WHERE n > 1 GROUP BY level, p // 16, n
+), runs AS (
+    SELECT g, level, p // 16 AS run, list(h ORDER BY p) AS hs FROM tree WHERE n > 1 GROUP BY g, level, p // 16
+), top_runs AS (
+    SELECT level, p // 16 AS run, list(h ORDER BY p) AS hs FROM top WHERE n > 1 GROUP BY level, p // 16
+), walk AS (
+    SELECT r, g, 0 AS level, p, CASE WHEN changed THEN low ELSE leaf END AS h, '' AS proof FROM placed
+    UNION ALL
+    SELECT r, g, level + 1, p // 16, sha256(array_to_string(hs[1:p % 16], '') || h || array_to_string(hs[p % 16 + 2:], '')),
+        proof || array_to_string(hs[1:p % 16], '') || array_to_string(hs[p % 16 + 2:], '')
+    FROM walk JOIN runs USING (g, level) WHERE run = p // 16
+), below AS (SELECT r, g, h, proof FROM walk QUALIFY row_number() OVER (PARTITION BY r ORDER BY level DESC) = 1),
+climb AS (
+    SELECT r, 0 AS level, p, h, proof, subroot FROM below JOIN subroots USING (g)
+    UNION ALL
+    SELECT r, level + 1, p // 16, sha256(array_to_string(hs[1:p % 16], '') || h || array_to_string(hs[p % 16 + 2:], '')),
+        proof || array_to_string(hs[1:p % 16], '') || array_to_string(hs[p % 16 + 2:], ''), subroot
+    FROM climb JOIN top_runs USING (level) WHERE run = p // 16
+), ends AS (SELECT r, h, proof, subroot FROM climb QUALIFY row_number() OVER (PARTITION BY r ORDER BY level DESC) = 1)
+SELECT doc_id, leaf, subroot, top.h AS root, sha256(proof) AS proof_sha256, ends.h AS folded_root, ends.h = top.h AS verified
+FROM given JOIN ends USING (r) JOIN top ON top.n = 1
+"""
+
+SQL: dict[str, str] = {"op2_sharding": OP2, "op3_warc": OP3, "op5_substring_dedup": OP5, "op10_minhash": OP10, "op11_ranked_search": OP11, "op12_manifest": OP12}

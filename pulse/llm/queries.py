@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import bpe, decontaminate, language, minhash, pii, quality, ranked, sharding, substrings, token_store, warc
+from pulse.llm import bpe, decontaminate, language, manifest, minhash, pii, quality, ranked, sharding, substrings, token_store, warc
 from pulse.session import shared_dir
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +72,12 @@ def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.search(ranked.indexed(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
 
 
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    now, changed = manifest.lowered_text()
+    proofs = manifest.proved(table(spark, folder, "documents"), now=now, changed=changed, with_siblings=False)
+    return proofs.drop("pos", "path", "siblings")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_minhash,
         op11_ranked_search,
+        op12_manifest,
     )
 }
