@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm import bpe, decontaminate, language, manifest, minhash, pii, quality, ranked, sharding, substrings, token_store, warc
+from pulse.llm import bpe, decontaminate, extract, language, manifest, minhash, pii, quality, ranked, sharding, substrings, token_store, warc
 from pulse.session import shared_dir
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -78,6 +78,10 @@ def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return proofs.drop("pos", "path", "siblings")
 
 
+def op13_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extracted(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_minhash,
         op11_ranked_search,
         op12_manifest,
+        op13_html_extraction,
     )
 }

@@ -8,7 +8,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 13))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES)
 
 
@@ -26,6 +26,7 @@ def test_query_has_its_columns(spark, name):
         "op6_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
         "op7_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
         "op8_decontamination": "doc_id item_id score",
+        "op13_html_extraction": "page_id url text n_chars",
         "op9_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     }[name].split()
     assert QUERIES[name](spark, FOLDER).columns[: len(columns)] == columns
