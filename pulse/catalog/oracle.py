@@ -171,6 +171,21 @@ _sql("ingest_replay", "log records clean stored",
          FROM stored""")
 _sql("ingest_repeat_changed", "log records clean",
      f"SELECT {_ENVELOPE}, 0::BIGINT AS bad_records FROM clean WHERE strategy = 'batch'")
+_sql("ingest_many_batches", "log records clean stored",
+     f"""SELECT {_ENVELOPE}, visible_at, 'part-' || lpad((event_no % 12 + 12 * copy)::VARCHAR, 12, '0') AS batch_id
+         FROM stored JOIN (SELECT event_no, min(copy) AS copy FROM records WHERE flaw NOT BETWEEN 1 AND 6 GROUP BY event_no) USING (event_no)""")
+_sql("stream_dedupe_state", "log records clean stored",
+     f"SELECT {_ENVELOPE}, visible_at, event_no % 12 >= 4 AS streamed FROM stored")
+_sql("ingest_one_scan", "log records", """,
+  placed AS (SELECT *, event_no % 12 AS part, event_no // 12 * 2 + copy AS place FROM records),
+  ends AS (SELECT part, (max(place) + 1) // 2 AS half FROM placed GROUP BY part),
+  told AS (SELECT event_no, copy, CASE WHEN place < half THEN 'first half' ELSE 'second half' END AS batch_id,
+             CASE flaw WHEN 1 THEN 'malformed_json' WHEN 2 THEN 'malformed_json' WHEN 3 THEN 'null_value' WHEN 4 THEN 'missing_run_id'
+                  WHEN 5 THEN 'invalid_event_id' WHEN 6 THEN 'malformed_json' ELSE 'accepted' END AS reason
+           FROM placed JOIN ends USING (part)),
+  firsts AS (SELECT * FROM told WHERE reason <> 'accepted' UNION ALL
+             SELECT * FROM (SELECT * FROM told WHERE reason = 'accepted' QUALIFY row_number() OVER (PARTITION BY event_no ORDER BY copy) = 1))
+  SELECT batch_id, reason, count(*) AS records FROM firsts GROUP BY batch_id, reason""")
 _sql("stream_equals_batch", "log records clean stored", f"SELECT {_ENVELOPE}, visible_at FROM stored")
 _SAMPLE = f"event_id, {K}, produced_at, visible_at, latency_ms::DOUBLE AS latency_ms"
 _sql("stream_samples", "log", f"SELECT {_SAMPLE} FROM log")

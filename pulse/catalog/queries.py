@@ -16,7 +16,7 @@ from pulse.plans.ingest import clean_events, ingest
 from pulse.schemas import KEY, LATENCY_SAMPLE, PRODUCE_BOUNDS, SCENARIO_LABELS, SCENARIOS, STRATEGIES, STRATEGY_LABELS
 from pulse.session import shared_dir
 from pulse.sinks.event_store import EventStore
-from pulse.sources.kafka import between_offsets, stream_log_table
+from pulse.sources.kafka import between_offsets, log_ends, read_log_table, stream_log_table
 from pulse.sources.sink_scan import latency_samples, next_page, run_samples
 from pulse.streaming.ingest import ingest_stream, run_to_end
 from pulse.streaming.monitor import append_samples, count_latencies, live_latency, live_visibility, publish
@@ -112,7 +112,7 @@ def ingest_replay(spark, sf_dir):
     ingest(part, store, "a")
     ingest(log, store, "b")
     ingest(part, store, "a")
-    ingest(part, store, "c", small=True)
+    ingest(part, store, "c")
     return store.events().select(*_ENVELOPE, "visible_at", "batch_id")
 
 
@@ -128,6 +128,50 @@ def ingest_repeat_changed(spark, sf_dir):
     return left
 
 
+def _log_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a written table, in twelve parts as on a topic of twelve partitions."""
+    source = shared_dir(spark, "log")
+    inputs.kafka_log(spark, sf_dir).repartition(12, "partition").write.parquet(source)
+    return read_log_table(spark, source)
+
+
+@_query
+def ingest_many_batches(spark, sf_dir):
+    """The log in 24 batches, by partition and by even or odd offset, so that attempts are folded; second copies come in batches of their own."""
+    log = _log_file(spark, sf_dir)
+    store = _store(spark, "many")
+    for odd in (0, 1):
+        for number in range(12):
+            part = log.where((F.col("partition") == number) & (F.col("offset") % 2 == odd))
+            ingest(part, store, f"part-{odd * 12 + number:012d}")
+    return store.events().select(*_ENVELOPE, "visible_at", "batch_id")
+
+
+@_query
+def ingest_one_scan(spark, sf_dir):
+    """Accepted and rejected records of one pass, up to ends that were fixed before it; records by batch and reason."""
+    log = _log_file(spark, sf_dir)
+    store = _store(spark, "pinned")
+    half = {place: end // 2 for place, end in log_ends(log).items()}
+    ingest(between_offsets(log, ends=half), store, "first half")
+    ingest(between_offsets(log, starts=half), store, "second half")
+    accepted = store.events().groupBy("batch_id").agg(F.count("*").alias("records")).withColumn("reason", F.lit("accepted"))
+    reasons = store.quarantine().select("batch_id", F.explode("reject_reasons").alias("reason"))
+    return accepted.unionByName(reasons.groupBy("batch_id", "reason").agg(F.count("*").alias("records")))
+
+
+@_query
+def stream_dedupe_state(spark, sf_dir):
+    """A store with a third of the log in it, and the whole log as a stream that knows ids by its own state, stopped and started again."""
+    log, source = _log_file(spark, sf_dir), shared_dir(spark, "stream")
+    store, offsets = _store(spark, "state"), shared_dir(spark, "offsets")
+    ingest(log.where(F.col("partition") < 4), store, "load")
+    for numbers in ((0, 8), (8, 12)):
+        log.where(F.col("partition").between(numbers[0], numbers[1] - 1)).write.mode("append").parquet(source)
+        run_to_end(ingest_stream(stream_log_table(spark, source), store, "run", offsets, "bounded", dedupe="state"))
+    return store.events().select(*_ENVELOPE, "visible_at", F.col("batch_id").startswith("run").alias("streamed"))
+
+
 @_query
 def stream_equals_batch(spark, sf_dir):
     """The log as a stream of files, ingested in several micro-batches until it is used up."""

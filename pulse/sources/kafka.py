@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +79,18 @@ def between_offsets(log: DataFrame, starts: dict[Place, int] | None = None, ends
     for place, end in (ends or {}).items():
         keep = keep & (elsewhere(place) | (offset < end))
     return log.where(keep)
+
+
+def log_ends(log: DataFrame) -> dict[Place, int]:
+    """The end offset of each (topic, partition) as it is now: fixed before a pass, it makes the pass the same however often it is
+    read while the log grows. One row for each partition comes to the driver."""
+    ends = log.groupBy("topic", "partition").agg(F.max("offset").alias("last")).collect()
+    return {(row["topic"], row["partition"]): row["last"] + 1 for row in ends}
+
+
+def offsets_option(places: dict[tuple[str, int], int]) -> str:
+    """Offsets as the Kafka source takes them, for ``startingOffsets`` or ``endingOffsets`` of ``topic_options``."""
+    topics: dict[str, dict[str, int]] = {}
+    for (topic, number), offset in sorted(places.items()):
+        topics.setdefault(topic, {})[str(number)] = offset
+    return json.dumps(topics)

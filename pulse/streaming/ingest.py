@@ -8,8 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from pulse.functions.parsing import accepted, parse_events
-from pulse.plans.ingest import ingest
+from pulse.plans.ingest import ingest, ingest_parsed
 from pulse.sinks.event_store import EventStore
+from pulse.streaming.state import keyed_state, unseen
 
 DEFAULT_INTERVAL = "5 seconds"
 
@@ -35,6 +36,7 @@ def ingest_stream(
     interval: str = DEFAULT_INTERVAL,
     run: tuple[str, str, str] | None = None,
     spread: int | None = None,
+    dedupe: str = "ledger",
 ) -> StreamingQuery:
     """Start ingesting a Kafka-shaped stream.
 
@@ -42,13 +44,24 @@ def ingest_stream(
     same id, so the store replaces what the first attempt wrote; together with the offsets in the
     checkpoint each event is stored once. ``spread`` deals the records over that many tasks, for a
     source with few or uneven partitions.
+
+    ``dedupe`` says where ids are looked up: in the store's ``ledger``, of which a batch opens its own buckets, or in the
+    stream's own ``state``, which begins with the ledger and costs what a batch holds; see ``pulse.streaming.state``.
     """
+    if dedupe not in ("ledger", "state"):
+        raise ValueError(f"unknown dedupe: {dedupe}")
 
     def write(batch: DataFrame, number: int) -> None:
         source = batch.repartition(spread) if spread else batch
-        ingest(source, store, f"{name}-{number:012d}", run, small=True)
-
-    return writer(log, checkpoint, trigger(mode, interval)).foreachBatch(write).start()
+        if dedupe == "state":
+            ingest_parsed(source, store, f"{name}-{number:012d}", run, unseen=True)
+        else:
+            ingest(source, store, f"{name}-{number:012d}", run)
+
+    if dedupe == "ledger":
+        return writer(log, checkpoint, trigger(mode, interval)).foreachBatch(write).start()
+    with keyed_state(log.sparkSession):
+        return writer(unseen(log, store), checkpoint, trigger(mode, interval)).foreachBatch(write).start()
 
 
 def first_within(log: DataFrame, horizon: str) -> DataFrame:

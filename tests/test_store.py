@@ -31,36 +31,33 @@ def short(store):
     return sorted((int(r["event_id"][-3:]), r["payload"], r["batch_id"]) for r in store.events().collect())
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_replay_and_new_id_change_nothing(frame, store, small):
+def test_replay_and_new_id_change_nothing(frame, store):
     log = frame([record(1, 7, "late"), record(1, 3, "first"), record(2, 4)], LOG)
-    ingest(log, store, "b1", small=small)
+    ingest(log, store, "b1")
     once = stored(store)
     assert short(store) == [(1, "first", "b1"), (2, "p", "b1")]
-    ingest(log, store, "b1", small=small)
+    ingest(log, store, "b1")
     assert stored(store) == once
-    ingest(log, store, "b2", small=small)
+    ingest(log, store, "b2")
     assert stored(store) == once
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_overlapping_batch_and_its_replay(frame, store, small):
+def test_overlapping_batch_and_its_replay(frame, store):
     first = frame([record(n, n, "a") for n in range(5)], LOG)
     second = frame([record(n, n, "b") for n in range(3, 8)], LOG)
     for batch, name in ((first, "b1"), (second, "b2"), (second, "b2"), (first, "b1")):
-        ingest(batch, store, name, small=small)
+        ingest(batch, store, name)
     assert short(store) == [(n, "a", "b1") for n in range(5)] + [(n, "b", "b2") for n in range(5, 8)]
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_bad_records_are_counted_and_kept(frame, store, small):
+def test_bad_records_are_counted_and_kept(frame, store):
     log = frame([record(1, 0), (b"nonsense", 0, 1), (None, 0, 2)], LOG)
     for _ in range(2):
-        assert ingest(log, store, "b1", small=small) == IngestCounts(3, 2)
+        assert ingest(log, store, "b1") == IngestCounts(3, 2)
     got = sorted((r["value"], tuple(r["reject_reasons"])) for r in store.quarantine().collect() if r["value"])
     assert got == [("nonsense", ("malformed_json",))]
     assert store.quarantine().count() == 2
-    assert ingest(frame([record(2, 3)], LOG), store, "b2", small=small) == IngestCounts(1, 0)
+    assert ingest(frame([record(2, 3)], LOG), store, "b2") == IngestCounts(1, 0)
 
 
 def test_nothing_left_to_write(frame, store):
@@ -101,16 +98,6 @@ def test_stamp_is_one_time_per_batch(spark, frame, tmp_path):
     assert store.events().select("visible_at").distinct().count() == 1
 
 
-def test_run_scope_lists_only_the_runs_files(frame, store):
-    ingest(frame([record(1, 0, run="run_1"), record(2, 1, run="run_2")], LOG), store, "b1")
-    keys = store.present("other", ("batch", "low-load", "run_1"))
-    assert all("run_id=run_1/" in path for path in keys.inputFiles()) and keys.count() == 1
-    plan = keys._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<event_id:string>" in plan and "Filter (" not in plan
-    assert store.present("b1", ("batch", "low-load", "run_1")).count() == 0
-    assert store.present("b1", ("batch", "low-load", "run_7")) is None
-
-
 def test_input_order_does_not_matter(frame):
     records = [record(n % 10, n, f"copy {n // 10}", partition=n % 10 % 3) for n in range(40)]
     want = sorted(tuple(r) for r in clean_events(frame(records, LOG)).select("event_id", "payload").collect())

@@ -44,10 +44,11 @@ def test_stream_equals_batch(spark, parts, tmp_path):
     assert stream.events().select("batch_id").distinct().count() == 3
 
 
-def test_restart_goes_on_where_it_ended(spark, parts, tmp_path):
+@pytest.mark.parametrize("dedupe", ["ledger", "state"])
+def test_restart_goes_on_where_it_ended(spark, parts, tmp_path, dedupe):
     store = EventStore(spark, str(tmp_path / "events"), F.col("produced_at"))
     start = lambda: run_to_end(
-        ingest_stream(stream_log_table(spark, parts), store, "run", str(tmp_path / "offsets"), "bounded", spread=3)
+        ingest_stream(stream_log_table(spark, parts), store, "run", str(tmp_path / "offsets"), "bounded", spread=3, dedupe=dedupe)
     )
     start()
     once = content(store)
@@ -66,6 +67,17 @@ def test_new_checkpoint_adds_nothing(spark, parts, tmp_path):
     assert {r["batch_id"].split("-")[0] for r in store.events().collect()} == {"first"}
 
 
+def test_state_begins_with_the_ids_of_the_store(spark, parts, tmp_path):
+    store = EventStore(spark, str(tmp_path / "events"), F.col("produced_at"))
+    ingest(log(spark, [(2, 0, "before"), (7, 1, "before")]), store, "load")
+    source = stream_log_table(spark, parts, files_per_batch=1)
+    run_to_end(ingest_stream(source, store, "run", str(tmp_path / "offsets"), "bounded", dedupe="state"))
+    assert sorted((int(e[-2:]), p) for e, p, _ in content(store)) == [(1, "a"), (2, "before"), (3, "b"), (4, "c"), (7, "before")]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+    with pytest.raises(ValueError):
+        ingest_stream(source, store, "run", str(tmp_path / "o"), dedupe="elsewhere")
+
+
 def test_triggers():
     assert trigger("bounded") == {"availableNow": True}
     assert trigger("microbatch") == {"processingTime": "5 seconds"}
