@@ -576,6 +576,17 @@ _sql("elapsed_counts", "log samples origin seconds", f"SELECT {K}, elapsed_s, ev
 _TIMELINE = "log samples gen runs origin seconds visible"
 _sql("visibility_timeline", _TIMELINE, f"""
   SELECT {K}, elapsed_s, n AS visible_count_window, n AS visible_eps, cumulative_visible FROM visible""")
+_sql("timeline_wrong_clock", "log samples origin", f""",
+  clocks AS (SELECT {K}, (CASE event_no % 97 WHEN 0 THEN 1000000000000000000 WHEN 1 THEN 0 WHEN 2 THEN visible_at + 17280000000 ELSE visible_at END
+               - start_at) AS ms FROM samples JOIN origin USING ({K})),
+  counted AS (SELECT {K}, ((ms - (ms % 1000 + 1000) % 1000) // 1000)::BIGINT AS s, count(*) AS n FROM clocks GROUP BY ALL),
+  account AS (SELECT {K}, coalesce(sum(n) FILTER (s < 0), 0)::BIGINT AS before_origin, coalesce(sum(n) FILTER (s > 315619200), 0)::BIGINT AS beyond_axis,
+                coalesce(sum(n) FILTER (s BETWEEN 0 AND 315619200), 0)::BIGINT AS on_axis FROM counted GROUP BY {K}),
+  steps AS (SELECT {K}, s, sum(n)::BIGINT AS n FROM (SELECT {K}, s, n FROM counted WHERE s BETWEEN 0 AND 315619200
+            UNION ALL SELECT {K}, 0, 0 FROM account) GROUP BY ALL)
+  SELECT {K}, s AS elapsed_s, coalesce(lead(s) OVER w - 1, s) AS until_s, n AS visible_count_window,
+         (sum(n) OVER w)::BIGINT AS cumulative_visible, before_origin, beyond_axis, on_axis
+  FROM steps JOIN account USING ({K}) WINDOW w AS (PARTITION BY {K} ORDER BY s)""")
 _sql("live_latency_stream", "log", """
   SELECT produced_at // 10000 * 10000 AS window_start_ms, strategy, scenario, count(*) AS rows_seen,
          round(quantile_cont(latency_ms, 0.5), 3) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 3) AS p95_ms,

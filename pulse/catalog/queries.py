@@ -678,6 +678,21 @@ def visibility_timeline(spark, sf_dir):
     return timeline.visibility_timeline(seen, inputs.timeline_runs(log))
 
 
+@_query
+def timeline_wrong_clock(spark, sf_dir):
+    """Clocks that are wrong by a little, by months, and beyond all reason: intervals, and the account of what is on no axis."""
+    number = F.col("event_no")
+    wrong = (
+        F.when(number % 97 == 0, F.lit(10**18))
+        .when(number % 97 == 1, F.lit(0))
+        .when(number % 97 == 2, F.col("visible_at") + 200 * 86_400_000)
+        .otherwise(F.col("visible_at"))
+    )
+    samples = inputs.samples(spark, sf_dir).withColumn("visible_at", wrong.cast("long"))
+    counts = timeline.elapsed_counts(samples)
+    return timeline.visible_intervals(counts).join(timeline.off_axis(counts), KEY)
+
+
 @_query
 def latency_timeseries(spark, sf_dir):
     return _rounded(timeline.latency_timeseries(inputs.samples(spark, sf_dir)), 3)

@@ -7,19 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulse.functions.columns import at_least, bucket, elapsed_s, is_advanced
+from pulse.functions.columns import at_least, bucket, elapsed_s, is_advanced, is_plausible_ms
 from pulse.operators.keys import attach_per_run, keep_runs
-from pulse.operators.order_stats import quantiles_of_counts, running_counts
-from pulse.schemas import KEY, LOAD_PROFILES, PROFILE_PERIOD_S
+from pulse.operators.order_stats import quantiles_of_counts
+from pulse.operators.scan import BLOCK, block_carry, running, with_block, within
+from pulse.schemas import KEY, LOAD_PROFILES, PLAUSIBLE_FROM_MS, PLAUSIBLE_TO_MS, PROFILE_PERIOD_S
 
 _UP_TO_NOW = (Window.unboundedPreceding, Window.currentRow)
 
 
 _BLOCK_S = 3600
 
-
-def _by_second() -> Window:
-    return Window.partitionBy(*KEY).orderBy("elapsed_s")
+#: A time further from its run's origin than all plausible times are from one another belongs to no axis.
+AXIS_S = (PLAUSIBLE_TO_MS - PLAUSIBLE_FROM_MS) // 1000
 
 
 def _every_second(runs: DataFrame, last: Column) -> DataFrame:
@@ -126,13 +126,12 @@ def produced_timeline(runs: DataFrame) -> DataFrame:
     ``runs``: run key, duration_s, generated_events, load_profile, fallback_rate.
     """
     rates = rate_timeline(runs.select(*KEY, "duration_s", "generated_events", "load_profile", "fallback_rate"))
-    total = F.sum("target_rate").over(Window.partitionBy(*KEY))
-    scale = F.when(F.col("_total") > 0, F.col("generated_events") / F.col("_total")).otherwise(0.0)
-    produced = rates.withColumn("_total", total).withColumn(
-        "produced_count_window", F.col("target_rate") * scale
-    )
-    running = F.sum("produced_count_window").over(_by_second().rowsBetween(*_UP_TO_NOW))
-    return produced.withColumn("cumulative_produced", running).select(
+    blocked = with_block(rates, "elapsed_s", _BLOCK_S)
+    carried = block_carry(blocked, KEY, "elapsed_s", {"_asked": F.col("target_rate")})
+    scale = F.when(F.col("_asked_total") > 0, F.col("generated_events") / F.col("_asked_total")).otherwise(0.0)
+    produced = blocked.join(carried, [*KEY, BLOCK]).withColumn("produced_count_window", F.col("target_rate") * scale)
+    here = F.sum("produced_count_window").over(within(KEY, "elapsed_s").rowsBetween(*_UP_TO_NOW))
+    return produced.withColumn("cumulative_produced", F.col("_asked") * scale + here).select(
         *KEY,
         "elapsed_s",
         "target_rate",
@@ -143,8 +142,10 @@ def produced_timeline(runs: DataFrame) -> DataFrame:
 
 
 def run_origins(samples: DataFrame) -> DataFrame:
-    """First production time of each run."""
-    return samples.groupBy(*KEY).agg(F.min("produced_at").alias("start_ms"))
+    """First production time of each run. Times that no right clock gives count only in a run that has no others."""
+    at = F.col("produced_at")
+    first = F.coalesce(F.min(F.when(is_plausible_ms(at), at)), F.min(at))
+    return samples.groupBy(*KEY).agg(first.alias("start_ms"))
 
 
 def elapsed_counts(samples: DataFrame, at: str = "visible_at", origins: DataFrame | None = None) -> DataFrame:
@@ -155,30 +156,65 @@ def elapsed_counts(samples: DataFrame, at: str = "visible_at", origins: DataFram
     return timed.groupBy(*KEY, "elapsed_s").agg(F.sum("_n").alias("events"))
 
 
+def off_axis(counts: DataFrame) -> DataFrame:
+    """Events by run that no axis has a place for: visible before the run's origin, and later than any plausible time could be."""
+    early, late = F.col("elapsed_s") < 0, F.col("elapsed_s") > AXIS_S
+    return counts.groupBy(*KEY).agg(
+        F.coalesce(F.sum(F.when(early, F.col("events"))), F.lit(0)).alias("before_origin"),
+        F.coalesce(F.sum(F.when(late, F.col("events"))), F.lit(0)).alias("beyond_axis"),
+        F.coalesce(F.sum(F.when(~early & ~late, F.col("events"))), F.lit(0)).alias("on_axis"),
+    )
+
+
+def visible_intervals(counts: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """The visibility timeline with its gaps as intervals: ``visible_count_window`` events at ``elapsed_s``, none from the next second
+    to ``until_s``, and their running total. A run has a row for each second with events, whatever lies between them.
+
+    ``counts`` as by ``elapsed_counts``; times that ``off_axis`` counts are left out. ``runs`` extends as in ``visibility_timeline``.
+    """
+    seen = counts.where(F.col("elapsed_s").between(0, AXIS_S)).select(*KEY, "elapsed_s", "events")
+    # The axis begins at 0, and a run with events off it alone still has its origin.
+    origins = counts.select(*KEY).distinct().select(*KEY, F.lit(0).cast("bigint").alias("elapsed_s"), F.lit(0).cast("bigint").alias("events"))
+    steps = seen.unionAll(origins).groupBy(*KEY, "elapsed_s").agg(F.sum("events").alias("visible_count_window"))
+    blocked = with_block(steps, "elapsed_s", _BLOCK_S)
+    carried = block_carry(
+        blocked, KEY, "elapsed_s", {"_seen": F.col("visible_count_window")}, nexts={"_next": F.col("elapsed_s")}
+    )
+    order = within(KEY, "elapsed_s")
+    inside = {
+        "_here": F.sum("visible_count_window").over(order.rowsBetween(*_UP_TO_NOW)),
+        "_after": F.lead("elapsed_s").over(order),
+    }
+    joined = blocked.withColumns(inside).join(carried, [*KEY, BLOCK])
+    until = F.coalesce("_after", "_next") - 1
+    if runs is None:
+        until = F.coalesce(until, F.col("elapsed_s"))
+    else:
+        joined = joined.join(runs.select(*KEY, "duration_s"), KEY, "left")
+        until = F.coalesce(until, F.greatest("elapsed_s", F.col("duration_s").cast("bigint")))
+    total = F.col("_seen") + F.col("_here")
+    return joined.select(*KEY, "elapsed_s", until.alias("until_s"), "visible_count_window", total.alias("cumulative_visible"))
+
+
+def every_second(intervals: DataFrame) -> DataFrame:
+    """Intervals written out: a row for each second. Long ones go by hours, so that no array is longer than an hour."""
+    first, last = F.col("elapsed_s"), F.col("until_s")
+    hours = intervals.withColumn("_from", F.explode(F.sequence(first, last, F.lit(_BLOCK_S).cast("bigint"))))
+    seconds = F.sequence("_from", F.least(last, F.col("_from") + (_BLOCK_S - 1)))
+    each = hours.withColumn("_second", F.explode(seconds))
+    window = F.when(F.col("_second") == first, F.col("visible_count_window")).otherwise(F.lit(0))
+    return each.select(*KEY, F.col("_second").alias("elapsed_s"), window.alias("visible_count_window"), "cumulative_visible")
+
+
 def visibility_timeline(samples: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Visible events of every second up to the last one, none left out, and their running total.
 
-    ``runs`` (run key, duration_s) extends each timeline to at least the run's duration. Seconds
-    before the origin, which a wrong clock can give, do not belong to the axis.
+    ``runs`` (run key, duration_s) extends each timeline to at least the run's duration. Seconds before the origin and
+    implausibly far after it, which a wrong clock can give, do not belong to the axis; ``off_axis`` counts them.
     """
-    counts = elapsed_counts(samples)
-    last = counts.groupBy(*KEY).agg(F.max("elapsed_s").alias("_last"))
-    if runs is not None:
-        last = last.join(runs.select(*KEY, "duration_s"), KEY, "left").withColumn(
-            "_last", F.greatest("_last", F.col("duration_s").cast("bigint"))
-        )
-    axis = _every_second(last, F.col("_last")).drop("_last")
-    filled = axis.join(counts, [*KEY, "elapsed_s"], "left").withColumn(
-        "visible_count_window", F.coalesce("events", F.lit(0))
-    )
-    # By hours and within them: a run that a wrong clock stretches is not summed up in one task.
-    running = running_counts(filled.drop("events"), KEY, "elapsed_s", "visible_count_window", _BLOCK_S)
-    return running.withColumn("cumulative_visible", F.col("before") + F.col("visible_count_window")).select(
-        *KEY,
-        "elapsed_s",
-        "visible_count_window",
-        F.col("visible_count_window").alias("visible_eps"),
-        "cumulative_visible",
+    dense = every_second(visible_intervals(elapsed_counts(samples), runs))
+    return dense.select(
+        *KEY, "elapsed_s", "visible_count_window", F.col("visible_count_window").alias("visible_eps"), "cumulative_visible"
     )
 
 
@@ -206,8 +242,8 @@ def backlog_timeline(visible: DataFrame, produced: DataFrame, runs: DataFrame) -
     steps = visible.select(*KEY, "elapsed_s", "cumulative_visible").join(
         produced.select(*KEY, "elapsed_s", "cumulative_produced"), [*KEY, "elapsed_s"], "left"
     )
-    so_far = F.last("cumulative_produced", ignorenulls=True).over(_by_second().rowsBetween(*_UP_TO_NOW))
-    limited = steps.withColumn("cumulative_produced", F.coalesce(so_far, F.lit(0.0))).join(
+    filled = running(steps, KEY, "elapsed_s", _BLOCK_S, fills={"cumulative_produced": "cumulative_produced"})
+    limited = filled.withColumn("cumulative_produced", F.coalesce("cumulative_produced", F.lit(0.0))).join(
         runs.select(*KEY, "generated_events"), KEY, "left"
     )
     return limited.withColumn(
