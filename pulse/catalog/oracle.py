@@ -320,6 +320,13 @@ _BOX = """SELECT scenario, strategy, count(*) AS rows,
     round(quantile_cont(latency_ms, 0.75), 3) AS q3"""
 _sql("five_numbers", "ships",
      _BOX + ", min(latency_ms) AS minimum, max(latency_ms) AS maximum FROM ships GROUP BY scenario, strategy")
+_sql("quantiles_wide_and_narrow", "log", """,
+  numbers AS (
+    SELECT 'fraction' AS kind, strategy, (event_no * 7919 % 100003) / 100003.0::DOUBLE AS x FROM log
+    UNION ALL SELECT 'moment', strategy, produced_at::DOUBLE FROM log
+    UNION ALL SELECT 'wide', strategy, (event_no * event_no * 104729 % 1000000000000000)::DOUBLE FROM log)
+  SELECT kind, strategy, round(quantile_cont(x, 0.01), 3) AS p01, round(quantile_cont(x, 0.5), 3) AS p50,
+         round(quantile_cont(x, 0.99), 3) AS p99 FROM numbers GROUP BY kind, strategy""")
 _SQL["box_stats"] = _with(
     "ships", "late AS (SELECT * FROM ships WHERE latency_ms > 0)",
     f"box AS ({_BOX} FROM late GROUP BY scenario, strategy)",

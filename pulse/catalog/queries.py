@@ -391,6 +391,20 @@ def five_numbers(spark, sf_dir):
     return _rounded(figures, 3)
 
 
+@_query
+def quantiles_wide_and_narrow(spark, sf_dir):
+    """Quantiles of fractions below 1, of moments close together, and of numbers up to 10^15, by one and the same call."""
+    log = inputs.event_log(spark, sf_dir)
+    kinds = {
+        "fraction": (F.col("event_no") * 7919 % 100_003) / 100_003.0,
+        "moment": F.col("produced_at").cast("double"),
+        "wide": (F.col("event_no") * F.col("event_no") * 104_729 % 1_000_000_000_000_000).cast("double"),
+    }
+    values = matrix.union_all(*[log.select(F.lit(kind).alias("kind"), "strategy", value.alias("x")) for kind, value in kinds.items()])
+    probs = {"p01": 0.01, "p50": 0.5, "p99": 0.99}
+    return _rounded(order_stats.exact_quantiles(values, ["kind", "strategy"], "x", probs), 3)
+
+
 @_query
 def box_stats(spark, sf_dir):
     return _rounded(reports.latency_distribution(inputs.shipping_log(spark, sf_dir)), 3)

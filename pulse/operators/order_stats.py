@@ -3,6 +3,11 @@
 Rows are first counted by value. Latencies are whole milliseconds, so the counts are far fewer than
 the rows and each task reduces its own before the shuffle. What follows works on the counts, in
 buckets of neighbouring values: no task holds all values of a group.
+
+The buckets follow the values. A first pass counts the values by a digit of their logarithm; a digit with very many is cut
+again, evenly between its own least and greatest value, into as many buckets as its count asks for. So fractions
+below 1, times around one moment and numbers up to 10^15 all have buckets of some ``BUCKET_VALUES`` values, and a group has
+one bucket for as many values and for each digit at most.
 """
 
 from __future__ import annotations
@@ -14,7 +19,9 @@ from pyspark.sql import functions as F
 
 from pulse.schemas import LATENCY_BOUNDS
 
-BUCKET_WIDTH = 1024
+BUCKET_VALUES = 1024
+#: Digits for each doubling of a value.
+_DIGITS = 16
 LATENCY_QUANTILES = {"latency_p50_ms": 0.50, "latency_p95_ms": 0.95, "latency_p99_ms": 0.99}
 
 
@@ -24,23 +31,59 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, count: str = "n
     return kept.groupBy(*keys, value).agg(F.count("*").alias(count))
 
 
+def value_digit(value: Column) -> Column:
+    """A whole number that grows with the value, by its logarithm: at most some 2 000 times ``_DIGITS`` of them, of either sign."""
+    x = value.cast("double")
+    return (F.signum(x) * F.floor(_DIGITS * F.log2(1 + F.abs(x)))).cast("int")
+
+
+def bucketed(
+    counts: DataFrame, keys: Sequence[str], value: str, width: float | None = None, count: str = "n", carry: Sequence[str] = ()
+) -> DataFrame:
+    """The counts with ``_bucket``: buckets of a group are in the order of its values. With ``width`` they are of that width."""
+    if width is not None:
+        # Never null, so the join below adds no null filter to one side only: the two sides then share
+        # the shuffle of the counts, and what lies under them is read once.
+        return counts.withColumn("_bucket", F.coalesce(F.floor(F.col(value) / width), F.lit(0)))
+    digits = counts.withColumn("_digit", F.coalesce(value_digit(F.col(value)), F.lit(0)))
+    x = F.col(value).cast("double")
+    sizes = digits.groupBy(*keys, "_digit").agg(
+        F.count("*").alias("_values"), F.min(x).alias("_least"), F.max(x).alias("_most"), *_all_columns(count, carry)
+    )
+    sizes = _same_columns(sizes)
+    cuts = F.ceil(F.col("_values") / BUCKET_VALUES)
+    part = F.floor((x - F.col("_least")) / (F.col("_most") - F.col("_least")) * cuts)
+    # The digit's greatest value belongs to its last part.
+    within_digit = F.when(cuts > 1, F.least(part, cuts - 1)).otherwise(F.lit(0))
+    place = F.struct(F.col("_digit").alias("digit"), within_digit.cast("bigint").alias("part"))
+    return digits.join(sizes, [*keys, "_digit"]).withColumn("_bucket", place).select(*counts.columns, "_bucket")
+
+
+def _all_columns(count: str, carry: Sequence[str]) -> list[Column]:
+    return [F.sum(count).alias("_rows"), F.max(F.struct(F.lit(True), *carry)).alias("_carried")]
+
+
+def _same_columns(totals: DataFrame) -> DataFrame:
+    """All totals; the condition always holds. It needs every column of the counts, so that no side of a join of the counts with
+    their own totals is pruned to fewer: the sides then share the shuffle of the counts, and what lies under it is read once."""
+    return totals.where("_rows >= 0 OR _carried IS NOT NULL").drop("_carried")
+
+
 def running_counts(
-    counts: DataFrame, keys: Sequence[str], value: str, count: str = "n", width: float = BUCKET_WIDTH
+    counts: DataFrame, keys: Sequence[str], value: str, count: str = "n", width: float | None = None, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Counts with ``before``, how many rows of the group have a lower value, and ``total``.
 
-    Two levels: a running sum over bucket totals in each group, and one over values in each bucket.
+    Two levels: a running sum over bucket totals in each group, and one over values in each bucket. ``carry`` names further
+    columns of the counts that the caller goes on to use.
     """
     keys = list(keys)
-    # Never null, so the join below adds no null filter to one side only: the two sides then share
-    # the shuffle of the counts, and what lies under them is read once.
-    fine = counts.withColumn("_bucket", F.coalesce(F.floor(F.col(value) / width), F.lit(0)))
+    fine = bucketed(counts, keys, value, width, count, carry)
     within = Window.partitionBy(*keys, "_bucket").orderBy(value)
     across = Window.partitionBy(*keys).orderBy("_bucket")
     earlier = (Window.unboundedPreceding, -1)
     offsets = (
-        fine.groupBy(*keys, "_bucket")
-        .agg(F.sum(count).alias("_rows"))
+        _same_columns(fine.groupBy(*keys, "_bucket").agg(*_all_columns(count, carry)))
         .withColumn("_offset", F.coalesce(F.sum("_rows").over(across.rowsBetween(*earlier)), F.lit(0)))
         .withColumn("total", F.sum("_rows").over(Window.partitionBy(*keys)))
         .drop("_rows")
@@ -61,14 +104,16 @@ def quantiles_of_counts(
     value: str,
     probs: Mapping[str, float],
     count: str = "n",
-    width: float = BUCKET_WIDTH,
+    width: float | None = None,
     extra: Sequence[Column] = (),
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Linearly interpolated quantiles of each group, one column per entry of ``probs``.
 
-    ``extra`` are further aggregates over the counts, taken in the same step.
+    ``extra`` are further aggregates over the counts, taken in the same step; ``carry`` names the columns that they use besides
+    the value and the count.
     """
-    ranked = running_counts(counts, keys, value, count, width)
+    ranked = running_counts(counts, keys, value, count, width, carry)
     position = {name: (F.col("total") - 1) * F.lit(float(p)) for name, p in probs.items()}
 
     def value_at(rank: Column) -> Column:
@@ -93,7 +138,7 @@ def quantiles_of_counts(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], width: float = BUCKET_WIDTH
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], width: float | None = None
 ) -> DataFrame:
     return quantiles_of_counts(value_counts(df, keys, value), keys, value, probs, width=width)
 
@@ -107,7 +152,7 @@ def approx_quantiles(
     return picked.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
 
 
-def five_numbers(df: DataFrame, keys: Sequence[str], value: str, width: float = BUCKET_WIDTH) -> DataFrame:
+def five_numbers(df: DataFrame, keys: Sequence[str], value: str, width: float | None = None) -> DataFrame:
     """Rows, minimum, quartiles and maximum."""
     counts = value_counts(df, keys, value)
     extra = [F.sum("n").alias("rows"), F.min(value).alias("minimum"), F.max(value).alias("maximum")]
@@ -115,7 +160,7 @@ def five_numbers(df: DataFrame, keys: Sequence[str], value: str, width: float =
     return quantiles_of_counts(counts, keys, value, probs, width=width, extra=extra)
 
 
-def box_stats(df: DataFrame, keys: Sequence[str], value: str, width: float = BUCKET_WIDTH) -> DataFrame:
+def box_stats(df: DataFrame, keys: Sequence[str], value: str, width: float | None = None) -> DataFrame:
     """Box-plot numbers: quartiles, and the last values within 1.5 quartile distances of the box."""
     keys = list(keys)
     counts = value_counts(df, keys, value)

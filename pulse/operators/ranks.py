@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulse.operators.order_stats import BUCKET_WIDTH, running_counts, value_counts
+from pulse.operators.order_stats import running_counts, value_counts
 from pulse.schemas import STRATEGIES
 
 #: From here on both tails of the normal distribution together are below 2e-15, and taken as 0.
@@ -30,7 +30,7 @@ def two_sided_p(z: Column) -> Column:
     return F.when(z.isNull(), None).when(z >= FAR, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
 
 
-def _ranked(counts: DataFrame, block: list[str], group: str, value: str, width: float) -> DataFrame:
+def _ranked(counts: DataFrame, block: list[str], group: str, value: str, width: float | None) -> DataFrame:
     """Counts by block, group and value with ``rank``, the average rank of the value in its block,
     and ``tied``, how many rows of the block share the value."""
     ties = counts.groupBy(*block, value).agg(F.sum("n").alias("tied"))
@@ -48,7 +48,7 @@ def _tie_term() -> Column:
 
 def kruskal_wallis(
     df: DataFrame, block: str = "scenario", group: str = "strategy", value: str = "latency_ms",
-    groups: list[str] = STRATEGIES, width: float = BUCKET_WIDTH,
+    groups: list[str] = STRATEGIES, width: float | None = None,
 ) -> DataFrame:
     """H and p of each block that has every one of the three groups; null H where all values tie.
 
@@ -83,7 +83,7 @@ def kruskal_wallis(
 
 def mann_whitney(
     df: DataFrame, block: str = "scenario", group: str = "strategy", value: str = "latency_ms",
-    pairs: list[tuple[str, str]] = PAIRS, width: float = BUCKET_WIDTH,
+    pairs: list[tuple[str, str]] = PAIRS, width: float | None = None,
 ) -> DataFrame:
     """U, z and two-sided p of each pair in each block, on the pair's own ranks.
 

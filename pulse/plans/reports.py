@@ -53,7 +53,8 @@ def _latency_stats(samples: DataFrame, keys: Sequence[str], visible: bool = Fals
     ]
     if visible:
         extra += [F.sum("_visible").alias("visible_events_final_latency"), F.max("_last").alias("last_visible_at_ms")]
-    return quantiles_of_counts(counts, keys, "latency_ms", LATENCY_QUANTILES, extra=extra)
+    carry = ["_visible", "_last"] if visible else []
+    return quantiles_of_counts(counts, keys, "latency_ms", LATENCY_QUANTILES, extra=extra, carry=carry)
 
 
 def _visibility(samples: DataFrame, cutoffs: DataFrame | None = None) -> DataFrame:

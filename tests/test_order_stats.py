@@ -15,7 +15,7 @@ def test_interpolated_quantiles(frame):
     assert got.first().asDict() == {"g": "g", "p50": 25.0, "p95": pytest.approx(38.5), "p99": pytest.approx(39.7)}
 
 
-@pytest.mark.parametrize("width", [1, 7, 1024, 1e9])
+@pytest.mark.parametrize("width", [None, 1, 7, 1e9])
 def test_quantiles_against_numpy(frame, width):
     rng = random.Random(3)
     groups = {
@@ -60,6 +60,34 @@ def test_input_is_read_once(spark, tmp_path):
     assert final.count("FileScan") == 1 and "ReusedExchange" in final
 
 
+SHAPES = {
+    "fractions": [k / 9973 for k in range(6000)],
+    "moments": [1_700_000_000_000 + 37 * k for k in range(6000)],
+    "up to 10^15": [(k * k * k * 7919) % 10**15 for k in range(6000)],
+    "both signs": [(-1) ** k * 1.01**k for k in range(3000)],
+    "far apart": [0, 1e-300, 1e15, -1e15, 1e300] + [0.5] * 100,
+    "all alike": [7.5] * 3000,
+}
+
+
+def test_buckets_follow_the_values(frame):
+    df = frame([(g, float(v)) for g, values in SHAPES.items() for v in values], "g STRING, x DOUBLE").repartition(4)
+    fine = order_stats.bucketed(order_stats.value_counts(df, ["g"], "x"), ["g"], "x")
+    sizes = fine.groupBy("g", "_bucket").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect()
+    for g, values in SHAPES.items():
+        own = sorted((r for r in sizes if r["g"] == g), key=lambda r: tuple(r["_bucket"]))
+        distinct = len(set(values))
+        assert sum(r["n"] for r in own) == distinct
+        # Buckets are in order, none holds much more than its share, and they are few.
+        assert all(left["b"] < right["a"] for left, right in zip(own, own[1:]))
+        assert max(r["n"] for r in own) <= 2 * order_stats.BUCKET_VALUES
+        digits = len({r["_bucket"]["digit"] for r in own})
+        assert len(own) <= digits + distinct / order_stats.BUCKET_VALUES + 1
+    for row in order_stats.exact_quantiles(df, ["g"], "x", PROBS).collect():
+        for name, p in PROBS.items():
+            assert row[name] == pytest.approx(np.quantile(np.array(SHAPES[row["g"]], float), p), rel=1e-9), (row["g"], name)
+
+
 def test_empty_group_gives_no_row(frame):
     df = frame([("a", None)], "g STRING, x LONG")
     assert order_stats.exact_quantiles(df, ["g"], "x", PROBS).count() == 0

@@ -161,3 +161,14 @@ def test_unreadable_latency_counts_at_the_cutoff_only(metrics):
     samples = [(*R, 0, 50, 50), (*R, 0, 60, None), (*R, 0, 70, 70)]
     row = metrics(samples=samples, generator=[(*R, None, 9, 0, 65)]).first()
     assert (row["visible_events_cutoff"], row["visible_events_final"]) == (2, 2)
+
+
+def test_run_stats_read_the_samples_once(spark, tmp_path):
+    path = str(tmp_path / "samples")
+    columns = ["'s' AS strategy", "'c' AS scenario", "'r' AS run_id", "id AS produced_at", "id + 5 AS visible_at", "id % 7 AS latency_ms"]
+    spark.range(500).selectExpr(*columns).write.parquet(path)
+    for query in (reports.run_stats, reports.scenario_stats):
+        got = query(spark.read.parquet(path))
+        assert got.collect()[0]["latency_rows"] == 500
+        final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("FileScan") == 1
