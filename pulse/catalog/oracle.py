@@ -187,6 +187,7 @@ _sql("ingest_one_scan", "log records", """,
              SELECT * FROM (SELECT * FROM told WHERE reason = 'accepted' QUALIFY row_number() OVER (PARTITION BY event_no ORDER BY copy) = 1))
   SELECT batch_id, reason, count(*) AS records FROM firsts GROUP BY batch_id, reason""")
 _sql("stream_equals_batch", "log records clean stored", f"SELECT {_ENVELOPE}, visible_at FROM stored")
+_sql("stream_drains", "log records clean stored", f"SELECT {_ENVELOPE}, visible_at FROM stored")
 _SAMPLE = f"event_id, {K}, produced_at, visible_at, latency_ms::DOUBLE AS latency_ms"
 _sql("stream_samples", "log", f"SELECT {_SAMPLE} FROM log")
 
@@ -251,6 +252,9 @@ _sql("sink_samples", "log", """
   FROM log""")
 _sql("run_extract", "log", f"""SELECT {_SAMPLE} FROM log
   WHERE strategy = 'batch' AND scenario = 'low-load' AND run_id = 'run_1'""")
+_sql("keyset_all_pages", "log", """
+  SELECT (row_number() OVER (ORDER BY visible_at, event_id) - 1) // 25 AS page, event_id, visible_at
+  FROM log WHERE strategy = 'streaming' AND scenario = 'high-load' AND run_id = 'run_3'""")
 _sql("keyset_page", "log", f"""SELECT event_id, visible_at FROM log
   WHERE strategy = 'streaming' AND scenario = 'high-load' AND run_id = 'run_3'
     AND (visible_at, event_id) > ({ORIGIN_MS + 150_000}, '00000000-0000-0000-0000-000000000500')
@@ -599,6 +603,7 @@ _sql("live_latency_stream", "log", """
          round(quantile_cont(latency_ms, 0.5), 3) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 3) AS p95_ms,
          round(quantile_cont(latency_ms, 0.99), 3) AS p99_ms
   FROM log WHERE latency_ms IS NOT NULL GROUP BY ALL""")
+_SQL["live_latency_many_batches"] = _SQL["live_latency_stream"]
 _sql("latency_timeseries", "log samples origin", f"""
   SELECT {K}, (produced_at - start_at) // 10000 * 10 AS bucket_start_s,
          round(quantile_cont(latency_ms, 0.5), 3) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 3) AS p95_ms,

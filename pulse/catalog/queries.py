@@ -17,9 +17,10 @@ from pulse.schemas import KEY, LATENCY_SAMPLE, PRODUCE_BOUNDS, SCENARIO_LABELS,
 from pulse.session import shared_dir
 from pulse.sinks.event_store import EventStore
 from pulse.sources.kafka import between_offsets, log_ends, read_log_table, stream_log_table
-from pulse.sources.sink_scan import latency_samples, next_page, run_samples
+from pulse.sources.sink_scan import latency_samples, next_page, pages, run_samples
 from pulse.streaming.ingest import ingest_stream, run_to_end
 from pulse.streaming.monitor import append_samples, count_latencies, live_latency, live_visibility, publish
+from pulse.streaming.progress import ProgressTable, run_until_drained
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -185,6 +186,38 @@ def stream_equals_batch(spark, sf_dir):
     return store.events().select(*_ENVELOPE, "visible_at")
 
 
+@_query
+def stream_drains(spark, sf_dir):
+    """The stream with a processing-time trigger, which never ends by itself: stopped by the drain rule on its own progress rows."""
+    source = shared_dir(spark, "log")
+    inputs.kafka_log(spark, sf_dir).repartition(4, "partition").write.parquet(source)
+    store = _store(spark, "drains")
+    idle = "spark.sql.streaming.noDataProgressEventInterval"
+    before = spark.conf.get(idle, None)
+    spark.conf.set(idle, "500")
+    progress = ProgressTable(spark, shared_dir(spark, "progress"))
+    spark.streams.addListener(progress)
+    try:
+        stream = stream_log_table(spark, source, files_per_batch=4)
+        query = ingest_stream(stream, store, "run", shared_dir(spark, "offsets"), "microbatch", "200 milliseconds")
+        run_until_drained(query, progress)
+    finally:
+        spark.streams.removeListener(progress)
+        spark.conf.unset(idle) if before is None else spark.conf.set(idle, before)
+    return store.events().select(*_ENVELOPE, "visible_at")
+
+
+@_query
+def live_latency_many_batches(spark, sf_dir):
+    """Windows counted over twenty micro-batches, whose tables are added up on the way."""
+    source, out = shared_dir(spark, "events"), shared_dir(spark, "windows")
+    events = inputs.table(spark, sf_dir, "events")
+    events.repartition(20, "event_id").write.parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run_to_end(count_latencies(inputs.as_event_log(stream), out, shared_dir(spark, "offsets"), "bounded"))
+    return _rounded(live_latency(spark, out), 3)
+
+
 @_query
 def stream_samples(spark, sf_dir):
     """Samples appended as they become visible."""
@@ -284,6 +317,16 @@ def keyset_page(spark, sf_dir):
     return page.select("event_id", "visible_at")
 
 
+@_query
+def keyset_all_pages(spark, sf_dir):
+    """All pages of one run, each from the cursor that the last one left; rows with the number of their page."""
+    source = shared_dir(spark, "sink")
+    inputs.event_log(spark, sf_dir).repartitionByRange(8, "visible_at").write.parquet(source)
+    found = pages(spark.read.parquet(source), ("streaming", "high-load", "run_3"), rows=25)
+    rows = [(number, row["event_id"], row["visible_at"]) for number, page in enumerate(found) for row in page]
+    return spark.createDataFrame(rows, "page LONG, event_id STRING, visible_at LONG")
+
+
 @_query
 def bounded_sample_rows(spark, sf_dir):
     log = inputs.event_log(spark, sf_dir).select("event_id", *KEY, "latency_ms")

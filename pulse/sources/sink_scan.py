@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.functions.columns import label_or, latency_ms, of_run
@@ -29,6 +32,60 @@ def next_page(
     return page.orderBy("visible_at", "event_id").limit(rows)
 
 
+@dataclass(frozen=True)
+class FileRange:
+    """A file of the sink, with its rows and the span of their visible times."""
+
+    path: str
+    rows: int
+    first: int
+    last: int
+
+
+def file_ranges(sink: DataFrame) -> list[FileRange]:
+    """The span of each file of a file-based sink: one small row for each file comes to the driver."""
+    by_file = sink.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.count("*").alias("rows"), F.min("visible_at").alias("first"), F.max("visible_at").alias("last")
+    )
+    return [FileRange(**row.asDict()) for row in by_file.where(F.col("first").isNotNull()).collect()]
+
+
+def files_of_page(ranges: Sequence[FileRange], after_ms: int, rows: int) -> list[FileRange]:
+    """The files that can hold the next ``rows`` rows from ``after_ms`` on.
+
+    Files that begin later are all unread. In the order of their ends, as many of them as make up a page show by when the
+    page must be full; what begins after that is not opened.
+    """
+    left, found = [r for r in ranges if r.last >= after_ms], 0
+    for unread in sorted((r for r in left if r.first > after_ms), key=lambda r: r.last):
+        found += unread.rows
+        if found >= rows:
+            return [r for r in left if r.first <= unread.last]
+    return left
+
+
+def pages(
+    sink: DataFrame, run: tuple[str, str, str] | None = None, cursor: tuple[int, str] = (-(1 << 63), ""), rows: int = SINK_PAGE_ROWS
+) -> Iterator[list[Row]]:
+    """All rows after the cursor in ``(visible_at, event_id)`` order, page by page, until a page is not full.
+
+    The files' spans are taken once, so a page opens only the files that can hold it. Rows that come later belong to the
+    next call, from the last row's cursor on.
+    """
+    own = sink.where(of_run(*run)) if run else sink
+    ranges = file_ranges(own)
+    while True:
+        near = files_of_page(ranges, cursor[0], rows)
+        if not near:
+            return
+        page = next_page(own.where(F.col("_metadata.file_path").isin([r.path for r in near])), None, cursor, rows).collect()
+        if page:
+            yield page
+        if len(page) < rows:
+            return
+        cursor = (page[-1]["visible_at"], page[-1]["event_id"])
+
+
 def latency_samples(sink: DataFrame, run: tuple[str, str, str] | None = None) -> DataFrame:
     """Sample rows of the sink, of one run or of all: labels defaulted, latency derived."""
     if run:

@@ -7,6 +7,7 @@ from pulse.plans.ingest import IngestCounts, clean_events, ingest
 from pulse.sinks import jdbc
 from pulse.sinks.event_store import EventStore
 from pulse.sources.kafka import between_offsets, topic_options
+from pulse.sources.sink_scan import FileRange, file_ranges, files_of_page, next_page, pages
 
 LOG = "value BINARY, partition INT, offset LONG"
 
@@ -126,3 +127,39 @@ def test_jdbc_statements():
     assert jdbc.write_options({"url": "u"}, "t", "streaming")["batchsize"] == "2000"
     merge = jdbc.merge_statement("stage", "events")
     assert merge.startswith("INSERT INTO events (event_id,") and "ON CONFLICT (event_id) DO NOTHING" in merge
+
+
+RANGES = [FileRange("a", 10, 0, 9), FileRange("b", 10, 5, 30), FileRange("c", 10, 31, 40), FileRange("d", 10, 41, 50), FileRange("e", 10, 0, 100)]
+
+
+@pytest.mark.parametrize("after,rows,want", [(-1, 10, "abe"), (-1, 11, "abe"), (-1, 21, "abce"), (10, 10, "bce"), (41, 5, "de"), (101, 5, ""), (0, 1000, "abcde")])
+def test_a_page_opens_the_files_that_can_hold_it(after, rows, want):
+    assert "".join(r.path for r in files_of_page(RANGES, after, rows)) == want
+
+
+def test_pages_give_every_row_once_and_in_order(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    rows = spark.range(300).selectExpr("cast(id AS string) AS event_id", "id * 7 % 40 AS visible_at", "'x' AS payload")
+    rows.repartitionByRange(6, "visible_at").write.parquet(path)
+    sink = spark.read.parquet(path)
+    got = list(pages(sink, rows=32))
+    assert [len(p) for p in got] == [32] * 9 + [12]
+    flat = [(r["visible_at"], r["event_id"]) for p in got for r in p]
+    assert flat == sorted((r["visible_at"], r["event_id"]) for r in rows.collect())
+    assert list(pages(sink, cursor=flat[-1])) == [] and len(list(pages(sink, rows=300))) == 1
+    # The files of the later pages alone are read.
+    ranges = file_ranges(sink)
+    near = files_of_page(ranges, flat[200][0], 32)
+    page = next_page(sink.where(F.col("_metadata.file_path").isin([r.path for r in near])), None, flat[200], 32)
+    page.collect()
+    scan = next(n for n in _nodes(page._jdf.queryExecution().executedPlan()) if n.nodeName().startswith("Scan"))
+    assert scan.metrics().apply("numFiles").value() == len(near) < len(ranges) == 6
+
+
+def _nodes(plan):
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()
+    yield plan
+    children = plan.children()
+    for k in range(children.size()):
+        yield from _nodes(children.apply(k))

@@ -7,8 +7,10 @@ from pulse.plans.ingest import ingest
 from pulse.schemas import KAFKA_RECORD
 from pulse.sinks.event_store import EventStore
 from pulse.sources.kafka import stream_log_table
+from pulse.streaming import monitor, progress
 from pulse.streaming.ingest import first_within, ingest_stream, run_to_end, trigger
-from pulse.streaming.monitor import append_samples, count_latencies, live_latency, live_visibility, publish
+from pulse.streaming.monitor import COUNTS, WindowCounts, append_samples, count_latencies, live_latency, live_visibility, publish
+from pulse.streaming.progress import ProgressTable, run_until_drained
 
 
 def log(spark, records):
@@ -134,6 +136,49 @@ def test_windows_are_exact_and_late_rows_count(spark, sink, tmp_path):
     assert read()[0] == (12, 5.5) and sum(n for n, _ in read().values()) == 62
 
 
+def test_counts_of_many_batches_lie_in_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(monitor, "FOLD", 3)
+    counts = WindowCounts(spark, str(tmp_path / "c"))
+    batch = lambda n: spark.createDataFrame([(0, "s", "c", n % 4, 1)], COUNTS).coalesce(1)
+    for number in range(20):
+        counts.add(batch(number), number)
+        if number % 5 == 2:
+            # The latest batch once more, as after a failure: also where it has been folded.
+            counts.add(batch(number), number)
+    assert len(WindowCounts(spark, str(tmp_path / "c")).log.latest().attempts) <= 6
+    assert live_latency(spark, str(tmp_path / "c")).first()["rows_seen"] == 20
+    assert counts.read().groupBy().agg(F.sum("n")).first()[0] == 20
+    assert live_latency(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_progress_rows_in_segments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(progress, "SEGMENT", 4)
+    table = ProgressTable(spark, str(tmp_path / "p"))
+    assert not table.drained(1)
+    for rows in (5, 0, 0, 7, 0, 0):
+        table._append("q", 1, rows)
+    assert len(list((tmp_path / "p").glob("*.json"))) == 2
+    assert [r["num_input_rows"] for r in table.read().orderBy("batch_id").collect()] == [5, 0, 0, 7, 0, 0]
+    assert table.drained(2) and not table.drained(3)
+    table._append("q", None, 0)
+    assert table.drained(3)
+
+
+def test_a_stream_stops_when_it_has_run_dry(spark, parts, tmp_path):
+    store = EventStore(spark, str(tmp_path / "events"), F.col("produced_at"))
+    spark.conf.set("spark.sql.streaming.noDataProgressEventInterval", "300")
+    table = ProgressTable(spark, str(tmp_path / "p"))
+    spark.streams.addListener(table)
+    try:
+        source = stream_log_table(spark, parts, files_per_batch=1)
+        query = ingest_stream(source, store, "run", str(tmp_path / "o"), "streaming")
+        run_until_drained(query, table)
+    finally:
+        spark.streams.removeListener(table)
+        spark.conf.unset("spark.sql.streaming.noDataProgressEventInterval")
+    assert not query.isActive and store.events().count() == 4
+
+
 def test_copies_within_the_horizon(spark, parts, tmp_path):
     out = str(tmp_path / "out")
     events = first_within(stream_log_table(spark, parts), "1 hour")
