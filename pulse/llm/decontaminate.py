@@ -161,15 +161,16 @@ def passages(words: np.ndarray, items: Items, settings: Settings) -> list[tuple[
 def align(items: list[np.ndarray], passage: list[np.ndarray], values: tuple[int, int, int] = (MATCH, MISS, GAP)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(score, first word, word after the last) of the best local alignment of each pair, by Smith-Waterman.
 
-    A cell holds its score above 2^20 and, below, where its alignment began; so the larger of two cells is that with
-    the better score. All pairs go through the table's rows together.
+    A cell holds its score in its upper bits and, in as many lower ones as the longest passage needs, where its alignment began; so
+    the larger of two cells is that with the better score. All pairs go through the table's rows together.
     """
     match, miss, gap = values
     n, width, height = len(items), max(map(len, passage)), max(map(len, items))
     text, rows = np.zeros((n, width), np.uint64), np.ones((n, height), np.uint64)
     for k in range(n):
         text[k, : len(passage[k])], rows[k, : len(items[k])] = passage[k], items[k]
-    one = np.int64(1 << 20)
+    bits = int(width + 1).bit_length()
+    one = np.int64(1 << bits)
     begin = np.arange(width + 1, dtype=np.int64)
     ramp = begin * -gap * one
     before = np.tile(begin, (n, 1))
@@ -181,12 +182,12 @@ def align(items: list[np.ndarray], passage: list[np.ndarray], values: tuple[int,
         now[:, 1:] = np.maximum(before[:, :-1] + np.where(equal, match, miss) * one, before[:, 1:] + gap * one)
         np.maximum(now, begin, out=now)
         now = np.maximum.accumulate(now + ramp, axis=1) - ramp
-        place = (now >> 20).argmax(axis=1)
+        place = (now >> bits).argmax(axis=1)
         value = now[np.arange(n), place]
-        better = (value >> 20) > (best >> 20)
+        better = (value >> bits) > (best >> bits)
         best, end = np.where(better, value, best), np.where(better, place, end)
         before = now
-    return best >> 20, best & (one - 1), end
+    return best >> bits, best & (one - 1), end
 
 
 PASSAGES = "kind int, doc_id long, item int, start long, words binary, seeds array<long>, word long, n long"

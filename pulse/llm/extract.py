@@ -24,10 +24,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pulse.llm import layouts
 from pulse.llm.dom import EDGES, NAMES, Forest, Page, attributes, parse
+from pulse.llm.shared import bounded_sample
 from pulse.llm.words import pieces, texts
 
 
@@ -141,10 +141,9 @@ def _says_its_article(page: Page) -> bool:
 
 def trained(pages: DataFrame, settings: Settings = Settings()) -> Model:
     """The model from a bounded sample of the table's pages and from pages made of their texts."""
-    fit = pages.select("page_id", "html").where(F.octet_length("html").between(1, settings.page_bytes))
-    order = F.xxhash64(F.col("page_id").cast("string"), "html")
-    rows = fit.orderBy(order, "page_id", "html").limit(settings.pages).collect()
-    found = [parse(row["html"]) for row in rows]
+    sample = bounded_sample(pages.select("page_id", "html"), settings.pages, "page-sample", "html", settings.page_bytes)
+    # In an order of their own, so that the model is the same in every run.
+    found = [parse(row["html"]) for row in sorted(sample.select("html").collect())]
     stock = [node.text for page in found for node in page.nodes if node.text is not None and node.words >= 5]
     made = [parse(text) for text in layouts.pages(random.Random(13), stock, settings.made)]
     own = [page for page in found if _says_its_article(page)]

@@ -50,6 +50,9 @@ FOOTER = (
     ("div", 'class="bottom"'),
     ("div", 'role="contentinfo"'),
     ("div", 'class="copyright"'),
+    ("div", 'class="wrap"'),
+    ("div", 'class="row"'),
+    ("p", ""),
     ("div", ""),
 )
 SIDE = (
@@ -166,7 +169,8 @@ class _Writer:
         return self.inside(HEADER, 0, title + (self.nav() if self.chance(0.5) else "") + (self.form() if self.chance(0.2) else ""))
 
     def footer(self) -> str:
-        text = self.say("footer", 0.8) + (f"<p>{self.sentences(3, 25)}" if self.chance(0.5) else "")
+        owner = f" {self.words(1, 4)}. " if self.chance(0.5) else " "
+        text = self.say("footer", 0.8).replace(" ", owner, 1) + (f"<p>{self.sentences(3, 25)}" if self.chance(0.4) else "")
         return self.inside(FOOTER, 0, (text or "&copy; " + self.words(1, 6)) + (self.links(2, 8) if self.chance(0.5) else ""))
 
     def advert(self) -> str:

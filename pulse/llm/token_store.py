@@ -45,8 +45,9 @@ from pulse.session import shared_dir
 @dataclass(frozen=True)
 class Settings:
     end_id: int | None = 2
-    #: Documents that the dictionary is trained on, at most about so many, and its size.
+    #: Documents that the dictionary is trained on, at most so many of at most so many bytes, and its size.
     sample: int = 2000
+    sample_bytes: int = 1 << 16
     dictionary_bytes: int = 64 << 10
     level: int = 3
     #: Words whose ids a worker keeps.
@@ -145,7 +146,7 @@ def _encoding(spark: SparkSession, definition: str, width: str, settings: Settin
 
 def trained_dictionary(docs: DataFrame, definition: str, width: str, settings: Settings) -> bytes:
     """A dictionary for the serialised ids, from a bounded sample; empty if the sample is too small for one."""
-    sample = bounded_sample(docs.select("doc_id", "text"), "doc_id", settings.sample, "token-sample")
+    sample = bounded_sample(docs.select("doc_id", "text"), settings.sample, "token-sample", "text", settings.sample_bytes)
     ids = sample.mapInArrow(_encoding(docs.sparkSession, definition, width, settings), "doc_id long, ids binary")
     samples = [bytes(r["ids"]) for r in ids.select("ids").toLocalIterator()]
     try:

@@ -134,3 +134,16 @@ def test_clean_drops_rows_without_doc_id(spark, documents):
     left = decontaminate.clean(docs, benchmark)
     assert left.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(None, fine), (None, None), (1, fine), (2, fine)], key=str)
+
+
+def test_a_passage_of_many_words_aligns_as_a_short_one():
+    """Where an alignment begins may take more than twenty bits."""
+    rng = np.random.default_rng(4)
+    item = rng.integers(1, 1 << 40, 9, np.uint64)
+    width = (1 << 20) + 5_000
+    passage = np.arange(width, dtype=np.uint64) + np.uint64(1 << 50)
+    score, _, _ = decontaminate.align([item], [passage])
+    assert score.tolist() == [0]
+    passage[-20:-11] = item
+    score, first, last = decontaminate.align([item], [passage])
+    assert (score.tolist(), first.tolist(), last.tolist()) == ([2 * 9], [width - 20], [width - 11])
