@@ -252,6 +252,26 @@ _sql("sink_samples", "log", """
   FROM log""")
 _sql("run_extract", "log", f"""SELECT {_SAMPLE} FROM log
   WHERE strategy = 'batch' AND scenario = 'low-load' AND run_id = 'run_1'""")
+_sql("tree_samples", "log samples", f"SELECT {_SAMPLE} FROM samples WHERE event_no % 50 <> 0")
+_sql("tree_documents", "log gen meta summ", f"""
+  SELECT {K}, meta.target_eps::DOUBLE AS target_eps, 'commit-' || commit_no AS git_commit, summ.visible::DOUBLE AS visible_events,
+         summ.mem AS memory_rss_avg_mb, gen.generated_events::DOUBLE AS generated_events, gen.profile AS load_profile
+  FROM gen JOIN meta USING ({K}) JOIN summ USING ({K})""")
+_sql("tree_snapshots", "log", f"""
+  SELECT {K}, event_type AS metric, count(*) AS rows, count(*) FILTER (event_no % 9 <> 0) AS readable,
+         (sum(event_no % 1000) FILTER (event_no % 9 <> 0))::DOUBLE AS total FROM log GROUP BY ALL""")
+_sql("tree_series", "log", f""",
+  readings AS (
+    SELECT {K}, CASE event_type WHEN 'purchase' THEN 'real_prometheus' ELSE 'unknown' END AS kind, floor(value)::DOUBLE AS v
+    FROM log WHERE event_type IN ('purchase', 'error')
+    UNION ALL SELECT {K}, 'memory', floor(value) * 1048576 FROM log WHERE event_type = 'view'
+    UNION ALL SELECT {K}, 'cores', floor(value) FROM log WHERE event_type = 'view')
+  SELECT {K}, kind, count(*) AS rows, sum(v) AS total FROM readings GROUP BY ALL""")
+_sql("tree_missing_columns", "log samples", """
+  SELECT strategy, count(*) AS rows, count(*) FILTER (strategy <> 'streaming') AS timed, sum(latency_ms)::DOUBLE AS latency
+  FROM samples GROUP BY strategy""")
+_sql("report_files", "log samples", """
+  SELECT kind, strategy, count(*) AS rows FROM samples, (VALUES ('report'), ('samples'), ('documents')) AS k(kind) GROUP BY ALL""")
 _sql("keyset_all_pages", "log", """
   SELECT (row_number() OVER (ORDER BY visible_at, event_id) - 1) // 25 AS page, event_id, visible_at
   FROM log WHERE strategy = 'streaming' AND scenario = 'high-load' AND run_id = 'run_3'""")

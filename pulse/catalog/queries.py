@@ -13,9 +13,26 @@ from pulse.functions import parsing
 from pulse.operators import keys, matrix, order_stats, ranks, telemetry, timeline
 from pulse.plans import quality, reports, snapshot
 from pulse.plans.ingest import clean_events, ingest
-from pulse.schemas import KEY, LATENCY_SAMPLE, PRODUCE_BOUNDS, SCENARIO_LABELS, SCENARIOS, STRATEGIES, STRATEGY_LABELS
+from pulse.schemas import (
+    GENERATOR_FILE,
+    KEY,
+    LAG_FILE,
+    LATENCY_FILE,
+    LATENCY_SAMPLE,
+    METADATA_FILE,
+    PRODUCE_BOUNDS,
+    RESOURCES_FILE,
+    SCENARIO_LABELS,
+    SCENARIOS,
+    SNAPSHOT_FILE,
+    STRATEGIES,
+    STRATEGY_LABELS,
+    SUMMARY_FILE,
+)
 from pulse.session import shared_dir
+from pulse.sinks import files
 from pulse.sinks.event_store import EventStore
+from pulse.sources import artifacts
 from pulse.sources.kafka import between_offsets, log_ends, read_log_table, stream_log_table
 from pulse.sources.sink_scan import latency_samples, next_page, pages, run_samples
 from pulse.streaming.ingest import ingest_stream, run_to_end
@@ -317,6 +334,90 @@ def keyset_page(spark, sf_dir):
     return page.select("event_id", "visible_at")
 
 
+def _tree(spark: SparkSession) -> str:
+    return shared_dir(spark, "results")
+
+
+@_query
+def tree_samples(spark, sf_dir):
+    """Samples through the files of a result tree: every fiftieth latency is no number, and the labels within the files are wrong."""
+    root, log = _tree(spark), inputs.samples(spark, sf_dir)
+    text = F.when(F.col("event_no") % 50 == 0, "n/a").otherwise(F.col("latency_ms").cast("string"))
+    rows = log.withColumn("latency_ms", text).select(*LATENCY_SAMPLE.names)
+    files.write_tree(rows, root, LATENCY_FILE, ["visible_at", "event_id"])
+    return artifacts.read_latency_samples(spark, root)
+
+
+@_query
+def tree_documents(spark, sf_dir):
+    """The three documents of every run, written and read: what each says, side by side."""
+    root, log = _tree(spark), inputs.event_log(spark, sf_dir)
+    files.write_tree(inputs.run_metadata(log), root, METADATA_FILE, fmt="json")
+    files.write_tree(inputs.run_summaries(log), root, SUMMARY_FILE, fmt="json")
+    # The labels of these are those of their folder alone.
+    generators = inputs.generator_summaries(log)
+    files.write_tree(generators, root, GENERATOR_FILE, fmt="json")
+    told = artifacts.read_run_metadata(spark, root).select(*KEY, "target_eps", "git_commit")
+    seen = artifacts.read_run_summaries(spark, root).select(*KEY, "visible_events", "memory_rss_avg_mb")
+    made = artifacts.read_generator_summaries(spark, root).select(*KEY, "generated_events", "load_profile")
+    figures = told.join(seen, KEY, "full").join(made, KEY, "full")
+    return _as_double(figures, "visible_events", "target_eps", "generated_events")
+
+
+@_query
+def tree_snapshots(spark, sf_dir):
+    """Metric snapshots through CSV files: rows, readable values and their sum by run and metric."""
+    root, log = _tree(spark), inputs.event_log(spark, sf_dir)
+    value = F.when(F.col("event_no") % 9 == 0, "oops").otherwise((F.col("event_no") % 1000).cast("string"))
+    rows = log.select(*KEY, F.col("event_type").alias("metric"), value.alias("value"), F.lit("unit").alias("unit"))
+    files.write_tree(rows, root, SNAPSHOT_FILE)
+    read = artifacts.read_snapshots(spark, root)
+    return read.groupBy(*KEY, "metric").agg(F.count("*").alias("rows"), F.count("value").alias("readable"), F.sum("value").alias("total"))
+
+
+@_query
+def tree_series(spark, sf_dir):
+    """Lag and resource readings through CSV files; a reading without a source is of an unknown one."""
+    root, log = _tree(spark), inputs.event_log(spark, sf_dir)
+    lag = inputs.lag_series(log).withColumn("lag_source", F.nullif(F.col("lag_source"), F.lit("missing")))
+    files.write_tree(lag.withColumn("timestamp", F.lit(1)), root, LAG_FILE)
+    files.write_tree(inputs.resource_series(log).withColumn("timestamp", F.lit(1)), root, RESOURCES_FILE)
+    lags = artifacts.read_lag_series(spark, root).select(*KEY, F.col("lag_source").alias("kind"), F.col("lag").alias("value"))
+    used = artifacts.read_resource_series(spark, root)
+    memory = used.select(*KEY, F.lit("memory").alias("kind"), F.col("mem_rss_bytes").alias("value"))
+    cores = used.select(*KEY, F.lit("cores").alias("kind"), (F.col("cpu_cores") * 4).alias("value"))
+    series = matrix.union_all(lags, memory, cores)
+    return series.groupBy(*KEY, "kind").agg(F.count("*").alias("rows"), F.sum("value").alias("total"))
+
+
+@_query
+def tree_missing_columns(spark, sf_dir):
+    """Files whose columns stand in another order, or are not there: fields go by the header of their own file."""
+    root, log = _tree(spark), inputs.samples(spark, sf_dir)
+    whole = log.where("strategy <> 'streaming'").select(*reversed(LATENCY_SAMPLE.names))
+    files.write_tree(whole, root, LATENCY_FILE)
+    files.write_tree(log.where("strategy = 'streaming'").select(*KEY, "latency_ms", "event_id"), root, LATENCY_FILE)
+    raw = artifacts.read_latency_samples(spark, root, raw=True)
+    return raw.groupBy("strategy").agg(
+        F.count("*").alias("rows"), F.count("visible_at").alias("timed"), F.sum(col.lenient_double("latency_ms")).alias("latency")
+    )
+
+
+@_query
+def report_files(spark, sf_dir):
+    """A report, samples in visible order and documents by run, as files: rows of each kind as they are read again."""
+    root, log = _tree(spark), inputs.samples(spark, sf_dir)
+    files.write_report(reports.scenario_stats(log), f"{root}/report")
+    files.write_samples_csv(latency_samples(log), f"{root}/samples")
+    files.write_run_documents(inputs.run_summaries(log), f"{root}/documents")
+    report = spark.read.option("header", "true").csv(f"{root}/report").select("strategy", F.col("latency_rows").cast("long").alias("n"))
+    samples = spark.read.option("header", "true").csv(f"{root}/samples").groupBy("strategy").agg(F.count("visible_at").alias("n"))
+    documents = spark.read.json(f"{root}/documents").groupBy("strategy").agg(F.sum("generated_events").cast("long").alias("n"))
+    kinds = {"report": report, "samples": samples, "documents": documents}
+    rows = matrix.union_all(*[df.select(F.lit(kind).alias("kind"), "strategy", "n") for kind, df in kinds.items()])
+    return rows.groupBy("kind", "strategy").agg(F.sum("n").alias("rows"))
+
+
 @_query
 def keyset_all_pages(spark, sf_dir):
     """All pages of one run, each from the cursor that the last one left; rows with the number of their page."""

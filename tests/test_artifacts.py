@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pulse.operators import matrix
 from pulse.plans import reports
@@ -172,3 +173,18 @@ def test_written_samples_read_back_in_order(spark, frame, tmp_path):
     assert spark.read.parquet(str(tmp_path / "report2")).count() == 3
     files.write_run_documents(df.limit(1), str(tmp_path / "docs"))
     assert (tmp_path / "docs" / "strategy=s" / "scenario=c" / "run_id=r").is_dir()
+
+
+def test_a_written_tree_has_one_whole_file_a_run(spark, tmp_path, frame):
+    rows = [(f"e{k}", "batch", "low load", f"run {k % 2}/x", 10 * k, 20 * k, 1.5 * k) for k in range(40)]
+    df = frame(rows, "event_id STRING, strategy STRING, scenario STRING, run_id STRING, produced_at LONG, visible_at LONG, latency_ms DOUBLE")
+    root = str(tmp_path / "tree")
+    plain = df.withColumn("run_id", F.regexp_replace("run_id", "/x", "")).repartition(7)
+    for _ in range(2):
+        files.write_tree(plain, root, "latency_samples.csv", ["visible_at"])
+    found = sorted(p.relative_to(root).as_posix() for p in (tmp_path / "tree").rglob("*") if p.is_file() and not p.name.startswith("."))
+    assert found == ["batch/low load/run 0/latency_samples.csv", "batch/low load/run 1/latency_samples.csv"]
+    lines = (tmp_path / "tree/batch/low load/run 1/latency_samples.csv").read_text().splitlines()
+    assert lines[0] == "event_id,strategy,scenario,run_id,produced_at,visible_at,latency_ms"
+    assert [int(line.split(",")[5]) for line in lines[1:]] == sorted(20 * k for k in range(1, 40, 2))
+    assert artifacts.read_latency_samples(spark, root, scope="all").count() == 40
