@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from pulse.functions.parsing import accepted, parse_events
 from pulse.operators.keys import first_wins
-from pulse.sinks.event_store import EventStore, Run, SENT_IDS, id_numbers
+from pulse.sinks.event_store import SENT_IDS, EventStore, Run, id_numbers
+from pulse.sinks.jdbc import JdbcStore
 
 
 @dataclass(frozen=True)
@@ -64,6 +65,20 @@ def ingest_parsed(parsed: DataFrame, store: EventStore, batch_id: str, run: Run
     return counts
 
 
+def ingest_into_table(log: DataFrame, table: JdbcStore) -> IngestCounts:
+    """The log's events into a database table, once each, in one pass; the table itself knows which ids it has.
+
+    Bad records are counted and left out. Run again, also with other batches in between, it adds nothing.
+    """
+    seen = Observation()
+    parsed = parse_events(log).observe(seen, F.count("*").alias("records"), F.count_if(~F.col("accepted")).alias("rejected"))
+    table.add(first_wins(accepted(parsed)))
+    try:
+        return IngestCounts(**seen.get)
+    except Py4JError:
+        return IngestCounts(0, 0)
+
+
 def _without_known(store: EventStore, name: str, batch_id: str, events: int, run: Run | None) -> tuple[str, int]:
     """An attempt without the events that the store has already, and how many it has: the same one if there are none."""
     known = store.known(store.attempt_ids(name), events, batch_id, run)

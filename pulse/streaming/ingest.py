@@ -8,8 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from pulse.functions.parsing import accepted, parse_events
-from pulse.plans.ingest import ingest, ingest_parsed
+from pulse.plans.ingest import ingest, ingest_into_table, ingest_parsed
 from pulse.sinks.event_store import EventStore
+from pulse.sinks.jdbc import JdbcStore
 from pulse.streaming.state import keyed_state, unseen
 
 DEFAULT_INTERVAL = "5 seconds"
@@ -64,6 +65,17 @@ def ingest_stream(
         return writer(unseen(log, store), checkpoint, trigger(mode, interval)).foreachBatch(write).start()
 
 
+def ingest_stream_into_table(
+    log: DataFrame, table: JdbcStore, checkpoint: str, mode: str = "microbatch", interval: str = DEFAULT_INTERVAL
+) -> StreamingQuery:
+    """Start ingesting a Kafka-shaped stream into a database table. A repeated batch adds nothing, as the table has its ids."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        ingest_into_table(batch, table)
+
+    return writer(log, checkpoint, trigger(mode, interval)).foreachBatch(write).start()
+
+
 def first_within(log: DataFrame, horizon: str) -> DataFrame:
     """Accepted events of a stream without the copies that come within ``horizon`` of the first.
 

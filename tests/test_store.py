@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pulse.plans.ingest import IngestCounts, clean_events, ingest
+from pulse.plans.ingest import IngestCounts, clean_events, ingest, ingest_into_table
 from pulse.sinks import jdbc
 from pulse.sinks.event_store import EventStore
 from pulse.sources.kafka import between_offsets, topic_options
@@ -123,10 +123,32 @@ def test_topic_options():
         topic_options("h:1", "t", "other")
 
 
-def test_jdbc_statements():
+def test_jdbc_statements(spark):
     assert jdbc.write_options({"url": "u"}, "t", "streaming")["batchsize"] == "2000"
     merge = jdbc.merge_statement("stage", "events")
-    assert merge.startswith("INSERT INTO events (event_id,") and "ON CONFLICT (event_id) DO NOTHING" in merge
+    assert merge.startswith("INSERT INTO events (event_id,") and merge.endswith("ON CONFLICT (event_id) DO NOTHING")
+    assert "DISTINCT ON (event_id)" in merge
+    assert jdbc.empty_statement("events") == "DELETE FROM events WHERE strategy = ? AND scenario = ? AND run_id = ?"
+    for target, name in (("events; DROP TABLE x", "w"), ("events", "a b"), ("", "w")):
+        with pytest.raises(ValueError):
+            jdbc.JdbcStore(spark, {}, target, name)
+    assert jdbc.JdbcStore(spark, {}, "public.events", "run_1").staging == "public.events_stage_run_1"
+
+
+def test_a_table_takes_each_event_once_with_its_labels(spark, frame, monkeypatch):
+    """What would be written, and the statements after it; no database is at hand."""
+    written, said = [], []
+    monkeypatch.setattr(jdbc, "stage", lambda df, options, staging, mode: written.append((staging, mode, jdbc.staged_rows(df).collect())))
+    monkeypatch.setattr(jdbc, "execute", lambda spark, options, statement, values=(): said.append((statement, values)))
+    table = jdbc.JdbcStore(spark, {"url": "u"}, "events", "w", "microbatch")
+    log = frame([record(1, 7, "late"), record(1, 3, "first"), record(2, 4, run=" "), (b"bad", 0, 9)], LOG)
+    assert ingest_into_table(log, table) == IngestCounts(4, 1)
+    (staging, mode, rows), = written
+    assert (staging, mode) == ("events_stage_w", "microbatch")
+    assert sorted((r["payload"], r["run_id"]) for r in rows) == [("first", "run_1"), ("p", "unset")]
+    assert said == [(jdbc.merge_statement("events_stage_w", "events"), ())]
+    table.empty_run("a", "b", "c")
+    assert said[-1] == (jdbc.empty_statement("events"), ("a", "b", "c"))
 
 
 RANGES = [FileRange("a", 10, 0, 9), FileRange("b", 10, 5, 30), FileRange("c", 10, 31, 40), FileRange("d", 10, 41, 50), FileRange("e", 10, 0, 100)]
