@@ -794,10 +794,7 @@ def reconcile_counts(spark, sf_dir):
     """Summaries beside the rows really exported."""
     log = inputs.event_log(spark, sf_dir)
     counted = matrix.rows_per_label(log.where(F.col("value") < inputs.LOST_FROM))
-    joined = inputs.run_summaries(log).join(counted, KEY, "left")
-    figures = joined.select(
-        *KEY, "visible_events", "rows", (~F.col("visible_events").eqNullSafe(F.col("rows"))).alias("differs")
-    )
+    figures = reports.reconciled_counts(inputs.run_summaries(log), counted)
     return _as_double(figures, "visible_events", "rows")
 
 

@@ -129,6 +129,15 @@ def statistical_tests(samples: DataFrame) -> DataFrame:
     )
 
 
+def reconciled_counts(summaries: DataFrame, exported: DataFrame) -> DataFrame:
+    """What each run says was visible beside the rows that were exported of it, and whether the two differ; a run may have no rows.
+
+    ``exported``: run key and ``rows``.
+    """
+    joined = summaries.select(*KEY, "visible_events").join(exported.select(*KEY, "rows"), KEY, "left")
+    return joined.withColumn("differs", ~F.col("visible_events").eqNullSafe(F.col("rows")))
+
+
 # --- official metrics -----------------------------------------------------------------
 
 

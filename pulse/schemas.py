@@ -123,7 +123,6 @@ _TYPES = {
     "DOUBLE": T.DoubleType(),
     "STRING": T.StringType(),
     "TIMESTAMP": T.TimestampType(),
-    "MAP<STRING,STRING>": T.MapType(T.StringType(), T.StringType()),
 }
 
 
@@ -183,15 +182,6 @@ RESOURCE_SERIES = _struct(
     "timestamp BIGINT, strategy STRING, scenario STRING, run_id STRING, cpu_cores DOUBLE,"
     " mem_rss_bytes DOUBLE"
 )
-RATE_TIMELINE = _struct(
-    "timestamp_ms BIGINT, elapsed_s DOUBLE, current_rate DOUBLE, load_profile STRING,"
-    " strategy STRING, scenario STRING, run_id STRING"
-)
-CLOCK_OFFSETS = _struct(
-    "node STRING, node_name STRING, offset_ms STRING, status STRING, timestamp STRING"
-)
-METRIC_SAMPLE = _struct("metric STRING, labels MAP<STRING,STRING>, ts TIMESTAMP, value DOUBLE")
-
 IOT_FIELDS = _struct(
     "device_id STRING, temperature_c DOUBLE, humidity_pct DOUBLE, pressure_hpa DOUBLE,"
     " battery_v DOUBLE, status STRING"

@@ -100,10 +100,6 @@ def run_samples(samples: DataFrame, strategy: str, scenario: str, run_id: str) -
     return samples.where(of_run(strategy, scenario, run_id))
 
 
-def in_visible_order(samples: DataFrame) -> DataFrame:
-    return samples.orderBy("visible_at", "event_id")
-
-
 def read_jdbc(
     spark: SparkSession,
     options: dict[str, str],
