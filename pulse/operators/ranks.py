@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulse.operators.order_stats import running_counts, value_counts
+from pulse.operators.order_stats import MS_WIDTH, running_counts, value_counts
 from pulse.schemas import STRATEGIES
 
 #: From here on both tails of the normal distribution together are below 2e-15, and taken as 0.
@@ -48,7 +48,7 @@ def _tie_term() -> Column:
 
 def kruskal_wallis(
     df: DataFrame, block: str = "scenario", group: str = "strategy", value: str = "latency_ms",
-    groups: list[str] = STRATEGIES, width: float | None = None,
+    groups: list[str] = STRATEGIES, width: float | None = MS_WIDTH,
 ) -> DataFrame:
     """H and p of each block that has every one of the three groups; null H where all values tie.
 
@@ -83,7 +83,7 @@ def kruskal_wallis(
 
 def mann_whitney(
     df: DataFrame, block: str = "scenario", group: str = "strategy", value: str = "latency_ms",
-    pairs: list[tuple[str, str]] = PAIRS, width: float | None = None,
+    pairs: list[tuple[str, str]] = PAIRS, width: float | None = MS_WIDTH,
 ) -> DataFrame:
     """U, z and two-sided p of each pair in each block, on the pair's own ranks.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulse.functions.columns import at_least, bucket, elapsed_s, is_advanced, is_plausible_ms
 from pulse.operators.keys import attach_per_run, keep_runs
-from pulse.operators.order_stats import quantiles_of_counts
+from pulse.operators.order_stats import MS_WIDTH, quantiles_of_counts
 from pulse.operators.scan import BLOCK, block_carry, running, with_block, within
 from pulse.schemas import KEY, LOAD_PROFILES, PLAUSIBLE_FROM_MS, PLAUSIBLE_TO_MS, PROFILE_PERIOD_S
 
@@ -229,7 +229,7 @@ def latency_timeseries(samples: DataFrame, width_s: int = 10) -> DataFrame:
         .agg(F.sum("_n").alias("n"))
     )
     probs = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
-    series = quantiles_of_counts(counts, [*KEY, "bucket_start_s"], "latency_ms", probs)
+    series = quantiles_of_counts(counts, [*KEY, "bucket_start_s"], "latency_ms", probs, width=MS_WIDTH)
     return series.withColumn("bucket_end_s", F.col("bucket_start_s") + width_s)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pulse.functions.columns import in_scope, lenient_double
 from pulse.operators import matrix
-from pulse.operators.order_stats import LATENCY_QUANTILES, exact_quantiles
+from pulse.operators.order_stats import LATENCY_QUANTILES, MS_WIDTH, exact_quantiles
 from pulse.schemas import (
     EXTREME_LATENCY_MS,
     KEY,
@@ -118,7 +118,7 @@ def strategy_checks(samples: DataFrame) -> DataFrame:
     """Sample size, percentile order and spread of each strategy."""
     typed = samples.withColumn("latency_ms", lenient_double("latency_ms")).where(F.col("latency_ms").isNotNull())
     figures = sample_counters(samples).join(
-        exact_quantiles(typed, ["strategy"], "latency_ms", LATENCY_QUANTILES), "strategy"
+        exact_quantiles(typed, ["strategy"], "latency_ms", LATENCY_QUANTILES, MS_WIDTH), "strategy"
     )
     named = lambda check: F.concat(F.lit(check + ":"), F.col("strategy"))
     enough = F.col("rows") >= 10
@@ -140,7 +140,7 @@ def strategy_checks(samples: DataFrame) -> DataFrame:
 def expectation_checks(samples: DataFrame) -> DataFrame:
     """Lower median latency than batch, where both strategies have samples."""
     typed = samples.withColumn("latency_ms", lenient_double("latency_ms"))
-    medians = exact_quantiles(typed, ["strategy"], "latency_ms", {"median": 0.5})
+    medians = exact_quantiles(typed, ["strategy"], "latency_ms", {"median": 0.5}, MS_WIDTH)
     of = lambda s: F.max(F.when(F.col("strategy") == s, F.col("median"))).alias(s)
     row = medians.agg(of("batch"), of("microbatch"), of("streaming"))
     rules = [

@@ -20,6 +20,7 @@ from pulse.operators import matrix
 from pulse.operators.keys import attach_per_run, in_display_order
 from pulse.operators.order_stats import (
     LATENCY_QUANTILES,
+    MS_WIDTH,
     box_stats,
     exact_quantiles,
     quantiles_of_counts,
@@ -54,7 +55,7 @@ def _latency_stats(samples: DataFrame, keys: Sequence[str], visible: bool = Fals
     if visible:
         extra += [F.sum("_visible").alias("visible_events_final_latency"), F.max("_last").alias("last_visible_at_ms")]
     carry = ["_visible", "_last"] if visible else []
-    return quantiles_of_counts(counts, keys, "latency_ms", LATENCY_QUANTILES, extra=extra, carry=carry)
+    return quantiles_of_counts(counts, keys, "latency_ms", LATENCY_QUANTILES, width=MS_WIDTH, extra=extra, carry=carry)
 
 
 def _visibility(samples: DataFrame, cutoffs: DataFrame | None = None) -> DataFrame:
@@ -108,7 +109,7 @@ def latency_summary(stats: DataFrame) -> DataFrame:
 
 def latency_distribution(samples: DataFrame, by=("scenario", "strategy")) -> DataFrame:
     """Box-plot numbers of the positive latencies."""
-    return box_stats(samples.where(F.col("latency_ms") > 0), list(by), "latency_ms")
+    return box_stats(samples.where(F.col("latency_ms") > 0), list(by), "latency_ms", MS_WIDTH)
 
 
 def statistical_tests(samples: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def official_metrics(
         meta,
         summary,
         generator,
-        exact_quantiles(samples, KEY, "latency_ms", LATENCY_QUANTILES),
+        exact_quantiles(samples, KEY, "latency_ms", LATENCY_QUANTILES, MS_WIDTH),
         _visibility(samples, ends),
         used,
         matrix.lag_per_run(lag),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pulse.operators.order_stats import quantiles_of_counts, value_counts
+from pulse.operators.order_stats import MS_WIDTH, quantiles_of_counts, value_counts
 from pulse.schemas import LATENCY_BOUNDS, LATENCY_SAMPLE
 from pulse.sinks.event_store import FOLD
 from pulse.sinks.manifests import Attempt, Batches, ManifestLog, new_name
@@ -108,7 +108,7 @@ def live_latency(spark: SparkSession, path: str) -> DataFrame:
     """Exact rows, p50, p95 and p99 of every window so far, from the counts under ``path``."""
     merged = WindowCounts(spark, path).read().groupBy(*_WINDOW, "latency_ms").agg(F.sum("n").alias("n"))
     probs = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
-    return quantiles_of_counts(merged, _WINDOW, "latency_ms", probs, extra=[F.sum("n").alias("rows_seen")])
+    return quantiles_of_counts(merged, _WINDOW, "latency_ms", probs, width=MS_WIDTH, extra=[F.sum("n").alias("rows_seen")])
 
 
 def append_samples(events: DataFrame, path: str, checkpoint: str, mode: str = "microbatch") -> StreamingQuery:

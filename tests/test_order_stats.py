@@ -88,6 +88,15 @@ def test_buckets_follow_the_values(frame):
             assert row[name] == pytest.approx(np.quantile(np.array(SHAPES[row["g"]], float), p), rel=1e-9), (row["g"], name)
 
 
+def test_buckets_of_one_width_are_few_far_away(frame):
+    values = sorted({*range(-3000, 3000, 7), *(10**k for k in range(3, 16)), *(-(10**k) for k in range(3, 16)), *(2**30 + k for k in range(-3000, 3000, 500))})
+    counts = frame([("g", v, 1) for v in values], "g STRING, x LONG, n LONG")
+    got = {r["x"]: r["_bucket"] for r in order_stats.bucketed(counts, ["g"], "x", order_stats.MS_WIDTH).collect()}
+    buckets = [got[v] for v in values]
+    assert buckets == sorted(buckets) and got[3] == 0 and got[-4] == -1 and abs(got[10**15]) < 2**21
+    assert {r["x"]: r["before"] for r in order_stats.running_counts(counts, ["g"], "x", width=order_stats.MS_WIDTH).collect()} == {v: k for k, v in enumerate(values)}
+
+
 def test_empty_group_gives_no_row(frame):
     df = frame([("a", None)], "g STRING, x LONG")
     assert order_stats.exact_quantiles(df, ["g"], "x", PROBS).count() == 0
