@@ -2,18 +2,18 @@
 
 Words are compared in lower case and without ASCII punctuation; in scripts without spaces between words (Chinese,
 Japanese, Thai, Lao, Khmer, Burmese) each character is a word. Every four words of a benchmark item are
-a seed. One pass over the corpus finds the seeds in every text, cuts out the passage around them and counts, for
-the words of the benchmark, how often the corpus has them. A seed is rare if words drawn by these
+a seed. A first pass over the corpus counts how often it has the words of the benchmark. A seed is rare if words drawn by these
 counts would make it less often than a limit, so a passage that was copied into very many documents keeps its seeds,
-while a run of everyday words makes none. The rarest quarter of an item's seeds always counts. Passages
-with a rare seed are aligned with the item, word by word; the score is the alignment's share of the best one possible.
+while a run of everyday words makes none. The rarest quarter of an item's seeds always counts. A second pass looks
+for rare seeds alone, cuts out the passages around them and aligns them with the item where they are, word by word; so a phrase that many
+items and documents share makes no pairs of them, and no passage is written or sent anywhere. The score is the alignment's share of the best one possible.
 A copy has half of that score, or, however long the item is, a part of ``part`` words (nearly) in a row. For the latter
 the passage is aligned again with penalties under which only dense parts score, so sparse surroundings hide none.
 
 The items are the query set: they are read in blocks of a bounded number of words, and each block is
 held against all texts.
 
-Items of fewer than ``least_words`` words are looked up in the same pass as whole word sequences, by a hash of their
+Items of fewer than ``least_words`` words are looked up in the second pass as whole word sequences, by a hash of their
 length; such a copy has score 1.
 
 Defined cases: a missing text has no words and no matches. Items without a word are not searched. Texts of any length are read whole. Repeated rows give their matches once per doc_id. Equal
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulse.llm.shared import kept
 from pulse.llm.words import pieces, texts, window_hashes, word_hashes
 
 
@@ -94,13 +94,25 @@ class Items:
         self.place_at = np.concatenate([np.arange(n) for n in sizes] or [np.empty(0, int)]).astype(np.int64)[order]
         self.seeds, self.first, self.count = np.unique(seed[order], return_index=True, return_counts=True)
         self.vocabulary = np.unique(np.concatenate([*self.words, np.empty(0, np.uint64)]))
+        self._hint()
+
+    def _hint(self) -> None:
         #: Whether any seed has these top bits: spares most look-ups.
         self.hint = np.zeros(1 << 20, bool)
         self.hint[self.seeds >> np.uint64(44)] = True
 
-    def rare(self, seen: dict[int, int], total: int, settings: Settings) -> np.ndarray:
-        """For each seed whether it is rare, given how often the corpus has the words."""
-        counts = np.array([seen.get(w, 0) for w in self.vocabulary.view(np.int64).tolist()], float)
+    def only(self, wanted: np.ndarray) -> Items:
+        """The same items with the wanted ones of their seeds."""
+        few = copy(self)
+        places = np.repeat(wanted, self.count)
+        few.place_item, few.place_at = self.place_item[places], self.place_at[places]
+        few.seeds, few.count = self.seeds[wanted], self.count[wanted]
+        few.first = np.cumsum(few.count) - few.count
+        few._hint()
+        return few
+
+    def rare(self, counts: np.ndarray, total: int, settings: Settings) -> np.ndarray:
+        """For each seed whether it is rare, given how often the corpus has each word of the vocabulary."""
         logs = np.log(np.maximum(counts, 1) / max(total, 1))
         chance = np.full(len(self.seeds), -np.inf)
         per_item = []
@@ -128,11 +140,11 @@ def short_copies(words: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
     return found
 
 
-def passages(words: np.ndarray, items: Items, settings: Settings) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(item, first word, words, seeds) of each passage of a text that holds seeds of an item."""
+def passages(words: np.ndarray, items: Items, settings: Settings) -> list[tuple[int, int, np.ndarray]]:
+    """(item, first word, words) of each passage of a text that holds seeds of an item."""
     grams = window_hashes(words, settings.seed)
     likely = np.flatnonzero(items.hint[grams >> np.uint64(44)])
-    if not len(likely):
+    if not len(likely) or not len(items.seeds):
         return []
     place = np.searchsorted(items.seeds, grams[likely])
     place[place == len(items.seeds)] = 0
@@ -146,7 +158,7 @@ def passages(words: np.ndarray, items: Items, settings: Settings) -> list[tuple[
     where = np.repeat(items.first[seed] - (np.cumsum(times) - times), times) + np.arange(times.sum())
     item, offset = items.place_item[where], items.place_at[where]
     order = np.lexsort((at[row], item))
-    item, offset, at, seed = item[order], offset[order], at[row][order], seed[row][order]
+    item, offset, at = item[order], offset[order], at[row][order]
     lengths = np.array([len(items.words[i]) for i in item])
     cut = np.flatnonzero((item[1:] != item[:-1]) | (at[1:] - at[:-1] > lengths[1:])) + 1
     found = []
@@ -154,7 +166,7 @@ def passages(words: np.ndarray, items: Items, settings: Settings) -> list[tuple[
         slack = int(lengths[start]) // 4 + 2
         low = max(0, int((at - offset)[start:stop].min()) - slack)
         high = min(len(words), int((at - offset)[start:stop].max()) + int(lengths[start]) + slack)
-        found.append((int(item[start]), low, words[low:high], np.unique(seed[start:stop])))
+        found.append((int(item[start]), low, words[low:high]))
     return found
 
 
@@ -190,82 +202,80 @@ def align(items: list[np.ndarray], passage: list[np.ndarray], values: tuple[int,
     return best >> bits, best & (one - 1), end
 
 
-PASSAGES = "kind int, doc_id long, item int, start long, words binary, seeds array<long>, word long, n long"
+COUNTS = "word long, n long"
 MATCHES = "doc_id long, item int, score double, start long, stop long"
-_PASSAGE_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+_MATCH_TYPES = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
 
 
-def _searched(docs: DataFrame, items: Items, settings: Settings) -> DataFrame:
-    """Passages with seeds (kind 0), counts of the benchmark's words and of all words (kinds 1, 2), and copies of short
-    items (kind 3, with their length as n)."""
-    block = docs.sparkSession.sparkContext.broadcast(items)
-    names = [part.split()[0] for part in PASSAGES.split(", ")]
+def _counted(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """How often the corpus has each word of the vocabulary, and its words in all. Each task sends one number for each word it met."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def rows(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), _PASSAGE_TYPES)], names=names)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = sent.value, 0
+        seen = np.zeros(len(known), np.int64)
+        for piece in pieces(batches):
+            for text in texts(piece):
+                words = word_hashes(normal_words(text))
+                total += len(words)
+                place = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                seen += np.bincount(place[known[place] == words], minlength=len(known))
+        met = np.flatnonzero(seen)
+        # The words of a text in all are no word's: place -1.
+        yield pa.RecordBatch.from_arrays([pa.array([*met.tolist(), -1], pa.int64()), pa.array([*seen[met].tolist(), total], pa.int64())], names=["word", "n"])
+
+    sums = docs.select("text").mapInArrow(count, COUNTS).groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # the block's words
+    place, n = (sums.column(c).to_numpy() for c in ("word", "n"))
+    counts = np.zeros(len(vocabulary), np.int64)
+    counts[place[place >= 0]] = n[place >= 0]
+    return counts, int(n[place < 0].sum())
+
+
+def scored(pairs: list[tuple[object, int, int, np.ndarray]], items: Items, settings: Settings) -> list[tuple[object, int, float, int, int]]:
+    """(doc_id, item, score, start, stop) of those of the pairs (doc_id, item, first word, passage) that are copies."""
+    pairs, found = sorted(pairs, key=lambda r: len(r[3])), []
+    while pairs:
+        # As many pairs at a time as make a table of a million cells.
+        taken = max(1, min(len(pairs), 1_000_000 // len(pairs[-1][3])))
+        pairs, some = pairs[:-taken], pairs[-taken:]
+        best, first, last = align([items.words[r[1]] for r in some], [r[3] for r in some])
+        share = best / np.array([MATCH * len(items.words[r[1]]) for r in some])
+        start = np.array([r[2] for r in some], np.int64)
+        # A dense part of so many words has at least this score: each three words pay for one change.
+        maybe = np.flatnonzero((share < settings.score) & (3 * best >= 5 * settings.part))
+        whole = share >= settings.score
+        if len(maybe):
+            dense, low, high = align([items.words[some[k][1]] for k in maybe], [some[k][3] for k in maybe], DENSE)
+            enough = maybe[dense >= settings.part]
+            first[enough], last[enough], whole[enough] = low[dense >= settings.part], high[dense >= settings.part], True
+        found += [(*some[k][:2], float(share[k]), int(start[k] + first[k]), int(start[k] + last[k])) for k in np.flatnonzero(whole)]
+    return found
+
+
+def _found(docs: DataFrame, items: Items, settings: Settings) -> DataFrame:
+    """Every passage with one of the items' seeds that is a copy, and all copies of short items."""
+    block = docs.sparkSession.sparkContext.broadcast(items)
+    names = [part.split()[0] for part in MATCHES.split(", ")]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, total = block.value, 0
-        seen = np.zeros(len(items.vocabulary) + 1, np.int64)
+        items = block.value
         for piece in pieces(batches):
-            found = []
+            found, waiting, size = [], [], 0
             for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts(piece)):
                 words = word_hashes(normal_words(text))
-                total += len(words)
-                if len(items.vocabulary):
-                    place = np.searchsorted(items.vocabulary, words)
-                    known = items.vocabulary[np.minimum(place, len(items.vocabulary) - 1)] == words
-                    seen += np.bincount(place[known], minlength=len(seen))
-                for item, start, part, seeds in passages(words, items, settings):
-                    found.append((0, doc_id, item, start, part.tobytes(), seeds, None, None))
-                found += [(3, doc_id, item, start, None, None, None, n) for item, start, n in short_copies(words, items)]
+                for item, start, part in passages(words, items, settings):
+                    # A copy, as a slice would keep the words of the whole text.
+                    waiting.append((doc_id, item, start, part.copy()))
+                    size += len(part)
+                    if size >= 4_000_000:
+                        found += scored(waiting, items, settings)
+                        waiting, size = [], 0
+                found += [(doc_id, item, 1.0, start, start + n) for item, start, n in short_copies(words, items)]
+            found += scored(waiting, items, settings)
             if found:
-                yield rows(found)
-        counts = [(1, None, None, None, None, None, w, n) for w, n in zip(items.vocabulary.view(np.int64).tolist(), seen.tolist()) if n]
-        yield rows([*counts, (2, None, None, None, None, None, 0, total)])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, PASSAGES)
-
-
-def _aligned(found: DataFrame, items: Items, rare: np.ndarray, settings: Settings) -> DataFrame:
-    block = found.sparkSession.sparkContext.broadcast((items.words, rare))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rare = block.value
-        for batch in batches:
-            rows = [
-                (d, i, s, np.frombuffer(w, np.uint64))
-                for d, i, s, w, seeds in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item", "start", "words", "seeds")))
-                if rare[seeds].any()
-            ]
-            rows.sort(key=lambda r: len(r[3]))
-            while rows:
-                # As many pairs at a time as make a table of a million cells.
-                taken = max(1, min(len(rows), 1_000_000 // len(rows[-1][3])))
-                rows, some = rows[:-taken], rows[-taken:]
-                best, first, last = align([words[r[1]] for r in some], [r[3] for r in some])
-                share = best / np.array([MATCH * len(words[r[1]]) for r in some])
-                start = np.array([r[2] for r in some], np.int64)
-                # A dense part of so many words has at least this score: each three words pay for one change.
-                maybe = np.flatnonzero((share < settings.score) & (3 * best >= 5 * settings.part))
-                whole = share >= settings.score
-                if len(maybe):
-                    dense, low, high = align([words[some[k][1]] for k in maybe], [some[k][3] for k in maybe], DENSE)
-                    enough = maybe[dense >= settings.part]
-                    first[enough], last[enough], whole[enough] = low[dense >= settings.part], high[dense >= settings.part], True
-                ok = np.flatnonzero(whole)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([some[k][0] for k in ok], pa.int64()),
-                        pa.array([some[k][1] for k in ok], pa.int32()),
-                        pa.array(share[ok]),
-                        pa.array((start + first)[ok]),
-                        pa.array((start + last)[ok]),
-                    ],
-                    names=["doc_id", "item", "score", "start", "stop"],
-                )
-
-    return found.select("doc_id", "item", "start", "words", "seeds").mapInArrow(score, MATCHES)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), _MATCH_TYPES)], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, MATCHES)
 
 
 def _blocks(benchmark: DataFrame, settings: Settings) -> Iterator[list[tuple[object, str]]]:
@@ -289,13 +299,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
         items = Items(rows, settings)
         if not items.ids:
             continue
-        found = kept(_searched(docs, items, settings), "passages")
-        counts = found.where("kind in (1, 2)").groupBy("kind", "word").agg(F.sum("n").alias("n")).collect()  # the block's words
-        seen = {r["word"]: r["n"] for r in counts if r["kind"] == 1}
-        total = sum(r["n"] for r in counts if r["kind"] == 2)
-        rare = items.rare(seen, total, settings)
-        exact = found.where("kind = 3").selectExpr("doc_id", "item", "1.0D AS score", "start", "start + n AS stop")
-        best = _aligned(found.where("kind = 0"), items, rare, settings).unionAll(exact).groupBy("doc_id", "item").agg(
+        if len(items.vocabulary):
+            counts, total = _counted(docs, items.vocabulary)
+            items = items.only(items.rare(counts, total, settings))
+        best = _found(docs, items, settings).groupBy("doc_id", "item").agg(
             F.max_by(F.struct("score", "start", "stop"), F.struct("score", -F.col("start"))).alias("best")
         )
         names = spark.createDataFrame(list(enumerate(items.ids)), f"item int, item_id {kind}")

@@ -82,7 +82,7 @@ def test_seeds_of_common_words_are_not_rare():
     words = b"of the and to of the and to a rare long tail word here".split()
     block = decontaminate.Items([(1, b" ".join(words).decode())], settings)
     seen = {int(h): (10**7 if w in (b"of", b"the", b"and", b"to") else 3) for w, h in zip(words, word_hashes(words).view(np.int64))}
-    rare = block.rare(seen, 10**8, settings)
+    rare = block.rare(np.array([seen[w] for w in block.vocabulary.view(np.int64).tolist()]), 10**8, settings)
     common = np.searchsorted(block.seeds, decontaminate.window_hashes(word_hashes(words[:4]), 4))
     assert not rare[common].any() and rare.sum() >= 6
 
@@ -147,3 +147,38 @@ def test_a_passage_of_many_words_aligns_as_a_short_one():
     passage[-20:-11] = item
     score, first, last = decontaminate.align([item], [passage])
     assert (score.tolist(), first.tolist(), last.tolist()) == ([2 * 9], [width - 20], [width - 11])
+
+
+def test_a_phrase_that_items_share_makes_no_passages():
+    """Items and texts with a stem in common are pairs only where a rare seed says so."""
+    rnd, settings = random.Random(12), decontaminate.Settings()
+    stem = "which of the following is".split()
+    block = decontaminate.Items([(k, " ".join(stem + item(rnd, 12))) for k in range(30)], settings)
+    counts = np.full(len(block.vocabulary), 2)
+    counts[np.searchsorted(block.vocabulary, np.sort(word_hashes([w.encode() for w in stem])))] = 10**6
+    few = block.only(block.rare(counts, 10**7, settings))
+    text = word_hashes([w.encode() for w in item(rnd, 50) + stem + item(rnd, 50)])
+    assert len(decontaminate.passages(text, block, settings)) == 30 and not decontaminate.passages(text, few, settings)
+    # What is left finds the same places as before.
+    own = np.concatenate([text, block.words[7]])
+    assert [p[0] for p in decontaminate.passages(own, few, settings)] == [7]
+
+
+def test_recall_of_seeding_against_alignment_of_all_pairs(spark, documents):
+    rnd = random.Random(13)
+    items = [item(rnd, rnd.randint(8, 50)) for _ in range(25)]
+    texts = []
+    for k in range(150):
+        copy = list(items[k % 25])
+        for _ in range(rnd.randint(0, len(copy) // 4)):
+            at, how = rnd.randrange(len(copy)), rnd.random()
+            copy[at : at + (how < 0.8)] = [] if how < 0.3 else [f"zz{rnd.randrange(999)}"]
+        texts.append((k, " ".join(item(rnd, 30) + (copy if k % 3 else item(rnd, 20)) + item(rnd, 30))))
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(documents(texts), benchmark).collect()}
+    pairs = [(d, n) for d, _ in texts for n in range(25)]
+    hashed = [word_hashes([w.encode() for w in x]) for x in items]
+    words = {d: word_hashes(decontaminate.normal_words(t)) for d, t in texts}
+    best, _, _ = decontaminate.align([hashed[n] for _, n in pairs], [words[d] for d, _ in pairs])
+    want = {p for p, b in zip(pairs, best) if b >= len(hashed[p[1]])}  # half of the best score
+    assert len(want) > 90 and found <= want and len(found & want) >= 0.97 * len(want)
