@@ -1,7 +1,9 @@
 """Web archives (3): WARC files with a two-level capture index.
 
 Pages become WARC records, each a gzip member of its own. Of pages with equal payloads of some size the one with the
-largest page_id is kept as a response, the others as revisits of it without a payload.
+largest page_id is kept as a response, the others as revisits of it without a payload. Payloads that more than a
+``hot_share`` of all pages have are fewer than 1 / hot_share, so their table is broadcast: their revisits lose the payload before
+anything is compressed, and are dealt over all tasks. The other pages meet their response by digest.
 
 The index has two levels. Captures, ordered by the URL with its host reversed, lie in compressed blocks of some
 thousand lines; a sparse directory has the first key, place and length of each block. A URL is found by a binary
@@ -38,6 +40,8 @@ from pulse.llm.words import pieces, raw, runs
 class Settings:
     #: Payloads below so many bytes are never revisits.
     revisit_bytes: int = 1000
+    #: A payload that a larger share of all pages has is hot.
+    hot_share: float = 0.001
     #: An archive file is closed when it has so many bytes.
     file_bytes: int = 256 << 20
     block_lines: int = 3000
@@ -104,6 +108,7 @@ def parsed(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 CAPTURES = "key string, page_id long, path string, offset long, length long"
+_PACKED = ["page_id", "url", "digest", "size", "known", "member", "meet"]
 _CAPTURE_NAMES = [part.split()[0] for part in CAPTURES.split(", ")]
 
 
@@ -112,19 +117,21 @@ def write(pages: DataFrame, folder: str, settings: Settings = Settings()) -> Dat
     pages = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     digest, size = F.sha1(F.col("html").cast("binary")), F.octet_length("html")
     large = pages.select("page_id", digest.alias("digest"), size.alias("size")).where(F.col("size") >= settings.revisit_bytes)
-    equal = large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
+    equal = kept(large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1"), "equal")
+    is_hot = F.col("n") > settings.hot_share * pages.count()
+    hot, rest = equal.where(is_hot).drop("n"), equal.where(~is_hot).drop("n")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "html"):
             rows = []
-            for page_id, url, payload in zip(piece.column("page_id").to_pylist(), piece.column("url").to_pylist(), raw(piece, "html")):
-                sha = hashlib.sha1(payload).hexdigest()
-                member = _record("response", page_id, url, _payload_headers(sha, len(payload)), _http(payload), settings)
-                rows.append((page_id, url, sha, len(payload), member))
-            types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["page_id", "url", "digest", "size", "member"]
-            )
+            columns = (piece.column(c).to_pylist() for c in ("page_id", "url", "digest", "size", "response"))
+            for page_id, url, sha, size, response, payload in zip(*columns, raw(piece, "html")):
+                known = response is not None and response != page_id
+                member = None if known else _record("response", page_id, url, _payload_headers(sha, size), _http(payload), settings)
+                # A random number deals what is settled already over all tasks.
+                rows.append((page_id, url, sha, size, response, member, sha if response is None else uuid.uuid4().hex))
+            types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=_PACKED)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, place = file_system(folder)
@@ -155,8 +162,14 @@ def write(pages: DataFrame, folder: str, settings: Settings = Settings()) -> Dat
         if out is not None:
             out.close()
 
-    records = pages.mapInArrow(pack, "page_id long, url string, digest string, size long, member binary")
-    return kept(records.join(equal, "digest", "left").mapInArrow(store, CAPTURES), "captures")
+    # The payload of a page whose response is another one is read no further than its digest.
+    other = F.col("response").isNotNull() & ~F.col("response").eqNullSafe(F.col("page_id"))
+    told = pages.withColumns({"digest": digest, "size": size.cast("long")}).join(F.broadcast(hot), "digest", "left")
+    told = told.select("page_id", "url", "digest", "size", "response", F.when(~other, F.col("html")).alias("html"))
+    packed = told.mapInArrow(pack, "page_id long, url string, digest string, size long, known long, member binary, meet string")
+    met = packed.join(rest.withColumnRenamed("digest", "meet"), "meet", "left")
+    records = met.withColumn("response", F.coalesce("known", "response"))
+    return kept(records.mapInArrow(store, CAPTURES), "captures")
 
 
 DIRECTORY = "first string, last string, path string, offset long, length long"

@@ -79,3 +79,19 @@ def test_keys():
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archived(pages, shared_dir(spark, "archive")).count() == 0
+
+
+def test_one_payload_on_most_pages_is_spread(spark):
+    """Hot payloads are revisits before they are packed, and their records are in the files of many tasks."""
+    body = "the same error page " * 100
+    rows = [(k, f"http://h{k}/", body if k % 3 else f"{k} " * 400) for k in range(3000)] + [(9000 + k, "http://p/", "twice " * 300) for k in range(2)]
+    pages, folder = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), shared_dir(spark, "archive")
+    captures = warc.write(pages, folder)
+    files = [r["count"] for r in captures.groupBy("path").count().collect()]
+    assert sum(files) == len(rows) and max(files) < len(rows) / 2
+    found = warc.fetch(captures, folder, with_payload=False).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=str) == brute(rows)
+    # As no payload is hot, each meets its response by digest.
+    cold = warc.Settings(hot_share=1.0)
+    again = warc.archived(pages, shared_dir(spark, "archive"), cold).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in again), key=str) == brute(rows)
