@@ -7,10 +7,10 @@ a shard goes, few keys move that were not its own. A row's slot is its key's has
 whose size is fixed by the number of shards and not by the data, is broadcast.
 
 A key that holds very many rows would fill its shard. ``split_above`` deals the rows of such keys over as many
-slots as they need, by a hash of the row.
+slots as they need, by a hash of the row, so a row goes to the same shard however the table is partitioned.
 
 Defined cases: null keys are placed together, as a key of its own. Repeated rows are placed alike. An empty table gives
-no rows. Long keys are hashed whole. All columns are kept; ``slot`` and ``shard`` come after them, and a table that
+no rows. A null is no shard; without any shard, rows have slot 0 and a null shard. Long keys are hashed whole. All columns are kept; ``slot`` and ``shard`` come after them, and a table that
 has columns of these names gives them up.
 """
 
@@ -38,14 +38,23 @@ def hashed(key: F.Column) -> F.Column:
     return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+#: Slots in a piece of the table while it is filled; a turn writes one piece anew.
+_PIECE = 512
+#: Bytes of a slot's entry: the number of its shard, from 1; 0 is free.
+_ENTRY = 3
+
+
 def slot_table(spark: SparkSession, names: DataFrame) -> DataFrame:
-    """slot and shard of every slot, for a table of shard names (column ``shard``, a few thousand at most).
+    """slot and shard of every slot, for a table of shard names (column ``shard``, some thousand).
 
-    The turns are one fold over the sequence of turns; its state is who has each slot and how far every shard has
-    come in its order.
+    A fold over the rounds, in each of which every shard has one turn: a fold over the shards. Its state is the table, as
+    pieces of bytes, and how far every shard has come in its order. With f slots free of s, a turn looks at the next
+    20 s / f places of its order, and only if none is free at all others; so the whole takes about 20 s ln s looks.
     """
-    shards = names.select("shard").distinct()
+    shards = names.select("shard").where(F.col("shard").isNotNull()).distinct()
     n = shards.count()
+    if not n:
+        return spark.createDataFrame([], "slot long, shard string")
     size = table_size(n)
     orders = shards.select(
         "shard",
@@ -53,28 +62,39 @@ def slot_table(spark: SparkSession, names: DataFrame) -> DataFrame:
         (F.pmod(hashed(F.concat("shard", F.lit("/step"))), F.lit(size - 1)) + 1).alias("step"),
     )
     whole = orders.agg(F.array_sort(F.collect_list(F.struct("shard", "offset", "step"))).alias("shards"))
-    whole.createOrReplaceTempView("_shard_orders")
-    filled = spark.sql(f"""
-        SELECT shards, aggregate(
-            sequence(0, {size} - 1),
-            struct(array_repeat(-1, {size}) AS owner, array_repeat(0L, {n}) AS next),
-            (state, turn) -> transform(array(struct(
-                turn % {n} AS i,
-                filter(
-                    sequence(state.next[turn % {n}], {size} - 1L),
-                    j -> state.owner[cast((shards[turn % {n}].offset + j * shards[turn % {n}].step) % {size} AS int)] < 0
-                )[0] AS j
-            )), c -> struct(
-                transform(state.owner, (o, k) ->
-                    if(k = (shards[c.i].offset + c.j * shards[c.i].step) % {size}, c.i, o)) AS owner,
-                transform(state.next, (x, k) -> if(k = c.i, c.j + 1, x)) AS next
-            ))[0]
-        ).owner AS owner
-        FROM _shard_orders
-    """)
-    slots = filled.select("shards", F.posexplode("owner").alias("slot", "i"))
+    pieces = -(-size // _PIECE)
+    free = "X'" + "00" * _ENTRY + "'"
+    at = f"cast((shards[i].offset + j * shards[i].step) % {size} AS int)"
+    is_free = f"transform(array({at}), k -> substring(t.pieces[k div {_PIECE}], k % {_PIECE} * {_ENTRY} + 1, {_ENTRY}) = {free})[0]"
+    near = f"least(s.next[i] + cast(20 * {size}L div ({size} - r * {n} - i) AS bigint), {size - 1}L)"
+    # The first free place of shard i's order in its turn, given the table t and the order's places up to s.next[i].
+    place = f"""coalesce(
+        get(filter(sequence(s.next[i], {near}), j -> {is_free}), 0),
+        get(filter(sequence(s.next[i], {size - 1}L), j -> {is_free}), 0))"""
+    entry = f"unhex(lpad(hex(i + 1), {2 * _ENTRY}, '0'))"
+    claimed = f"""struct(
+        transform(t.pieces, (p, c) -> if(c = k div {_PIECE}, overlay(p PLACING {entry} FROM k % {_PIECE} * {_ENTRY} + 1 FOR {_ENTRY}), p)) AS pieces,
+        concat(t.next, array(j + 1)) AS next)"""
+    turn = f"transform(array({place}), j -> transform(array({at}), k -> {claimed})[0])[0]"
+    filled = whole.selectExpr(
+        "shards",
+        f"""aggregate(
+            sequence(0, {(size - 1) // n}),
+            struct(array_repeat(unhex(repeat('00', {_PIECE * _ENTRY})), {pieces}) AS pieces, array_repeat(0L, {n}) AS next),
+            (s, r) -> aggregate(
+                sequence(0, least({n}, {size} - r * {n}) - 1),
+                struct(s.pieces AS pieces, cast(array() AS array<bigint>) AS next),
+                (t, i) -> {turn})
+        ).pieces AS pieces""",
+    )
+    bytes_of = filled.select("shards", F.posexplode("pieces").alias("piece", "bytes"))
+    places = bytes_of.select("shards", "piece", "bytes", F.explode(F.sequence(F.lit(0), F.lit(_PIECE - 1))).alias("k"))
+    slots = places.select(
+        (F.col("piece") * _PIECE + F.col("k")).cast("long").alias("slot"),
+        F.expr(f"get(shards, cast(conv(hex(substring(bytes, k * {_ENTRY} + 1, {_ENTRY})), 16, 10) AS int) - 1).shard").alias("shard"),
+    ).where(F.col("slot") < size)
     # Written once, so that the fold does not run again for every use of the table.
-    return kept(slots.select(F.col("slot").cast("long"), F.element_at("shards", F.col("i") + 1).getField("shard").alias("shard")), "slots")
+    return kept(slots, "slots")
 
 
 def _key(columns: list[str]) -> F.Column:
@@ -84,23 +104,26 @@ def _key(columns: list[str]) -> F.Column:
     return F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns))
 
 
-def placed(rows: DataFrame, columns: list[str], table: DataFrame, split_above: float | None = None) -> DataFrame:
+def placed(
+    rows: DataFrame, columns: list[str], table: DataFrame, split_above: float | None = None, split_by: list[str] | None = None
+) -> DataFrame:
     """The rows with ``slot`` and ``shard``.
 
     split_above: a key with more than this share of all rows is dealt over as many parts as keep each part below it. There
-    are at most 1 / split_above such keys, so that their table, too, is broadcast.
+    are at most 1 / split_above such keys, so that their table, too, is broadcast. split_by: the columns whose values deal the
+    rows, all if none are given; rows that are equal in them stay together.
     """
     rows = rows.drop("slot", "shard")
-    size = table.count()
-    key = _key(columns)
+    size = max(1, table.count())
+    key, names = _key(columns), rows.columns
     if split_above is not None:
         counts = rows.groupBy(key.alias("_shard_key")).agg(F.count("*").alias("_shard_n"))
         most = F.ceil(F.lit(rows.count() * split_above))
-        hot = counts.where(F.col("_shard_n") > most).select("_shard_key", F.ceil(F.col("_shard_n") / most).alias("_shard_parts"))
-        part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_shard_parts", F.lit(1)))
-        rows = rows.withColumn("_shard_key", key).join(F.broadcast(hot), "_shard_key", "left").withColumn("_shard_part", part)
-        key = F.when(F.col("_shard_part") > 0, F.concat("_shard_key", F.lit("\u001f"), "_shard_part")).otherwise(F.col("_shard_key"))
+        hot = counts.where(F.col("_shard_n") > most).select(
+            F.col("_shard_key").alias("_shard_hot"), F.ceil(F.col("_shard_n") / most).alias("_shard_parts")
+        )
+        rows = rows.join(F.broadcast(hot), key == F.col("_shard_hot"), "left")
+        part = F.pmod(hashed(_key(split_by or names)), F.coalesce("_shard_parts", F.lit(1)))
+        key = F.when(part > 0, F.concat(key, F.lit("\u001f"), part)).otherwise(key)
     slots = rows.withColumn("slot", F.pmod(hashed(key), F.lit(size).cast("long")))
-    return slots.join(F.broadcast(table), "slot").drop("_shard_key", "_shard_parts", "_shard_part").select(
-        *(c for c in rows.columns if not c.startswith("_shard_")), "slot", "shard"
-    )
+    return slots.join(F.broadcast(table), "slot", "left").select(*names, "slot", "shard")

@@ -32,7 +32,7 @@ def slots(spark, n):
 
 
 def test_table_equals_taking_turns(spark):
-    for n in (1, 2, 5):
+    for n in (1, 2, 5, 40):
         assert slots(spark, n) == brute([f"s{k}" for k in range(n)])
 
 
@@ -68,6 +68,20 @@ def test_hot_keys_are_split(spark):
     assert sum(split.values()) == 4000 and max(whole.values()) > 1500 and max(split.values()) < 900
 
 
+def test_split_keys_go_to_the_same_shards_under_any_partitioning(spark):
+    table = sharding.slot_table(spark, names(spark, 8))
+    rows = spark.range(2000).select(F.lit("hot").alias("k"), "id")
+    once = sharding.placed(rows.repartition(7, "id"), ["k"], table, split_above=0.05)
+    again = sharding.placed(rows.coalesce(1).orderBy(F.desc("id")), ["k"], table, split_above=0.05)
+    assert sorted(once.collect()) == sorted(again.collect())
+
+
+def test_no_shards(spark):
+    table = sharding.slot_table(spark, spark.createDataFrame([(None,)], "shard string"))
+    assert table.count() == 0 and table.columns == ["slot", "shard"]
+    assert [tuple(r) for r in sharding.placed(spark.range(1), ["id"], table).collect()] == [(0, 0, None)]
+
+
 def test_no_python_on_the_path(spark, odd):
     plan = sharding.placed(odd, ["doc_id"], sharding.slot_table(spark, names(spark, 3)), 0.2)
     text = plan._jdf.queryExecution().executedPlan().toString()
