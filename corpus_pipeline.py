@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pulse.llm import bpe, decontaminate, minhash, pii, quality
-from pulse.llm.shared import kept
+from pulse.session import hadoop_path, scratch, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +47,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of a folder of tables."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The last stage's rows for the documents of a folder of tables.
+
+    Each stage is a table in ``folder``, a new one if none is given; what a stage wrote besides is removed with it.
+    A run that is given the folder of a broken one goes on after the last stage that was written whole.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = folder or shared_dir(spark, "pipeline")
     for name, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+        system, done = hadoop_path(spark, f"{folder}/{name}/_SUCCESS")
+        if not system.exists(done):
+            with scratch(spark):
+                stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

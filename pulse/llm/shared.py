@@ -29,8 +29,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Schemes of Hadoop that Arrow knows by another name.
+_SCHEMES = {"s3a://": "s3://", "s3n://": "s3://"}
+
+
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path within it; usable in tasks and in the driver."""
+    """The file system of a path or URI, and the path within it; usable in tasks and in the driver.
+
+    ``shared_dir`` gives paths without a scheme only where the default file system is the local one.
+    """
+    for name, own in _SCHEMES.items():
+        path = own + path.removeprefix(name) if path.startswith(name) else path
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 

@@ -1,8 +1,11 @@
 import numpy as np
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pulse.llm import bpe, decontaminate, pii, quality
+from pulse.session import shared_dir
 from tests.llm.conftest import table_texts
 from tests.llm.test_minhash import brute as near_groups
 
@@ -48,3 +51,25 @@ def test_rows_equal_brute_force(spark):
     found = corpus_pipeline.run(spark, FOLDER).collect()
     # The tables are too small for trained thresholds, so only base spans are masked.
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in found} == want and len(found) == len(want) > 20
+
+
+def test_a_broken_run_goes_on_after_its_last_stage(spark, monkeypatch):
+    folder, calls = shared_dir(spark, "pipeline"), []
+
+    def stage(name, fails=False):
+        def work(spark, docs, sf_dir):
+            calls.append(name)
+            if fails:
+                raise RuntimeError(name)
+            return docs.withColumn(name, F.lit(len(calls)))
+
+        return name, work
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("b"), stage("c", fails=True)])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, FOLDER, folder)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("b"), stage("c")])
+    rows = corpus_pipeline.run(spark, FOLDER, folder)
+    assert calls == ["a", "b", "c", "c"]
+    assert [tuple(r) for r in rows.select("a", "b", "c").distinct().collect()] == [(1, 2, 4)]
+    assert rows.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
