@@ -34,7 +34,7 @@ from pulse.sinks import files
 from pulse.sinks.event_store import EventStore
 from pulse.sources import artifacts
 from pulse.sources.kafka import between_offsets, log_ends, read_log_table, stream_log_table
-from pulse.sources.sink_scan import latency_samples, next_page, pages, run_samples
+from pulse.sources.sink_scan import latency_samples, next_page, numbered_pages, run_samples
 from pulse.streaming.ingest import ingest_stream, run_to_end
 from pulse.streaming.monitor import append_samples, count_latencies, live_latency, live_visibility, publish
 from pulse.streaming.progress import ProgressTable, run_until_drained
@@ -420,12 +420,11 @@ def report_files(spark, sf_dir):
 
 @_query
 def keyset_all_pages(spark, sf_dir):
-    """All pages of one run, each from the cursor that the last one left; rows with the number of their page."""
+    """All pages of one run, as the walk from cursor to cursor gives them; rows with the number of their page."""
     source = shared_dir(spark, "sink")
     inputs.event_log(spark, sf_dir).repartitionByRange(8, "visible_at").write.parquet(source)
-    found = pages(spark.read.parquet(source), ("streaming", "high-load", "run_3"), rows=25)
-    rows = [(number, row["event_id"], row["visible_at"]) for number, page in enumerate(found) for row in page]
-    return spark.createDataFrame(rows, "page LONG, event_id STRING, visible_at LONG")
+    found = numbered_pages(spark.read.parquet(source), ("streaming", "high-load", "run_3"), rows=25)
+    return found.select("page", "event_id", "visible_at")
 
 
 @_query

@@ -5,11 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulse.functions.columns import label_or, latency_ms, of_run
 from pulse.schemas import LATENCY_SAMPLE, SINK_DEFAULTS, SINK_PAGE_ROWS
+from pulse.session import shared_dir
+
+#: Rows that one task numbers, about.
+_PART_ROWS = 1 << 17
+
+
+def _after(cursor: tuple[int, str]) -> Column:
+    seen_at, seen_id = cursor
+    later = (F.col("visible_at") > seen_at) | ((F.col("visible_at") == seen_at) & (F.col("event_id") > seen_id))
+    # The first condition alone is what a scan can use to skip row groups.
+    return (F.col("visible_at") >= seen_at) & later
 
 
 def next_page(
@@ -21,14 +32,9 @@ def next_page(
     what is sorted out (top-k per task, then of the tasks' results). On Spark tables prefer a
     stream: its checkpoint replaces the cursor and cannot miss rows committed late.
     """
-    seen_at, seen_id = cursor
-    after = (F.col("visible_at") > seen_at) | (
-        (F.col("visible_at") == seen_at) & (F.col("event_id") > seen_id)
-    )
     if run:
         sink = sink.where(of_run(*run))
-    # The first condition alone is what a scan can use to skip row groups.
-    page = sink.where(F.col("visible_at") >= seen_at).where(after)
+    page = sink.where(_after(cursor))
     return page.orderBy("visible_at", "event_id").limit(rows)
 
 
@@ -70,7 +76,8 @@ def pages(
     """All rows after the cursor in ``(visible_at, event_id)`` order, page by page, until a page is not full.
 
     The files' spans are taken once, so a page opens only the files that can hold it. Rows that come later belong to the
-    next call, from the last row's cursor on.
+    next call, from the last row's cursor on. Each page is a job: for a walk over all of a large run's pages
+    take ``numbered_pages``.
     """
     own = sink.where(of_run(*run)) if run else sink
     ranges = file_ranges(own)
@@ -86,6 +93,29 @@ def pages(
         cursor = (page[-1]["visible_at"], page[-1]["event_id"])
 
 
+def numbered_pages(
+    sink: DataFrame, run: tuple[str, str, str] | None = None, cursor: tuple[int, str] = (-(1 << 63), ""), rows: int = SINK_PAGE_ROWS
+) -> DataFrame:
+    """The rows of ``pages`` as a table, with the number of their ``page``, in a few jobs however many pages there are.
+
+    The rows are cut into ranges of ``(visible_at, event_id)`` and kept in them; a row's place is its place in its range
+    after the rows of the ranges before. So no task holds more than a range, and no page comes to the driver.
+    """
+    spark = sink.sparkSession
+    own = (sink.where(of_run(*run)) if run else sink).where(_after(cursor))
+    ranges = max(1, -(-own.count() // _PART_ROWS))
+    folder = shared_dir(spark, "pages")
+    placed = own.repartitionByRange(ranges, "visible_at", "event_id").withColumn("_range", F.spark_partition_id())
+    placed.write.parquet(folder)
+    placed = spark.read.schema(placed.schema).parquet(folder)
+    # One small row for each range.
+    before = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ends = placed.groupBy("_range").agg(F.count("*").alias("_rows")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("visible_at", "event_id")) - 1
+    numbered = placed.withColumn("_place", place).join(F.broadcast(ends), "_range")
+    return numbered.select(F.expr(f"(_before + _place) div {rows}").alias("page"), *own.columns)
+
+
 def latency_samples(sink: DataFrame, run: tuple[str, str, str] | None = None) -> DataFrame:
     """Sample rows of the sink, of one run or of all: labels defaulted, latency derived."""
     if run:

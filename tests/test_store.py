@@ -7,7 +7,8 @@ from pulse.plans.ingest import IngestCounts, clean_events, ingest, ingest_into_t
 from pulse.sinks import jdbc
 from pulse.sinks.event_store import EventStore
 from pulse.sources.kafka import between_offsets, topic_options
-from pulse.sources.sink_scan import FileRange, file_ranges, files_of_page, next_page, pages
+from pulse.sources import sink_scan
+from pulse.sources.sink_scan import FileRange, file_ranges, files_of_page, next_page, numbered_pages, pages
 
 LOG = "value BINARY, partition INT, offset LONG"
 
@@ -178,6 +179,24 @@ def test_pages_give_every_row_once_and_in_order(spark, tmp_path):
     assert scan.metrics().apply("numFiles").value() == len(near) < len(ranges) == 6
 
 
+def test_numbered_pages_are_those_of_the_walk_in_few_jobs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sink_scan, "_PART_ROWS", 64)
+    path, tracker = str(tmp_path / "sink"), spark.sparkContext.statusTracker()
+    rows = spark.range(400).selectExpr("cast(id AS string) AS event_id", "if(id < 200, 7, id * 7 % 40) AS visible_at")
+    rows.repartition(3).write.parquet(path)
+    sink = spark.read.parquet(path)
+    jobs = set()
+    for cursor, size in (((-(1 << 63), ""), 150), ((7, "150"), 70), ((1000, ""), 5)):
+        walk = [(n, *row) for n, page in enumerate(pages(sink, None, cursor, size)) for row in page]
+        assert sorted(map(tuple, numbered_pages(sink, None, cursor, size).collect())) == sorted(walk)
+    for size in (1, 150):
+        spark.sparkContext.setJobGroup(f"pages-{size}", "")
+        assert numbered_pages(sink, rows=size).agg(F.max("page")).first()[0] == 399 // size
+        jobs.add(len(tracker.getJobIdsForGroup(f"pages-{size}")))
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(jobs) == 1 and max(jobs) < 20
+
+
 def _nodes(plan):
     if plan.nodeName() == "AdaptiveSparkPlan":
         plan = plan.executedPlan()
