@@ -195,3 +195,24 @@ def test_taken_spans():
     free = next((s, s + 2) for s in range(300) if not taken.touches(s, s + 2))
     taken.add(*free)
     assert taken.touches(*free) and taken.within(*free) and not taken.within(free[0], free[1] + 400)
+
+
+def test_the_trees_learn_from_every_span(spark, documents, monkeypatch):
+    rnd = random.Random(9)
+    docs = documents([(k, f"write to {person(rnd)['email']} now") for k in range(5000)])
+    assert pii._spans(docs).where("base").count() == len({r.text for r in docs.collect()}) > 2000
+    seen = []
+    monkeypatch.setattr(pii, "_scores", lambda held, model, scores=pii._scores: seen.extend(scores(held, model)) or seen)
+    weighed = pii._examples(pii._spans(docs)).where("pmod(origin, 4) = 0").count()
+    pii.trained(docs, pii.Settings(trees=2))
+    assert sum(n for *_, n in seen) == weighed > 1000
+
+
+def test_scores_may_be_counted():
+    rnd = random.Random(10)
+    scores = [(rnd.choice(pii.KINDS), rnd.randrange(pii.GRID) / pii.GRID // 0.05 * 0.05, float(rnd.random() < 0.9)) for _ in range(600)]
+    counted = [(*score, scores.count(score)) for score in set(scores)]
+    for precision in (0.8, 0.9, 0.99):
+        settings = pii.Settings(precision=precision)
+        assert pii.thresholds(counted, settings) == pii.thresholds(scores, settings)
+        assert pii.calibrated(counted, settings) == pii.calibrated(scores, settings)
