@@ -106,13 +106,14 @@ def bounded_sample(
         return reached.groupBy(*keys, *more).agg(end.alias("_end"))
 
     high = last(tagged, "_high", F.lit(rows)).select(*keys, F.col("_end._high").alias("_last_high"), F.col("_end.left").alias("_left"))
-    inside = tagged.select(*keys, "_high", "_low").join(high, keys).where(F.col("_high") == F.col("_last_high"))
+    # One row for each run, sent to the rows: a join by run would gather each run's rows in one task.
+    inside = tagged.select(*keys, "_high", "_low").join(F.broadcast(high), keys).where(F.col("_high") == F.col("_last_high"))
     low = last(inside, "_low", F.col("_left"), "_left", "_last_high")
     limits = low.select(*keys, "_last_high", F.col("_end._low").alias("_last_low"))
     high_digit, low_digit = F.col("_high"), F.col("_low")
     within = (high_digit < F.col("_last_high")) | ((high_digit == F.col("_last_high")) & (low_digit <= F.col("_last_low")))
     ties = sorted(c for c in df.columns if c not in keys)
-    ranked = tagged.join(limits, keys).where(within).withColumn("_task", F.spark_partition_id())
+    ranked = tagged.join(F.broadcast(limits), keys).where(within).withColumn("_task", F.spark_partition_id())
     for spread in (["_task"], []):
         order = Window.partitionBy(*keys, *spread).orderBy("_mark", *ties)
         ranked = ranked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows)

@@ -62,6 +62,17 @@ def test_bounded_sample_of_one_repeated_id(frame):
     assert keys.bounded_sample(df, rows=10).count() == 10
 
 
+def test_bounded_sample_gathers_no_run_to_find_its_end(spark, frame):
+    df = frame([("s", "c", "r", f"e{i}") for i in range(50)], RUN + ", event_id STRING")
+    name, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(name, "-1")
+    try:
+        plan = keys.bounded_sample(df, rows=10)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
 def test_modal_value_takes_the_smallest_of_equals(frame, rows):
     df = frame([("a", 2000), ("a", 2000), ("a", 1500), ("b", 1500), ("b", 2000), ("b", None)], "scenario STRING, t INT")
     assert rows(matrix.modal_value(df, ["scenario"], "t")) == [("a", 2000), ("b", 1500)]
