@@ -68,6 +68,11 @@ def _reject_reasons() -> Column:
     )
 
 
+def without_text(parsed: DataFrame) -> DataFrame:
+    """Parsed records, of which only the rejected ones still carry their text; what follows moves half the bytes."""
+    return parsed.withColumn("value", F.when(~F.col("accepted"), F.col("value")))
+
+
 def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.where("accepted").drop("accepted", "reject_reasons", "value")
 

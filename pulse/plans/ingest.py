@@ -8,7 +8,7 @@ from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from pulse.functions.parsing import accepted, parse_events
+from pulse.functions.parsing import accepted, parse_events, without_text
 from pulse.operators.keys import first_wins
 from pulse.sinks.event_store import SENT_IDS, EventStore, Run, id_numbers
 from pulse.sinks.jdbc import JdbcStore
@@ -52,7 +52,7 @@ def ingest_parsed(parsed: DataFrame, store: EventStore, batch_id: str, run: Run
     state has let them through."""
     seen = Observation()
     parsed = parsed.observe(seen, F.count("*").alias("records"), F.count_if(~F.col("accepted")).alias("rejected"))
-    name = store.write(store.staged(first_and_rejected(parsed), batch_id), one_run=run is not None)
+    name = store.write(store.staged(first_and_rejected(without_text(parsed)), batch_id), one_run=run is not None)
     try:
         counts = IngestCounts(**seen.get)
     except Py4JError:

@@ -80,6 +80,40 @@ def test_state_begins_with_the_ids_of_the_store(spark, parts, tmp_path):
         ingest_stream(source, store, "run", str(tmp_path / "o"), dedupe="elsewhere")
 
 
+class Kept(dict):
+    """A map and a value of the state, which count how often they are asked."""
+
+    asked, value = 0, None
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self[key] = value
+
+
+def test_state_is_asked_by_bucket_and_grows_with_its_ids(monkeypatch):
+    from types import SimpleNamespace
+
+    from pulse.streaming import state
+
+    kept, size = Kept(), {}
+    value = SimpleNamespace(get=lambda: size.get(0), update=lambda row: size.update({0: row}))
+    names = [b"%016d" % n for n in range(20_000)]
+    for held in (1 << 20, 500):
+        monkeypatch.setattr(state, "HELD", held)
+        for first in (0, 7_000):
+            known = state._Known(kept, value)
+            assert [known.add(n) for n in names[first : first + 10_000]] == [n >= (0 if first == 0 and held > 500 else 10_000 if held > 500 else 17_000) for n in range(first, first + 10_000)]
+            known.flush()
+        if held > 500:
+            # 17 000 ids in tables of 64 and then 128 buckets: not a call for each id.
+            assert kept.asked < 1_000
+    assert size[0] == (7, 17_000) and sum(len(v[0]) for v in kept.values()) == 16 * 17_000
+
+
 def test_triggers():
     assert trigger("bounded") == {"availableNow": True}
     assert trigger("microbatch") == {"processingTime": "5 seconds"}
