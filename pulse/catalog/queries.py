@@ -147,9 +147,9 @@ def ingest_repeat_changed(spark, sf_dir):
 
 
 def _log_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log as a written table, in twelve parts as on a topic of twelve partitions."""
+    """The log as a written table, in twelve parts as on a topic of twelve partitions: who takes one partition reads no other."""
     source = shared_dir(spark, "log")
-    inputs.kafka_log(spark, sf_dir).repartition(12, "partition").write.parquet(source)
+    inputs.kafka_log(spark, sf_dir).write.partitionBy("partition").parquet(source)
     return read_log_table(spark, source)
 
 
